@@ -47,3 +47,8 @@ def any_of(keys: Column) -> Column:
         lambda s: quote(s["k"]),
     )
     return F.array_join(longest_first, "|")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))

@@ -147,11 +147,10 @@ def _clean_node(raw: Column) -> Column:
     s = T.strip(F.regexp_replace(raw, r"::icon\([^)]*\)", ""))
     s = F.regexp_replace(s, rf"(?i)<br[{WS}]*/?>", " ")
     s = F.regexp_replace(s, rf"^([A-Za-z0-9_\-]+)(?=[{WS}]*[\[({{])", "")
-    for _ in range(4):  # (( )), [ ], { } and their combinations
-        inner = T.strip(F.substr(s, F.lit(2), F.length(s) - 2))
-        wrapped = _matches(s, r"(?s)^(?:\(.*\)|\[.*\]|\{.*\})$")
-        s = F.when(wrapped, inner).otherwise(s)
-    return T.strip(s)
+    layers = F.sequence(F.lit(1), F.lit(4))  # (( )), [ ], { } and their combinations
+    return F.aggregate(layers, s, lambda acc, _: F.when(
+        F.rlike(acc, F.lit(r"(?s)^(?:\(.*\)|\[.*\]|\{.*\})$")), T.strip(F.substr(acc, F.lit(2), F.length(acc) - 2))
+    ).otherwise(acc))
 
 
 def outline(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,46 +16,46 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions.scale import carry_last, number_rows, pinned, spread_topk
-from palimpsest.functions.splice import matches
+from palimpsest.functions.splice import let, matches
 
-TERM = "array<struct<cls:int,term:string,pos:int,lead:int>>"
 SENTENCE = "struct<idx:int,para:int,sent:int,text:string,score:double>"
 
 
-def candidate_terms(text: Column, lang: Column) -> Column:
-    """Keyword candidates of one text; ``lead`` marks the first use inside a Chinese run."""
-
-    def chinese(n: int, cls: int) -> Column:
-        return F.flatten(F.transform(
-            matches(text, T.CJK_RUN),
-            lambda run, r: F.transform(
-                T.grams(run, n),
-                lambda g, i: F.struct(
-                    F.lit(cls).alias("cls"), g.alias("term"), (r * 100_000 + i).cast("int").alias("pos"),
-                    F.when(F.array_position(T.grams(run, n), g) == i + 1, 1).otherwise(0).alias("lead"),
-                ),
-            ),
-        ))
-
-    words = T.latin_words(text)
-    keep = F.filter(
-        F.transform(words, lambda w, i: F.struct(F.lit(0).alias("cls"), w.alias("term"), i.alias("pos"),
-                                                 F.lit(1).alias("lead"))),
-        lambda s: ~s["term"].isin(*T.EN_STOP) & (F.length(s["term"]) > 1),
+def _latin_terms(docs: DataFrame, keep: list) -> DataFrame:
+    """Word and word-pair candidates, one row each, outside any lambda.
+
+    The word array is zipped with itself shifted by one, so a pair needs no
+    ordering of rows.  The last word has no partner.
+    """
+    ws = docs.select(*keep, pinned(matches(F.col("text"), T.LATIN_WORD)).alias("ws"))
+    rows = ws.select(*keep, F.posexplode(F.arrays_zip(
+        F.col("ws").alias("w"), F.slice("ws", F.lit(2), F.size("ws")).alias("next"))).alias("pos", "p"))
+    rows = rows.select(*keep, "pos", F.lower("p.w").alias("w"), F.lower("p.next").alias("next"))
+    alone = ~F.col("w").isin(*T.EN_STOP) & (F.length("w") > 1)
+    paired = (
+        F.col("next").isNotNull() & ~F.col("w").isin(*T.EN_STOP) & ~F.col("next").isin(*T.EN_STOP)
+        & (F.length("w") > 2) & (F.length("next") > 2)
     )
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))),
-                       lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    joined = F.transform(
-        F.filter(
-            F.transform(pairs, lambda p, i: F.struct(p["a"].alias("a"), p["b"].alias("b"), i.alias("i"))),
-            lambda p: p["b"].isNotNull() & ~p["a"].isin(*T.EN_STOP) & ~p["b"].isin(*T.EN_STOP)
-            & (F.length(p["a"]) > 2) & (F.length(p["b"]) > 2),
-        ),
-        lambda p: F.struct(F.lit(1).alias("cls"), F.concat_ws(" ", p["a"], p["b"]).alias("term"),
-                           p["i"].alias("pos"), F.lit(1).alias("lead")),
+    both = F.array(
+        F.when(alone, F.struct(F.lit(0).alias("cls"), F.col("w").alias("term"))),
+        F.when(paired, F.struct(F.lit(1).alias("cls"), F.concat_ws(" ", "w", "next").alias("term"))),
     )
-    zh = F.filter(F.concat(chinese(2, 0), chinese(3, 1)).cast(TERM), lambda s: ~s["term"].isin(*T.ZH_STOP))
-    return F.when(lang == "zh", zh).otherwise(F.concat(keep, joined).cast(TERM))
+    terms = rows.select(*keep, "pos", F.explode(both).alias("t")).where(F.col("t").isNotNull())
+    return terms.select(*keep, "t.cls", "t.term", "pos", F.lit(1).alias("lead"))
+
+
+def _chinese_terms(docs: DataFrame, keep: list) -> DataFrame:
+    """Bigram and trigram candidates; ``lead`` marks the first use inside a run."""
+    runs = docs.select(*keep, F.posexplode(matches(F.col("text"), T.CJK_RUN)).alias("run_no", "run"))
+    found = None
+    for n, cls in ((2, 0), (3, 1)):
+        # one row per distinct gram of a run: how often, and where first
+        listed = runs.withColumn("g", pinned(T.grams(F.col("run"), n)))
+        rows = listed.select(*keep, "run_no", "g", F.posexplode("g").alias("i", "term")).select(
+            *keep, F.lit(cls).alias("cls"), "term", (F.col("run_no") * 100_000 + F.col("i")).alias("pos"),
+            F.when(F.array_position("g", F.col("term")) == F.col("i") + 1, 1).otherwise(0).alias("lead"))
+        found = rows if found is None else found.unionByName(rows)
+    return found.where(~F.col("term").isin(*T.ZH_STOP))
 
 
 def ngram_counts(df: DataFrame, n: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,10 +94,10 @@ def indexed(df: DataFrame, *, key: str = "doc_id", text: str = "text", exchange:
 
 def keyword_rows(docs: DataFrame, k: int = 8, *, key: str = "doc_id") -> DataFrame:
     """Top-``k`` keywords per document: ``key, term, weight, rank``."""
-    min_df = F.when((F.col("lang") == "zh") & (F.size("sents") >= 3), 2).otherwise(1)
-    terms = docs.select(
-        key, "lang", min_df.alias("min_df"), F.explode(candidate_terms(F.col("text"), F.col("lang"))).alias("t")
-    ).select(key, "lang", "min_df", "t.*")
+    keep = [key, "lang", "min_df"]
+    facts = docs.withColumn("min_df", F.when((F.col("lang") == "zh") & (F.size("sents") >= 3), 2).otherwise(1))
+    facts = facts.select(*keep, "text")
+    terms = _latin_terms(facts.where("lang = 'en'"), keep).unionByName(_chinese_terms(facts.where("lang = 'zh'"), keep))
     counted = terms.groupBy(key, "cls", "term").agg(
         F.count(F.lit(1)).alias("tf"), F.sum("lead").alias("df"), F.min("pos").alias("pos"),
         F.first("lang").alias("lang"), F.first("min_df").alias("min_df"),
@@ -118,7 +118,10 @@ def with_keywords(docs: DataFrame, k: int = 8, *, key: str = "doc_id") -> DataFr
 
 def sentence_score(sentence: Column, i: Column, n: Column, kws: Column, lang: Column) -> Column:
     """.55 keyword cover + .22 position + .15 length + .08 signal word."""
-    low = F.lower(sentence)
+    return let(F.lower(sentence), lambda low: _score(low, sentence, i, n, kws, lang))
+
+
+def _score(low: Column, sentence: Column, i: Column, n: Column, kws: Column, lang: Column) -> Column:
     zero = F.lit(0.0)
     total = F.aggregate(kws, zero, lambda acc, k: acc + k["weight"])
     cover = F.aggregate(kws, zero, lambda acc, k: acc + F.when(low.contains(k["term"]), k["weight"]).otherwise(0.0))
@@ -233,21 +236,28 @@ def chunk_sentences(df: DataFrame, max_chars: int, *, key: str = "doc_id", text:
 def sliding_choice(sents: Column, kws: Column, lang: Column, max_chars: int, ratio: float | None = None,
                    length: int | None = None, chars: int | None = None) -> Column:
     """Best sentences of each chunk, the overlap counted once."""
-    starts = chunk_starts(sents, max_chars)
     share = 0.3 if ratio is None else ratio
 
-    def best_of(start: Column, c: Column) -> Column:
-        end = F.coalesce(F.get(starts, c + 1), F.size(sents) - 1)
-        part = F.slice(sents, start + 1, end - start + 1)
+    def best_of(part: Column, start: Column) -> Column:
         keep = F.greatest(F.lit(1), F.bround(F.size(part) * F.lit(share)).cast("int"))
         return F.slice(_ranked(_scored(part, kws, lang, start)), F.lit(1), keep)
 
-    found = F.flatten(F.transform(starts, best_of))
-    once = F.filter(found, lambda s, i: F.array_position(F.transform(found, lambda x: x["idx"]), s["idx"]) == i + 1)
+    def per_chunk(starts: Column) -> Column:
+        def one(start: Column, c: Column) -> Column:
+            end = F.coalesce(F.get(starts, c + 1), F.size(sents) - 1)
+            return let(F.slice(sents, start + 1, end - start + 1), lambda part: best_of(part, start))
+
+        return F.flatten(F.transform(starts, one))
+
+    def deduplicated(found: Column) -> Column:
+        return let(F.transform(found, lambda x: x["idx"]), lambda ids: F.filter(
+            found, lambda s, i: F.array_position(ids, s["idx"]) == i + 1))
+
+    once = let(let(chunk_starts(sents, max_chars), per_chunk), deduplicated)
     if length is not None:
         once = F.slice(_ranked(once), 1, length)
     elif chars is not None:
-        once = _within_budget(_ranked(once), chars)
+        once = let(_ranked(once), lambda r: _within_budget(r, chars))
     return _in_text_order(once)
 
 
@@ -404,15 +414,15 @@ def group_keywords(df: DataFrame, group: str, k: int = 8, *, position: str = "do
         F.col(position).alias("doc_pos"), F.lit(-1).alias("pos"), F.lit(1).alias("lead"),
     )
 
-    def terms(lang: str) -> DataFrame:
-        return docs.select(
-            group, F.lit(lang).alias("lang"), F.col(position).alias("doc_pos"),
-            F.explode(candidate_terms(F.col(text), F.lit(lang))).alias("t"),
-        ).select(group, "lang", "t.cls", "t.term", "doc_pos", "t.pos", "t.lead")
+    keep = [group, position]
+    plain = docs.select(*keep, F.col(text).alias("text"))
+
+    def placed(terms: DataFrame, lang: str) -> DataFrame:
+        return terms.select(group, F.lit(lang).alias("lang"), "cls", "term", F.col(position).alias("doc_pos"), "pos", "lead")
 
     counted = (
-        terms("en").unionByName(terms("zh")).unionByName(seam_terms)
-        .groupBy(group, "lang", "cls", "term")
+        placed(_latin_terms(plain, keep), "en").unionByName(placed(_chinese_terms(plain, keep), "zh")).unionByName(seam_terms)
+        .groupBy(group, "lang", "cls", "term")  # map-side combine: a hot group ships its distinct terms
         .agg(F.count(F.lit(1)).alias("tf"), F.sum("lead").alias("df"),
              F.min(F.struct("doc_pos", "pos")).alias("pos"))
     )
