@@ -123,3 +123,14 @@ def pinned(column: Column) -> Column:
     non-deterministic column, so the (always true) test keeps it in place.
     """
     return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """One exchange on ``key`` ahead of CPU-heavy work.
+
+    The partition count is stated, so that adaptive execution does not merge
+    partitions by their (small) bytes and leave the work to a few tasks.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, key)

@@ -93,11 +93,12 @@ def latin_words(text: Column) -> Column:
     return F.transform(matches(text, LATIN_WORD), F.lower)
 
 
-def grams(run: Column, n: int) -> Column:
+def grams(run: Column, n: int | Column) -> Column:
     """All n-grams of one string, in order."""
+    size = F.lit(n) if isinstance(n, int) else n
     return F.when(
-        F.length(run) >= n,
-        F.transform(F.sequence(F.lit(1), F.length(run) - (n - 1)), lambda i: F.substr(run, i, F.lit(n))),
+        F.length(run) >= size,
+        F.transform(F.sequence(F.lit(1), F.length(run) - size + 1), lambda i: F.substr(run, i, size)),
     ).otherwise(F.array().cast("array<string>"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from palimpsest.functions.patterns import D, WS
+from palimpsest.functions.scale import by_key
 from palimpsest.functions.splice import matches
 from palimpsest.functions.text import strip
 from palimpsest.operators.similarity import line_array
@@ -104,7 +105,7 @@ def parse_anchors(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     """
     w = W.partitionBy(key).orderBy("pos")
     t, ln = F.col(text), F.col("line")
-    base = docs.select(key, text).repartition(key)
+    base = by_key(docs.select(key, text), key)
     rows = base.select(key, F.when(t.rlike(ARROW_ANCHOR), "arrow").otherwise("ts").alias("mode"),
                        F.posexplode(line_array(t)).alias("pos", "line"))
     head = F.when(ln.rlike(MD_HEADING), strip(F.regexp_extract(ln, MD_HEADING, 2)))
@@ -379,7 +380,7 @@ def coverage_gaps(docs: DataFrame, *, key: str = "doc_id", text: str = "text", m
     """
     w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     ln = F.col("line")
-    base = docs.select(key, text).repartition(key)
+    base = by_key(docs.select(key, text), key)
     rows = base.select(key, F.posexplode(line_array(F.col(text))).alias("pos", "line"))
     rows = rows.withColumn("level", F.when(ln.rlike(MD_HEADING), F.length(F.regexp_extract(ln, MD_HEADING, 1))))
     rows = rows.withColumn("pick", F.when(F.max("level").over(W.partitionBy(key)) >= 3, 3).otherwise(2))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from palimpsest.functions import text as T
 from palimpsest.functions.patterns import D, WS
-from palimpsest.functions.scale import pinned
+from palimpsest.functions.scale import by_key, pinned
 from palimpsest.operators.similarity import line_array
 
 # --- fixed values: line patterns ---------------------------------------------
@@ -37,7 +37,7 @@ def lines(df: DataFrame, *, key: str = "doc_id", text: str = "text", exchange: b
     """``key, pos, line`` with one exchange on the key."""
     base = df.select(key, text)
     if exchange:
-        base = base.repartition(key)
+        base = by_key(base, key)
     return base.select(key, F.posexplode(line_array(F.col(text))).alias("pos", "line"))
 
 

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.functions.scale import carry_last, number_rows, pinned, spread_topk
+from palimpsest.functions.patterns import WS
+from palimpsest.functions.scale import by_key, carry_last, number_rows, pinned, spread_topk
 from palimpsest.functions.splice import let, matches
 
 SENTENCE = "struct<idx:int,para:int,sent:int,text:string,score:double>"
@@ -45,17 +46,14 @@ def _latin_terms(docs: DataFrame, keep: list) -> DataFrame:
 
 
 def _chinese_terms(docs: DataFrame, keep: list) -> DataFrame:
-    """Bigram and trigram candidates; ``lead`` marks the first use inside a run."""
+    """Bigram (2) and trigram (3) candidates; ``lead`` marks the first use inside a run."""
     runs = docs.select(*keep, F.posexplode(matches(F.col("text"), T.CJK_RUN)).alias("run_no", "run"))
-    found = None
-    for n, cls in ((2, 0), (3, 1)):
-        # one row per distinct gram of a run: how often, and where first
-        listed = runs.withColumn("g", pinned(T.grams(F.col("run"), n)))
-        rows = listed.select(*keep, "run_no", "g", F.posexplode("g").alias("i", "term")).select(
-            *keep, F.lit(cls).alias("cls"), "term", (F.col("run_no") * 100_000 + F.col("i")).alias("pos"),
-            F.when(F.array_position("g", F.col("term")) == F.col("i") + 1, 1).otherwise(0).alias("lead"))
-        found = rows if found is None else found.unionByName(rows)
-    return found.where(~F.col("term").isin(*T.ZH_STOP))
+    sized = runs.select("*", F.explode(F.array(F.lit(2), F.lit(3))).alias("n"))
+    listed = sized.withColumn("g", pinned(T.grams(F.col("run"), F.col("n"))))
+    return listed.select(*keep, "run_no", "n", "g", F.posexplode("g").alias("i", "term")).select(
+        *keep, F.col("n").alias("cls"), "term", (F.col("run_no") * 100_000 + F.col("i")).alias("pos"),
+        F.when(F.array_position("g", F.col("term")) == F.col("i") + 1, 1).otherwise(0).alias("lead"),
+    ).where(~F.col("term").isin(*T.ZH_STOP))
 
 
 def ngram_counts(df: DataFrame, n: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -69,11 +67,11 @@ def ngram_counts(df: DataFrame, n: int, *, key: str = "doc_id", text: str = "tex
 
 
 def _weight() -> Column:
-    zh = F.col("tf") * (1.0 + F.log(1.0 + F.col("df")))
+    """Latin words (cls 0) and pairs (1) by count; Chinese bigrams (2) and trigrams (3) also by spread."""
+    spread_out = F.col("tf") * (1.0 + F.log(1.0 + F.col("df")))
     return (
-        F.when(F.col("lang") == "zh", F.when(F.col("cls") == 1, zh * 1.3).otherwise(zh))
-        .when(F.col("cls") == 1, F.col("tf") * 0.8)
-        .otherwise(F.col("tf") * 1.0)
+        F.when(F.col("cls") == 0, F.col("tf") * 1.0).when(F.col("cls") == 1, F.col("tf") * 0.8)
+        .when(F.col("cls") == 2, spread_out).otherwise(spread_out * 1.3)
     )
 
 
@@ -82,25 +80,23 @@ def indexed(df: DataFrame, *, key: str = "doc_id", text: str = "text", exchange:
 
     One exchange on ``key``; documents without a sentence drop out.
     """
-    base = df.select(key, F.col(text).alias("text"))
+    # any character that is not blank makes a sentence; this test reaches the scan
+    base = df.select(key, F.col(text).alias("text")).where(F.col("text").rlike(f"[^{WS}]"))
     if exchange:
-        base = base.repartition(key)
-    return (
-        base.withColumn("sents", pinned(T.located_sentences(F.col("text"))))
-        .withColumn("lang", T.language(F.col("text")))
-        .where(F.size("sents") > 0)
-    )
+        base = by_key(base, key)
+    return base.withColumns({
+        "sents": pinned(T.located_sentences(F.col("text"))), "lang": pinned(T.language(F.col("text")))
+    })
 
 
 def keyword_rows(docs: DataFrame, k: int = 8, *, key: str = "doc_id") -> DataFrame:
     """Top-``k`` keywords per document: ``key, term, weight, rank``."""
-    keep = [key, "lang", "min_df"]
-    facts = docs.withColumn("min_df", F.when((F.col("lang") == "zh") & (F.size("sents") >= 3), 2).otherwise(1))
-    facts = facts.select(*keep, "text")
-    terms = _latin_terms(facts.where("lang = 'en'"), keep).unionByName(_chinese_terms(facts.where("lang = 'zh'"), keep))
-    counted = terms.groupBy(key, "cls", "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.sum("lead").alias("df"), F.min("pos").alias("pos"),
-        F.first("lang").alias("lang"), F.first("min_df").alias("min_df"),
+    facts = docs.withColumn("min_df", F.when(F.size("sents") >= 3, 2).otherwise(1))
+    latin = _latin_terms(docs.where("lang = 'en'").select(key, "text"), [key]).withColumn("min_df", F.lit(1))
+    chinese = _chinese_terms(facts.where("lang = 'zh'").select(key, "min_df", "text"), [key, "min_df"])
+    # numbers only, so that the aggregate hashes instead of sorting
+    counted = latin.unionByName(chinese).groupBy(key, "cls", "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.sum("lead").alias("df"), F.min("pos").alias("pos"), F.max("min_df").alias("min_df")
     ).where(F.col("df") >= F.col("min_df"))
     weighed = counted.withColumn("weight", _weight())
     return spread_topk(weighed, [key], [F.desc("weight"), "cls", "pos"], k).select(key, "term", "weight", "rank")
@@ -388,6 +384,11 @@ def group_sentences(df: DataFrame, group: str, *, position: str = "doc_id", text
     return numbered.withColumn("gidx", F.col("gidx") - 1)
 
 
+def _packed(doc: Column, pos: Column) -> Column:
+    """Document place and word place as one number (up to 16 million words a document)."""
+    return F.shiftleft(doc.cast("long"), 24) + pos + 1
+
+
 def group_keywords(df: DataFrame, group: str, k: int = 8, *, position: str = "doc_id", text: str = "text",
                    width: float = 100_000) -> DataFrame:
     """Keywords over the union of a group's documents (Latin-script groups and Chinese alike).
@@ -395,7 +396,7 @@ def group_keywords(df: DataFrame, group: str, k: int = 8, *, position: str = "do
     The documents count as one text, so the last word of one and the first word
     of the next form a pair as well.
     """
-    docs = df.where(F.size(T.sentence_array(F.col(text))) > 0)
+    docs = df.where(F.col(text).rlike(f"[^{WS}]"))
     marks = docs.groupBy(group).agg(
         F.sum(F.regexp_count(text, F.lit(T.CJK_RUN))).alias("cjk"),
         F.sum(F.regexp_count(text, F.lit(T.LATIN_WORD))).alias("latin"),
@@ -410,24 +411,25 @@ def group_keywords(df: DataFrame, group: str, k: int = 8, *, position: str = "do
     for c in ("before", "head"):
         good += [~F.col(c).isin(*T.EN_STOP), F.length(c) > 2]
     seam_terms = seams.where(reduce(lambda a, b: a & b, good)).select(
-        group, F.lit("en").alias("lang"), F.lit(1).alias("cls"), F.concat_ws(" ", "before", "head").alias("term"),
-        F.col(position).alias("doc_pos"), F.lit(-1).alias("pos"), F.lit(1).alias("lead"),
+        group, F.lit(1).alias("cls"), F.concat_ws(" ", "before", "head").alias("term"),
+        _packed(F.col(position), F.lit(-1)).alias("pos"), F.lit(1).alias("lead"),
     )
 
     keep = [group, position]
     plain = docs.select(*keep, F.col(text).alias("text"))
 
-    def placed(terms: DataFrame, lang: str) -> DataFrame:
-        return terms.select(group, F.lit(lang).alias("lang"), "cls", "term", F.col(position).alias("doc_pos"), "pos", "lead")
+    def placed(terms: DataFrame) -> DataFrame:
+        return terms.select(group, "cls", "term", _packed(F.col(position), F.col("pos")).alias("pos"), "lead")
 
     counted = (
-        placed(_latin_terms(plain, keep), "en").unionByName(placed(_chinese_terms(plain, keep), "zh")).unionByName(seam_terms)
-        .groupBy(group, "lang", "cls", "term")  # map-side combine: a hot group ships its distinct terms
-        .agg(F.count(F.lit(1)).alias("tf"), F.sum("lead").alias("df"),
-             F.min(F.struct("doc_pos", "pos")).alias("pos"))
+        placed(_latin_terms(plain, keep)).unionByName(placed(_chinese_terms(plain, keep))).unionByName(seam_terms)
+        .groupBy(group, "cls", "term")  # map-side combine: a hot group ships its distinct terms
+        .agg(F.count(F.lit(1)).alias("tf"), F.sum("lead").alias("df"), F.min("pos").alias("pos"))
     )
-    chosen = counted.join(marks, [group, "lang"]).where(
-        (F.col("lang") == "en") | (F.col("df") >= F.when(F.col("n_sents") >= 3, 2).otherwise(1))
+    latin = F.col("cls") < 2
+    enough = F.col("df") >= F.when(F.col("n_sents") >= 3, 2).otherwise(1)
+    chosen = counted.join(marks, group).where(
+        (latin & (F.col("lang") == "en")) | (~latin & (F.col("lang") == "zh") & enough)
     ).withColumn("weight", _weight())
     return spread_topk(chosen, [group], [F.desc("weight"), "cls", "pos"], k).select(
         group, "lang", "term", "weight", "rank"

@@ -173,8 +173,8 @@ def select_ratio(spark, sf):
     return _chosen(summaries.summarize(docs(spark, sf), ratio=0.15, evaluate=False))
 
 
-@query("t12_select_chars", BASE + """, run AS (SELECT *, sum(cn) OVER (PARTITION BY doc_id ORDER BY rank) AS total FROM ranked)
-SELECT doc_id, idx, text FROM (SELECT *, min(CASE WHEN total > 300 AND rank > 1 THEN rank END) OVER (PARTITION BY doc_id) AS cut FROM run) WHERE rank < coalesce(cut, 1000000000)""")
+@query("t12_select_chars", BASE + """, run AS (SELECT *, sum(cn) OVER (PARTITION BY doc_id ORDER BY rank) AS run_total FROM ranked)
+SELECT doc_id, idx, text FROM (SELECT *, min(CASE WHEN run_total > 300 AND rank > 1 THEN rank END) OVER (PARTITION BY doc_id) AS cut FROM run) WHERE rank < coalesce(cut, 1000000000)""")
 def select_chars(spark, sf):
     return _chosen(summaries.summarize(docs(spark, sf), chars=300, evaluate=False))
 
