@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("detection", "textual")
+MODULES = ("detection", "textual", "records")
 
 
 def _collect(attribute: str) -> dict:
