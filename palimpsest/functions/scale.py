@@ -122,7 +122,7 @@ def pinned(column: Column) -> Column:
     for a chain of such columns again and again.  Filters do not move past a
     non-deterministic column, so the (always true) test keeps it in place.
     """
-    return F.when(F.monotonically_increasing_id() >= 0, column)
+    return F.when(F.spark_partition_id() >= 0, column)
 
 
 def by_key(df: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("detection", "textual", "records")
+MODULES = ("detection", "textual", "records", "streams")
 
 
 def _collect(attribute: str) -> dict:
