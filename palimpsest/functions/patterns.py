@@ -58,7 +58,7 @@ KIND_HINTS: dict[str, str] = {
     "phone": rf"1[3-9]{D}{{9}}",
     "bank_card": rf"{D}{{16}}",
     "ip": rf"{D}\.{D}{{1,3}}\.",
-    "plate": f"[{_PROVINCES}][A-Z]",
+    "plate": r"[^\x00-\x7f][A-Z][A-Z0-9]{5}",
     "passport": rf"[A-Za-z]{D}{{8}}",
     "iban": rf"[A-Z]{{2}}{D}{{2}}[A-Z0-9]{{11}}",
     "swift": r"[A-Z]{6}",

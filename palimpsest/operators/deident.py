@@ -73,18 +73,14 @@ def _apply(df: DataFrame, text: str, step: Step, mode: str) -> DataFrame:
     def hit(v: Column, i: Column) -> Column:
         return _hit(n, i, kind, v, _replacement(kind, mode, n, v, i))
 
-    found = F.col("_m")
+    found = F.col(f"_m{n}")
     hits = F.transform(found, hit)
     if ok:
         hits = F.filter(hits, lambda h: X.is_valid(kind, h["original"]))
-    return (
-        df.withColumn("_m", F.when(tried, matches(t, step.pat)))
-        .withColumns({
-            text: F.when(found.isNotNull(), weave(t, step.pat, F.transform(found, piece))).otherwise(t),
-            f"_h{n}": F.coalesce(hits.cast(HIT), F.array().cast(HIT)),
-        })
-        .drop("_m")
-    )
+    return df.withColumn(f"_m{n}", F.when(tried, matches(t, step.pat))).withColumns({
+        text: F.when(found.isNotNull(), weave(t, step.pat, F.transform(found, piece))).otherwise(t),
+        f"_h{n}": F.coalesce(hits.cast(HIT), F.array().cast(HIT)),
+    })
 
 
 def _apply_custom(df: DataFrame, text: str, number: int, custom: Mapping[str, str]) -> DataFrame:
@@ -188,7 +184,8 @@ def scan_pass(df: DataFrame, mode: str = "mask", *, text: str = "text", cn: bool
         passes.append(step.number)
     columns = [f"_h{n}" for n in passes]
     merged = F.concat(*columns) if columns else F.array().cast(HIT)
-    return df.withColumns({"hits": pinned(merged), text: pinned(F.col(text))}).drop(*columns)
+    return df.withColumns({"hits": pinned(merged), text: pinned(F.col(text))}).drop(
+        *columns, *[f"_m{n}" for n in passes])
 
 
 def explode_hits(passed: DataFrame, key: str = "doc_id") -> DataFrame:
