@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions.patterns import WS
 from palimpsest.functions.scale import pinned, spread_topk
+from palimpsest.session import cut_lineage
 
 # --- fixed values: thresholds, citations and headings ------------------------
 MODIFIED_AT, SAME_AT, TRACEABLE_AT = 0.3, 0.85, 0.12
@@ -136,8 +137,8 @@ def retrieve(questions: DataFrame, sentences: DataFrame, k: int = 3, *, question
     q = questions.select(question_key, F.explode(T.question_tokens(F.col(question_text))).alias("tok"))
     sizes = q.groupBy(question_key).agg(F.count(F.lit(1)).alias("nq"))
     s = sentences.select(*order, F.explode(T.question_tokens(F.col(text))).alias("tok"))
-    # only words some question uses matter
-    asked = s.join(q.select("tok").distinct(), "tok", "left_semi")
+    # only words some question uses matter; tokenised once, then read several times
+    asked = cut_lineage(s.join(q.select("tok").distinct(), "tok", "left_semi"))
     df = asked.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     n = sentences.agg((F.count(F.lit(1)) * common_share).alias("cap"))
     common = df.crossJoin(F.broadcast(n)).where(F.col("df") > F.col("cap")).select("tok")  # n is one row

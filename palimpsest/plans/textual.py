@@ -179,7 +179,12 @@ def select_chars(spark, sf):
     return _chosen(summaries.summarize(docs(spark, sf), chars=300, evaluate=False))
 
 
-@query("t13_chunks")
+@query("t13_chunks", f"""WITH RECURSIVE {sent_ctes()},
+r AS (SELECT doc_id, idx, length(text)::BIGINT AS used, 0 AS chunk, 0::BIGINT AS first FROM sent WHERE idx = 0
+UNION ALL SELECT s.doc_id, s.idx, CASE WHEN r.used + length(s.text) > 1000 THEN length(p.text) + length(s.text) ELSE r.used + length(s.text) END,
+r.chunk + CASE WHEN r.used + length(s.text) > 1000 THEN 1 ELSE 0 END, CASE WHEN r.used + length(s.text) > 1000 THEN r.idx ELSE r.first END
+FROM r JOIN sent s ON s.doc_id = r.doc_id AND s.idx = r.idx + 1 JOIN sent p ON p.doc_id = r.doc_id AND p.idx = r.idx)
+SELECT doc_id, chunk, first, max(idx) AS last, max(used) AS chars FROM r GROUP BY ALL""")
 def chunks(spark, sf):
     return summaries.chunk_sentences(docs(spark, sf), 1000)
 
