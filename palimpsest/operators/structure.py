@@ -242,7 +242,7 @@ def match_capabilities(df: DataFrame, capabilities: dict[str, list[str]], *, key
     return df.select(key, F.explode(F.filter(scores, lambda s: s["score"] > 0)).alias("c")).select(key, "c.*")
 
 
-def best_match(matches: DataFrame, *, key: str = "doc_id", top: int = 10) -> DataFrame:
+def best_match(matches: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """Per capability the best document and the number of alternatives."""
     best = F.max(F.struct("score", (-F.col(key)).alias("neg")))
     return matches.groupBy("capability").agg(best.alias("b"), F.count(F.lit(1)).alias("n")).select(

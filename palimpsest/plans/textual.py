@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.functions.scale import spread_topk
 from palimpsest.operators import similarity, structure, summaries
-from palimpsest.operators.transcript import fmt_duration
 from palimpsest.plans import sqlkit as Q
-from palimpsest.plans.tables import documents, pick, reply_pairs, spread, table
+from palimpsest.plans.tables import documents, reply_pairs, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -107,7 +105,6 @@ def language(spark, sf):
 
 # the tables hold no Chinese text, so Chinese stands in for digits here
 _HANZI = "零一二三四五六七八九"
-_ZH = f"translate(regexp_replace(o_clerk, '[^0-9]', '', 'g'), '0123456789', '{_HANZI}')"
 
 
 def _digits_as_hanzi(spark, sf):
