@@ -255,7 +255,7 @@ def names_in_documents(df: DataFrame, names: DataFrame, *, key: str = "doc_id",
     neither the list nor the documents go through the driver.
     """
     listed = names.select(F.btrim(F.col(names.columns[0])).alias("name")).where(F.col("name") != "").distinct()
-    lengths = [r[0] for r in listed.select(F.length("name").alias("n")).distinct().where("n <= 256").collect()]
+    lengths = [r[0] for r in listed.select(F.length("name").alias("n")).distinct().collect()]
     if not lengths:
         return df.withColumn(out, X.empty_strings())
     windows = F.flatten(F.array(*[grams(F.col(text), n) for n in sorted(lengths)]))

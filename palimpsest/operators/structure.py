@@ -147,7 +147,8 @@ def _clean_node(raw: Column) -> Column:
     s = T.strip(F.regexp_replace(raw, r"::icon\([^)]*\)", ""))
     s = F.regexp_replace(s, rf"(?i)<br[{WS}]*/?>", " ")
     s = F.regexp_replace(s, rf"^([A-Za-z0-9_\-]+)(?=[{WS}]*[\[({{])", "")
-    layers = F.sequence(F.lit(1), F.lit(4))  # (( )), [ ], { } and their combinations
+    # one round per opening bracket strips (( )), [ ], { } and their combinations
+    layers = F.sequence(F.lit(1), F.regexp_count(s, F.lit(r"[\[({]")) + 1)
     return F.aggregate(layers, s, lambda acc, _: F.when(
         F.rlike(acc, F.lit(r"(?s)^(?:\(.*\)|\[.*\]|\{.*\})$")), T.strip(F.substr(acc, F.lit(2), F.length(acc) - 2))
     ).otherwise(acc))
