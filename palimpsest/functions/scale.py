@@ -109,11 +109,6 @@ def spread_topk(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, out
     return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= k)
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """True if ``df`` has at most ``rows`` rows; reads no more than needed to know."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def pinned(column: Column) -> Column:
     """``column``, computed once where it is written.
 

@@ -97,7 +97,7 @@ def ocr_lines(text: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
-def parse_anchors(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def parse_anchors(docs: DataFrame, *, key: str = "doc_id", text: str = "text", max_body: int | None = None) -> DataFrame:
     """Time anchors of Markdown transcripts with the heading above and a body excerpt.
 
     A document with one arrow anchor is read in arrow mode throughout, else its
@@ -128,10 +128,11 @@ def parse_anchors(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     stamp = F.concat(
         F.when(group(1) != "", F.format_string("%02d:", hour)).otherwise(""), F.format_string("%02d:%02d", minute, second)
     )
+    said = F.when(body == "", F.coalesce("after", F.lit(""))).otherwise(body)
     return rows.where(hit).select(
         key, (F.col("pos") + 1).alias("line_no"), "mode", (hour * 3600 + minute * 60 + second).alias("time_sec"),
         stamp.alias("timecode"), "heading",
-        F.substring(F.when(body == "", F.coalesce("after", F.lit(""))).otherwise(body), 1, 120).alias("body"),
+        (F.substring(said, 1, max_body) if max_body else said).alias("body"),
     )
 
 
@@ -254,7 +255,7 @@ def slide_stats(classified: DataFrame, by: Iterable[str] = ()) -> DataFrame:
 
 
 def anchor_check(anchors: DataFrame, frames: DataFrame, *, key: str = "section", anchor: Sequence[str] = ("line_no",),
-                 window: float = 10.0, min_hit: int = 1, time: str = "time_sec", ts: str = "ts",
+                 window: float = 10.0, min_hit: int = 1, max_keywords: int | None = None, time: str = "time_sec", ts: str = "ts",
                  text: str = "ocr_text") -> DataFrame:
     """Best frame within ``±window`` of each anchor and ok / indeterminate / drift / no_frame.
 
@@ -263,7 +264,8 @@ def anchor_check(anchors: DataFrame, frames: DataFrame, *, key: str = "section",
     spread over its time axis.
     """
     a = anchors.withColumns({
-        "head_kw": F.slice(kw_tokens(F.col("heading")), 1, 8), "alt_kw": F.slice(kw_tokens(F.col("body")), 1, 8)
+        name: F.slice(kw_tokens(F.col(c)), 1, max_keywords) if max_keywords else kw_tokens(F.col(c))
+        for name, c in (("head_kw", "heading"), ("alt_kw", "body"))
     }).withColumn("kws", F.when(F.size("head_kw") > 0, F.col("head_kw")).otherwise(F.col("alt_kw")))
     bucket = F.floor(F.col(time) / window)
     offered = a.select(key, *anchor, time, "kws", "alt_kw", F.explode(

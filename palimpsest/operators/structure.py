@@ -7,6 +7,7 @@ by one document.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -198,21 +199,33 @@ def outline(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     ).where(F.col("_use") & (F.col("text") != "")).drop("_use")
 
 
-def outline_tree(nodes: DataFrame, *, key: str = "doc_id", max_levels: int = 64) -> DataFrame:
+@F.pandas_udf("array<int>")
+def _parents(depths: pd.Series) -> pd.Series:
+    """Per list of depths, the place of the nearest earlier smaller one (-1: none)."""
+    out = []
+    for row in depths:
+        open_, places = [], []
+        for i, d in enumerate(row):
+            while open_ and row[open_[-1]] >= d:
+                open_.pop()
+            places.append(open_[-1] if open_ else -1)
+            open_.append(i)
+        out.append(places)
+    return pd.Series(out)
+
+
+def outline_tree(nodes: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """Parent of each node: the nearest earlier node with a smaller depth.
 
-    One running "last position at depth d" per depth in use, all in a single
-    window pass; linear where a self join would be quadratic.
+    A document's nodes are put in order in one row and walked once with the
+    branch that is open, however deep it is.
     """
-    depths = sorted(r[0] for r in nodes.select("depth").distinct().limit(max_levels + 1).collect())
-    if len(depths) > max_levels:
-        raise ValueError(f"more than {max_levels} outline levels")
-    before = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    seen = {f"_d{d}": F.last(F.when(F.col("depth") == d, F.col("pos")), ignorenulls=True).over(before) for d in depths}
-    rows = nodes.withColumns(seen) if seen else nodes
-    nearest = F.array_max(F.array_compact(F.array(
-        F.lit(None).cast("int"), *[F.when(F.col("depth") > d, F.col(f"_d{d}")) for d in depths])))
-    return rows.select(key, "pos", "depth", "text", nearest.alias("parent_pos"))
+    listed = nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "depth", "text"))).alias("_n"))
+    listed = listed.withColumn("_p", _parents(F.col("_n.depth")))
+    rows = listed.select(key, "_n", F.posexplode("_p").alias("_i", "_at"))
+    node = F.get("_n", F.col("_i"))
+    parent = F.when(F.col("_at") >= 0, F.get("_n", F.col("_at"))["pos"])
+    return rows.select(key, node["pos"].alias("pos"), node["depth"].alias("depth"), node["text"].alias("text"), parent.alias("parent_pos"))
 
 
 def outline_stats(tree: DataFrame, key: str = "doc_id") -> DataFrame:

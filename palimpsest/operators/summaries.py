@@ -51,7 +51,7 @@ def _chinese_terms(docs: DataFrame, keep: list) -> DataFrame:
     sized = runs.select("*", F.explode(F.array(F.lit(2), F.lit(3))).alias("n"))
     listed = sized.withColumn("g", pinned(T.grams(F.col("run"), F.col("n"))))
     return listed.select(*keep, "run_no", "n", "g", F.posexplode("g").alias("i", "term")).select(
-        *keep, F.col("n").alias("cls"), "term", (F.col("run_no") * 100_000 + F.col("i")).alias("pos"),
+        *keep, F.col("n").alias("cls"), "term", (F.shiftleft(F.col("run_no").cast("long"), 31) + F.col("i")).alias("pos"),
         F.when(F.array_position("g", F.col("term")) == F.col("i") + 1, 1).otherwise(0).alias("lead"),
     ).where(~F.col("term").isin(*T.ZH_STOP))
 
@@ -307,19 +307,21 @@ def quality(original: Column, summary: Column, kws: Column, chosen: Column, n: C
 
 
 def summarize(df: DataFrame, *, length: int | None = None, ratio: float | None = None, chars: int | None = None,
-              keywords: int = 8, cite: bool = False, max_input_chars: int = 200_000, evaluate: bool = True,
+              keywords: int = 8, cite: bool = False, max_input_chars: int | None = None, evaluate: bool = True,
               key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Extractive summary per document."""
+    """Extractive summary per document; with ``max_input_chars``, longer ones go through a sliding window of that size."""
     docs = scored_documents(df, keywords=keywords, key=key, text=text)
     n = F.size("sents")
     plain = (
         _within_budget(F.col("ranked"), chars) if chars
         else F.slice("ranked", F.lit(1), wanted(n, length, ratio))
     )
-    long = (F.length("text") > max_input_chars) & (n > 1)
-    chosen = F.when(
-        long, sliding_choice(F.col("sents"), F.col("kws"), F.col("lang"), max_input_chars, ratio, length, chars)
-    ).otherwise(_in_text_order(plain))
+    chosen = _in_text_order(plain)
+    if max_input_chars:
+        long = (F.length("text") > max_input_chars) & (n > 1)
+        chosen = F.when(
+            long, sliding_choice(F.col("sents"), F.col("kws"), F.col("lang"), max_input_chars, ratio, length, chars)
+        ).otherwise(chosen)
     out = docs.withColumn("chosen", pinned(chosen)).withColumn(
         "summary", pinned(assemble(F.col("chosen"), F.col("lang"), cite))
     )
@@ -336,13 +338,13 @@ def summarize(df: DataFrame, *, length: int | None = None, ratio: float | None =
     return out.select(*columns)
 
 
-def brief(df: DataFrame, *, keywords: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keywords, the ten best candidate sentences and counts (documents count from 1)."""
+def brief(df: DataFrame, *, keywords: int = 8, candidates: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Keywords, the best ``candidates`` sentences and counts (documents count from 1)."""
     docs = scored_documents(df, keywords=keywords, key=key, text=text)
     return docs.select(
         key,
         F.transform("kws", lambda k: k["term"]).alias("keywords"),
-        F.transform(F.slice("ranked", 1, 10), lambda s: F.struct(
+        F.transform(F.slice("ranked", 1, candidates), lambda s: F.struct(
             s["idx"].alias("index"), F.lit(1).alias("doc"), F.bround(s["score"], 3).alias("score"),
             s["text"].alias("text"))).alias("candidates"),
         F.size("sents").alias("total_sentences"),
@@ -385,8 +387,9 @@ def group_sentences(df: DataFrame, group: str, *, position: str = "doc_id", text
 
 
 def _packed(doc: Column, pos: Column) -> Column:
-    """Document place and word place as one number (up to 16 million words a document)."""
-    return F.shiftleft(doc.cast("long"), 24) + pos + 1
+    """Document place and word place (below 2 ** 62) as one number that orders both; a number keeps the aggregate hashing."""
+    place = doc.cast("decimal(20,0)") * F.lit(2**62).cast("decimal(19,0)") + (pos.cast("long") + 1).cast("decimal(20,0)")
+    return place.cast("decimal(38,0)")
 
 
 def group_keywords(df: DataFrame, group: str, k: int = 8, *, position: str = "doc_id", text: str = "text",

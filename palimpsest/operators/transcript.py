@@ -236,8 +236,8 @@ def sampled(frames: DataFrame, interval: float, *, stream: str = "stream", block
 
 
 def keyframes(hashes: DataFrame, *, interval: float | None = None, scene_bits: int = SCENE_BITS,
-              key_bits: int = KEY_BITS, limit: int = 50, stream: str = "stream", block: float = 3600.0) -> DataFrame:
-    """Scene changes that also differ from the last key frame, at most ``limit`` per stream.
+              key_bits: int = KEY_BITS, limit: int | None = None, stream: str = "stream", block: float = 3600.0) -> DataFrame:
+    """Scene changes that also differ from the last key frame, at most ``limit`` per stream if it is given.
 
     ``hashes``: ``stream, t, hash`` (64-bit).  Sampling and scene change are
     window work.  "Differs from the last key" depends on every earlier decision,
@@ -260,7 +260,7 @@ def keyframes(hashes: DataFrame, *, interval: float | None = None, scene_bits: i
                 if s != state["stream"]:
                     state.update(stream=s, key=None, n=0)
                 fresh = state["key"] is None or ((int(h) ^ state["key"]) & (2**64 - 1)).bit_count() > key_bits
-                take = fresh and state["n"] < limit
+                take = fresh and (limit is None or state["n"] < limit)
                 if take:
                     state["key"], state["n"] = int(h), state["n"] + 1
                 keep.append(take)

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palimpsest.operators import deident, gates
-from palimpsest.operators.dialogue import ANSWER_FIELDS, Session
-
-# State is dropped after these times; recordings and chats have no end marker.
-SEGMENT_WATERMARK = "1 hour"
-SESSION_TTL_MS = 24 * 3600 * 1000
-
+from palimpsest.operators.dialogue import answer_turns
 
 def stream_table(spark: SparkSession, folder: str, schema, glob: str = "*", per_trigger: int | None = None) -> DataFrame:
     """Parquet files of a folder as a stream."""
@@ -25,9 +16,9 @@ def stream_table(spark: SparkSession, folder: str, schema, glob: str = "*", per_
     return reader.parquet(folder)
 
 
-def stream_segments(segments: DataFrame, *, path: str = "path", closed_at: str = "closed_at") -> DataFrame:
-    """Each closed, non-empty segment once; a path seen again within the watermark is dropped."""
-    return segments.where(F.col("size") > 0).withWatermark(closed_at, SEGMENT_WATERMARK).dropDuplicatesWithinWatermark([path])
+def stream_segments(segments: DataFrame, *, path: str = "path") -> DataFrame:
+    """Each closed, non-empty segment once, however late a path is seen again: the state holds every path (its hash partition's)."""
+    return segments.where(F.col("size") > 0).dropDuplicates([path])
 
 
 def gate_stream(texts: DataFrame, *, key: str = "doc_id", explicit=None, confirmed=None) -> DataFrame:
@@ -48,34 +39,26 @@ def start_gate(texts: DataFrame, allowed: str, blocked: str, checkpoint: str, *,
     return texts.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-_STATE = "sentences array<string>, cited array<string>, topic string, context array<string>"
-
+def start_qa(turns: DataFrame, answers: str, history: str, checkpoint: str, *, k: int = 3, session: str = "conv_id",
+             turn: str = "turn", role: str = "role", text: str = "text"):
+    """Answers with per-session memory.
 
-def stream_qa(turns: DataFrame, *, k: int = 3, session: str = "conv_id", turn: str = "turn", role: str = "role",
-              text: str = "text") -> DataFrame:
-    """Answers with per-session memory; a session idle for a day is forgotten."""
+    The memory is a table of all turns so far, so no session is forgotten and
+    none is held in a task: each micro-batch is added to it, and the sessions
+    it touches are answered from there.  Only the batch's own questions are
+    written; one that comes late is answered by its place in the session.  A
+    replayed batch overwrites itself.
+    """
 
-    def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = [session, "turn", "topic", "is_followup", "needs_external", "answer", "citations"]
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame(columns=columns)
-            return
-        memory = Session(*state.get) if state.exists else Session()
-        rows = pd.concat(list(batches)).sort_values(turn)  # one micro-batch of one session
-        out = []
-        for n, who, said in zip(rows[turn], rows[role], rows[text]):
-            if who == "user":
-                out.append((key[0], int(n), *memory.ask(said or "", k)))
-            else:
-                memory.hear(said or "")
-        state.update((memory.sentences, sorted(memory.cited), memory.topic, memory.context))
-        state.setTimeoutDuration(SESSION_TTL_MS)
-        yield pd.DataFrame(out, columns=columns)
+    def step(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{history}/epoch={epoch}")
+        said = batch.sparkSession.read.parquet(history).where(F.col("epoch") <= epoch).drop("epoch")
+        touched = said.join(batch.select(session).distinct(), session, "left_semi")
+        done = answer_turns(touched, k=k, session=session, turn=turn, role=role, text=text)
+        new = batch.select(session, F.col(turn).cast("bigint").alias("turn")).distinct()
+        done.join(new, [session, "turn"], "left_semi").write.mode("overwrite").parquet(f"{answers}/epoch={epoch}")
 
-    kind = dict(turns.dtypes)[session]
-    return turns.groupBy(session).applyInPandasWithState(
-        step, f"{session} {kind}, {ANSWER_FIELDS}", _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_audit(decisions: DataFrame, path: str, checkpoint: str):
@@ -84,13 +67,8 @@ def stream_audit(decisions: DataFrame, path: str, checkpoint: str):
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", timed: bool = False) -> DataFrame:
-    """Drain what is available into Parquet files and read them back.
-
-    A flow with processing-time timeouts (``timed``) always has a next batch to
-    look at, so it is given a single one.
-    """
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Drain what is available into Parquet files and read them back."""
     writer = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint)
-    q = (writer.trigger(once=True) if timed else writer.trigger(availableNow=True)).start()
-    q.awaitTermination()
+    writer.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -148,7 +148,8 @@ def test_stream_answers_like_batch(spark, tmp_path):
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     df.write.parquet(str(tmp_path / "in"))
     stream = flows.stream_table(spark, str(tmp_path / "in"), df.schema)
-    got = flows.run_to_table(flows.stream_qa(stream), str(tmp_path / "out"), str(tmp_path / "ck"), timed=True)
+    flows.start_qa(stream, str(tmp_path / "out"), str(tmp_path / "said"), str(tmp_path / "ck")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
     _same(got.select("conv_id", "turn", "answer"), dialogue.answer_turns(df).select("conv_id", "turn", "answer"))
 
 
