@@ -332,7 +332,16 @@ def silence_split(spark, sf):
     return transcript.silence_split(frames, share=0.25, silence_frames=2, piece_frames=5, block=50)
 
 
-@query("e11_keyframes")
+_BITS = "list_reduce(list_prepend(0::HUGEINT, list_transform(embedding[1:64], lambda v: (v > 0)::INT::HUGEINT)), lambda a, b: a * 2 + b)"
+
+
+@query("e11_keyframes", f"""
+WITH RECURSIVE h AS (SELECT label AS stream, vec_id::DOUBLE AS t, {_BITS} AS hash, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+w AS (SELECT DISTINCT stream, 0::BIGINT AS i, 0::BIGINT AS taken, NULL::HUGEINT AS last, NULL::HUGEINT AS key, 0::BIGINT AS ordinal, NULL::DOUBLE AS t, NULL::HUGEINT AS hash, false AS keep FROM h
+UNION ALL SELECT stream, i, taken + due::INT, CASE WHEN due THEN hash ELSE last END, CASE WHEN keep THEN hash ELSE key END, ordinal + keep::INT, t, hash, keep FROM (SELECT h.stream, h.i, w.taken, w.last, w.key, w.ordinal, h.t, h.hash,
+  h.t >= w.taken * 2.0::DOUBLE AS due, h.t >= w.taken * 2.0::DOUBLE AND (w.last IS NULL OR bit_count(xor(h.hash, w.last)) > 8) AND (w.key IS NULL OR bit_count(xor(h.hash, w.key)) > 20) AS keep
+  FROM w JOIN h ON h.stream = w.stream AND h.i = w.i + 1))
+SELECT stream, t, (CASE WHEN hash >= 9223372036854775808 THEN hash - 18446744073709551616 ELSE hash END)::BIGINT AS hash, ordinal FROM w WHERE keep""")
 def keyframes(spark, sf):
     """Sign bits of the first 64 vector components as the picture hash, one stream per label."""
     bits = F.slice("embedding", 1, 64)
@@ -415,9 +424,9 @@ def kw_tokens(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(pack.kw_tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query("f04_keyword_hit", "SELECT p_partkey, contains(p_type, w) OR (length(w) >= 5 AND len(list_filter(range(1, length(w) - 1), lambda i: contains(p_type, substr(w, i, 3)))) > 0) AS hit FROM (SELECT p_partkey, p_type, split_part(p_name, ' ', 1) AS w FROM part)")
+@query("f04_keyword_hit", "SELECT p_partkey, contains(p_type, w) OR (length(w) >= 5 AND len(list_filter(range(1, length(w) - 1), lambda i: contains(p_type, substr(w, i, 3)))) > 0) AS hit FROM (SELECT p_partkey, p_type, p_name AS w FROM part)")
 def kw_hit(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", pack.kw_hit(F.split("p_name", " ")[0], F.col("p_type")).alias("hit"))
+    return table(spark, sf, "part").select("p_partkey", pack.kw_hit(F.col("p_name"), F.col("p_type")).alias("hit"))
 
 
 @query("f05_ocr_lines", "SELECT doc_id, len(list_filter(list_transform(CASE WHEN contains(text, chr(10)) THEN string_split(text, chr(10)) ELSE string_split(text, ' | ') END, lambda x: trim(x)), lambda x: x <> ''))::BIGINT AS n FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE replace(replace(text, chr(10), ' | '), chr(13), '') END AS text FROM documents)")
@@ -463,7 +472,15 @@ def signatures(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("label").alias("section"), F.col("vec_id").alias("frame_id"), sig.alias("sig"))
 
 
-@query("f08_dedup_frames")
+_MAD = "(list_sum(list_transform(list_zip(x.sig, s.sig), lambda z: abs(z[1] - z[2])))::DOUBLE / len(s.sig))"
+
+
+@query("f08_dedup_frames", f"""
+WITH RECURSIVE s AS (SELECT label AS section, vec_id AS frame_id, list_transform(embedding, lambda v: floor((v + 1) * 127.5)::INT) AS sig, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+w AS (SELECT DISTINCT section, 0::BIGINT AS i, NULL::BIGINT AS frame_id, []::STRUCT(id BIGINT, sig INT[])[] AS kept, []::STRUCT(mad DOUBLE, id BIGINT)[] AS near FROM s
+UNION ALL SELECT section, i, frame_id, CASE WHEN len(near) = 0 THEN list_append(kept, {{'id': frame_id, 'sig': sig}}) ELSE kept END, near FROM (SELECT s.section, s.i, s.frame_id, s.sig, w.kept,
+  list_sort(list_filter(list_transform(w.kept, lambda x: {{'mad': {_MAD}, 'id': x.id}}), lambda y: y.mad <= 8)) AS near FROM w JOIN s ON s.section = w.section AND s.i = w.i + 1))
+SELECT section, frame_id, len(near) = 0 AS selected, near[1].id AS dup_of, round_even(near[1].mad, 2) AS dup_mad FROM w WHERE i > 0""")
 def dedup_frames(spark, sf):
     return pack.dedup_frames(signatures(spark, sf), threshold=8.0)
 

@@ -139,6 +139,18 @@ CORPUS = (
 )
 
 # text -------------------------------------------------------------------------
+BLANKS = r"\t-\r \x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def rx(pattern: str) -> str:
+    """A pattern of the library as a SQL string."""
+    return lit(pattern.replace(P.WS, BLANKS))
+
+
+def strip(t: str) -> str:
+    return f"regexp_replace({t}, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g')"
+
+
 SENT_CUT = "([。！？!?；;…\\n\\r])"
 
 

@@ -328,17 +328,17 @@ def sentence_jaccard(spark, sf):
     return similarity.sentence_matches(a, b, "pair_id").withColumn("sim", F.round("sim", 9))
 
 
-_DIFF = sim_sql() + """, ba AS (SELECT pair_id, i, max(sim) AS best, arg_min(j, -sim * 1000000 + j * 0.0000001) AS j FROM sim GROUP BY ALL),
+_DIFF = sim_sql() + """, ba AS (SELECT pair_id, i, max(sim) AS best, arg_min(j, {'away': -sim, 'j': j}) AS j FROM sim GROUP BY ALL),
 bb AS (SELECT pair_id, j, max(sim) AS best FROM sim GROUP BY ALL),
 m AS (SELECT * FROM ba WHERE best >= 0.3), used AS (SELECT DISTINCT pair_id, j FROM m),
-diff AS (SELECT a.pair_id, 'removed' AS change, i AS idx, a.text FROM a LEFT JOIN ba USING (pair_id, i) WHERE coalesce(best, 0) < 0.3
-UNION ALL SELECT pair_id, 'modified', i, text FROM m JOIN a USING (pair_id, i) WHERE best < 0.85
-UNION ALL SELECT b.pair_id, 'added', b.j, b.text FROM b LEFT JOIN bb USING (pair_id, j) WHERE coalesce(best, 0) < 0.3 AND (b.pair_id, b.j) NOT IN (SELECT pair_id, j FROM used))"""
+diff AS (SELECT a.pair_id, 'removed' AS change, i AS idx, NULL::BIGINT AS other_idx, NULL::DOUBLE AS score, a.text, NULL AS other_text FROM a LEFT JOIN ba USING (pair_id, i) WHERE coalesce(best, 0) < 0.3
+UNION ALL SELECT m.pair_id, 'modified', m.i, m.j, round_even(m.best, 3), a.text, b.text FROM m JOIN a USING (pair_id, i) JOIN b ON b.pair_id = m.pair_id AND b.j = m.j WHERE best < 0.85
+UNION ALL SELECT b.pair_id, 'added', b.j, NULL, NULL, b.text, NULL FROM b LEFT JOIN bb USING (pair_id, j) WHERE coalesce(best, 0) < 0.3 AND (b.pair_id, b.j) NOT IN (SELECT pair_id, j FROM used))"""
 
 
-@query("t25_diff", _DIFF + " SELECT pair_id, change, idx, text FROM diff")
+@query("t25_diff", _DIFF + " SELECT pair_id, change, idx, other_idx, score, text, other_text FROM diff")
 def diff(spark, sf):
-    return similarity.diff_documents(reply_pairs(spark, sf)).select("pair_id", "change", "idx", "text")
+    return similarity.diff_documents(reply_pairs(spark, sf)).select("pair_id", "change", "idx", "other_idx", "score", "text", "other_text")
 
 
 @query("t25_diff_counts", _DIFF + " SELECT pair_id, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'modified') AS modified FROM diff GROUP BY pair_id")
@@ -346,13 +346,13 @@ def diff_counts(spark, sf):
     return similarity.diff_counts(similarity.diff_documents(reply_pairs(spark, sf)))
 
 
-_CONS = sim_sql("right_text", "left_text") + """, best AS (SELECT pair_id, i, max(sim) AS best FROM sim GROUP BY ALL),
-chk AS (SELECT a.pair_id, i AS idx, text, round_even(coalesce(best, 0.0::DOUBLE), 3) AS best_match_score, coalesce(best, 0) >= 0.12 AS traceable FROM a LEFT JOIN best USING (pair_id, i))"""
+_CONS = sim_sql("right_text", "left_text") + """, best AS (SELECT pair_id, i, max(sim) AS best, arg_min(j, {'away': -sim, 'j': j}) AS j FROM sim GROUP BY ALL),
+chk AS (SELECT a.pair_id, i AS idx, text, coalesce(best.j, -1) AS best_match_idx, round_even(coalesce(best, 0.0::DOUBLE), 3) AS best_match_score, coalesce(best, 0) >= 0.12 AS traceable FROM a LEFT JOIN best USING (pair_id, i))"""
 
 
 @query("t26_consistency", _CONS + " SELECT * FROM chk")
 def consistency(spark, sf):
-    return similarity.consistency(reply_pairs(spark, sf)).drop("best_match_idx")
+    return similarity.consistency(reply_pairs(spark, sf))
 
 
 @query("t26_verdict", _CONS + """, c AS (SELECT pair_id, count(*) AS n, count(*) FILTER (traceable) AS t FROM chk GROUP BY pair_id)
@@ -373,8 +373,8 @@ def clean_summary(spark, sf):
 
 
 # --- structure -----------------------------------------------------------------------
-_SHAPE = ("CASE (doc_id + i) % 7 WHEN 0 THEN '- ' || l WHEN 1 THEN 'Q: ' || l WHEN 2 THEN 'A: ' || l WHEN 3 THEN '| ' || substr(l, 1, 8) || ' | b | c | d |' "
-          "WHEN 4 THEN substr(l, 1, 40) || '?' WHEN 5 THEN l ELSE 'term: ' || l END")
+_SHAPE = ("CASE (doc_id + i) % 7 WHEN 0 THEN '- ' || l WHEN 1 THEN 'Q: ' || l WHEN 2 THEN 'A: ' || l WHEN 3 THEN '| ' || l || ' | b | c | d |' "
+          "WHEN 4 THEN l || '?' WHEN 5 THEN l ELSE 'term: ' || l END")
 
 
 def _shaped(spark, sf):
@@ -385,40 +385,70 @@ def _shaped(spark, sf):
         n = (F.col("doc_id") + i) % 7
         return (
             F.when(n == 0, F.concat(F.lit("- "), ln)).when(n == 1, F.concat(F.lit("Q: "), ln)).when(n == 2, F.concat(F.lit("A: "), ln))
-            .when(n == 3, F.concat(F.lit("| "), F.substring(ln, 1, 8), F.lit(" | b | c | d |")))
-            .when(n == 4, F.concat(F.substring(ln, 1, 40), F.lit("?"))).when(n == 5, ln).otherwise(F.concat(F.lit("term: "), ln))
+            .when(n == 3, F.concat(F.lit("| "), ln, F.lit(" | b | c | d |")))
+            .when(n == 4, F.concat(ln, F.lit("?"))).when(n == 5, ln).otherwise(F.concat(F.lit("term: "), ln))
         )
 
     return docs(spark, sf).select("doc_id", F.array_join(F.transform(lines, shape), "\n").alias("text"))
 
 
-@query("t28_t32_items", f"""
-WITH ln AS (SELECT doc_id, unnest(l) AS l, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, {Q.lines('text')} AS l FROM documents)),
-sh AS (SELECT doc_id, i, {_SHAPE} AS line FROM ln),
-f AS (SELECT *, trim(regexp_replace(line, '[[:space:]]+$', '')) AS s, (doc_id + i) % 7 AS k, lead(line) OVER w AS nx, lag(line) OVER w AS pv FROM sh WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-t AS (SELECT *, CASE k WHEN 0 THEN CASE WHEN trim(substr(line, 3)) <> '' THEN 'list' END WHEN 1 THEN 'qa' WHEN 2 THEN NULL WHEN 3 THEN 'table' END AS easy FROM f)
-SELECT doc_id, i AS pos, easy AS type FROM t WHERE k IN (0, 3) AND easy IS NOT NULL""")
+def _at(pattern: str, group: int) -> str:
+    return f"regexp_extract(s, {Q.rx(pattern)}, {group})"
+
+
+_S = structure
+_ITEMS = f"""
+WITH RECURSIVE ln AS (SELECT doc_id, unnest(l) AS l, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, {Q.lines('text')} AS l FROM documents)),
+sh AS (SELECT doc_id, i AS pos, {_SHAPE} AS line FROM ln), i0 AS (SELECT *, {Q.strip('line')} AS s FROM sh),
+i1 AS (SELECT *, s = '' AS blank, regexp_matches(line, {Q.rx(_S.QUESTION_MARK)}) AS is_q, regexp_matches(line, {Q.rx(_S.ANSWER_MARK)}) AS is_a,
+  regexp_matches(line, {Q.rx(_S.TABLE_ROW)}) AS is_table, regexp_matches(line, {Q.rx(_S.LIST_MARK)}) AS is_list,
+  regexp_matches(s, {Q.rx(_S.DEFINED_BY_VERB)}) AND length({_at(_S.DEFINED_BY_VERB, 2)}) >= 2 AS verb, {Q.strip(_at(_S.DEFINED_BY_VERB, 1))} AS vterm, {Q.strip(_at(_S.DEFINED_BY_VERB, 2))} AS vdesc,
+  {Q.strip(_at(_S.DEFINED_BY_MARK, 1))} AS mterm, {Q.strip(_at(_S.DEFINED_BY_MARK, 2))} AS mdesc, regexp_matches(s, {Q.rx(_S.DEFINED_BY_MARK)}) AS marked FROM i0),
+i2 AS (SELECT *, marked AND length(mterm) BETWEEN 1 AND 24 AND length(mdesc) >= 2 AS mark, is_q AND coalesce(lead(is_a) OVER w, false) AS opens, lead(line) OVER w AS next_line, lead(s) OVER w AS next_s
+  FROM i1 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+i3 AS (SELECT *, coalesce(lag(opens) OVER (PARTITION BY doc_id ORDER BY pos), false) AS closes FROM i2),
+i4 AS (SELECT *, NOT (blank OR is_table OR opens OR closes OR is_list OR verb OR mark) AND regexp_matches(s, {Q.rx(_S.ASKS)}) AS asks FROM i3),
+i5 AS (SELECT *, coalesce(lag(asks) OVER (PARTITION BY doc_id ORDER BY pos), false) AND NOT (blank OR is_table OR is_list) AS may FROM i4),
+tk AS (SELECT doc_id, pos, may AS taken FROM i5 WHERE pos = 0 UNION ALL SELECT i5.doc_id, i5.pos, i5.may AND NOT tk.taken FROM tk JOIN i5 ON i5.doc_id = tk.doc_id AND i5.pos = tk.pos + 1),
+i6 AS (SELECT i5.*, taken, coalesce(lead(taken) OVER (PARTITION BY doc_id ORDER BY pos), false) AS next_taken FROM i5 JOIN tk USING (doc_id, pos)),
+i7 AS (SELECT *, {Q.strip(f"regexp_replace(line, {Q.rx(_S.LIST_MARK)}, '')")} AS item, CASE WHEN opens THEN 'qa' WHEN taken OR blank THEN NULL
+  WHEN is_table THEN CASE WHEN NOT regexp_matches(line, {Q.rx(_S.TABLE_RULE)}) THEN 'table' END WHEN closes THEN NULL
+  WHEN is_list THEN CASE WHEN {Q.strip(f"regexp_replace(line, {Q.rx(_S.LIST_MARK)}, '')")} <> '' THEN 'list' END WHEN verb OR mark THEN 'definition' WHEN asks THEN 'qa' END AS type FROM i6),
+i8 AS (SELECT doc_id, pos, type, opens AS explicit, s, item, CASE WHEN type = 'qa' THEN CASE WHEN opens THEN {Q.strip(f"regexp_replace(line, {Q.rx(_S.QUESTION_MARK)}, '')")} ELSE s END END AS question,
+  CASE WHEN type = 'qa' THEN CASE WHEN opens THEN {Q.strip(f"regexp_replace(next_line, {Q.rx(_S.ANSWER_MARK)}, '')")} WHEN next_taken THEN next_s ELSE '' END END AS answer,
+  CASE WHEN type = 'definition' THEN CASE WHEN verb THEN vterm ELSE mterm END END AS term, CASE WHEN type = 'definition' THEN CASE WHEN verb THEN vdesc ELSE mdesc END END AS desc,
+  CASE WHEN type = 'table' THEN list_transform(string_split(regexp_extract(line, {Q.rx(_S.TABLE_ROW)}, 1), '|'), lambda c: {Q.strip('c')}) END AS cells FROM i7 WHERE type IS NOT NULL),
+items AS (SELECT *, CASE type WHEN 'list' THEN item WHEN 'table' THEN s WHEN 'definition' THEN term || '：' || "desc" ELSE '问：' || question || '　答：' || answer END AS content FROM i8)"""
+
+
+@query("t28_t32_items", _ITEMS + " SELECT doc_id, pos, type, content FROM items")
 def items(spark, sf):
-    found = structure.extract_items(_shaped(spark, sf))
-    return found.where(F.col("type").isin("list", "table")).select("doc_id", "pos", "type")
+    return structure.extract_items(_shaped(spark, sf)).select("doc_id", "pos", "type", "content")
 
 
-@query("t28_t29_questions")
+@query("t28_t29_questions", _ITEMS + " SELECT doc_id, pos, explicit, question, answer FROM items WHERE type = 'qa'")
 def questions(spark, sf):
     return structure.extract_items(_shaped(spark, sf)).where("type = 'qa'").select("doc_id", "pos", "explicit", "question", "answer")
 
 
-@query("t31_definitions")
+@query("t31_definitions", _ITEMS + " SELECT doc_id, pos, term, \"desc\" FROM items WHERE type = 'definition'")
 def definitions(spark, sf):
     return structure.extract_items(_shaped(spark, sf)).where("type = 'definition'").select("doc_id", "pos", "term", "desc")
 
 
-@query("t33_item_stats")
+@query("t33_item_stats", _ITEMS + " SELECT doc_id, type, count(*) AS n FROM items GROUP BY ALL")
 def item_stats(spark, sf):
     return structure.item_stats(structure.extract_items(_shaped(spark, sf)))
 
 
-@query("a17_items_csv_rows")
+_LABEL = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in structure.TYPE_LABEL.items()) + " END"
+_PLACE = "CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in structure.TYPE_ORDER.items()) + " END"
+
+
+@query("a17_items_csv_rows", _ITEMS + f""", v AS (SELECT *, min(CASE WHEN type = 'table' THEN pos END) OVER (PARTITION BY doc_id) AS head,
+CASE type WHEN 'qa' THEN [question, answer] WHEN 'definition' THEN [term, "desc"] WHEN 'table' THEN cells ELSE [content] END AS vs FROM items)
+SELECT doc_id, {_PLACE} AS type_order, pos, {_LABEL} AS type, coalesce(vs[1], '') AS value1, coalesce(vs[2], '') AS value2,
+CASE WHEN len(vs) > 3 THEN array_to_string(vs[3:], ' | ') ELSE coalesce(vs[3], '') END AS value3 FROM v WHERE type <> 'table' OR pos <> head""")
 def csv_rows(spark, sf):
     return structure.items_to_csv_rows(structure.extract_items(_shaped(spark, sf)))
 
@@ -429,7 +459,7 @@ def _outlined(spark, sf):
 
     def shape(ln, i):
         n = (F.col("doc_id") * 3 + i) % 5
-        body = F.concat(F.lit("x"), F.regexp_replace(F.substring(ln, 1, 20), "[^A-Za-z ]", ""))
+        body = F.concat(F.lit("x"), F.regexp_replace(ln, "[^A-Za-z ]", ""))
         return (
             F.when(n == 0, F.concat(F.lit("# "), body)).when(n == 1, F.concat(F.lit("## "), body))
             .when(n == 2, F.concat(F.lit("- "), body)).when(n == 3, F.concat(F.lit("  - "), body)).otherwise(F.concat(F.lit("    "), body))
@@ -439,7 +469,7 @@ def _outlined(spark, sf):
 
 
 _OUT = f"""WITH ln AS (SELECT doc_id, unnest(l) AS l, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, {Q.lines('text')} AS l FROM documents)),
-nd0 AS (SELECT doc_id, i AS pos, (doc_id * 3 + i) % 5 AS k, trim('x' || regexp_replace(substr(l, 1, 20), '[^A-Za-z ]', '', 'g')) AS text FROM ln),
+nd0 AS (SELECT doc_id, i AS pos, (doc_id * 3 + i) % 5 AS k, trim('x' || regexp_replace(l, '[^A-Za-z ]', '', 'g')) AS text FROM ln),
 nd1 AS (SELECT *, last_value(CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS head FROM nd0),
 nodes AS (SELECT doc_id, pos, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE coalesce(head, 0) + 1 + CASE k WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE 2 END END AS depth, text FROM nd1)"""
 
@@ -464,12 +494,12 @@ def outline_stats(spark, sf):
 
 @query("t35_mindmap", f"""
 WITH ln AS (SELECT doc_id, unnest(l) AS l, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, {Q.lines('text')} AS l FROM documents))
-SELECT doc_id, i + 3 AS pos, (i % 3)::INT AS depth, 'n' || regexp_replace(substr(l, 1, 12), '[^A-Za-z]', '', 'g') AS text FROM ln""")
+SELECT doc_id, i + 3 AS pos, (i % 3)::INT AS depth, 'n' || regexp_replace(l, '[^A-Za-z]', '', 'g') AS text FROM ln""")
 def mindmap(spark, sf):
     lines = similarity.line_array(F.col("text"))
     body = F.transform(lines, lambda ln, i: F.concat(
         F.repeat(F.lit("  "), (i % 3).cast("int")), F.lit("id"), i.cast("string"), F.lit("((n"),
-        F.regexp_replace(F.substring(ln, 1, 12), "[^A-Za-z]", ""), F.lit("))")))
+        F.regexp_replace(ln, "[^A-Za-z]", ""), F.lit("))")))
     text = F.concat(F.lit("intro\n```mermaid\nmindmap\n"), F.array_join(body, "\n"), F.lit("\n```\noutro"))
     return structure.outline(docs(spark, sf).select("doc_id", text.alias("text")))
 
