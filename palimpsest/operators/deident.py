@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
@@ -212,6 +213,20 @@ def build_tokens(hits: DataFrame, position: str = "doc_id", width: float = 1_000
     return numbered.select("original", F.concat(F.lit("T"), shown).alias("token"))
 
 
+def _sealed_cut(marked: DataFrame, text: str) -> DataFrame:
+    """``cut_lineage`` for rows that hold originals: text and hits go to the folder encrypted.
+
+    The key is made for this call and kept nowhere but in the plan, so what
+    the folder holds afterwards can't be read.
+    """
+    key = F.unhex(F.lit(secrets.token_hex(32)))
+    body = marked.select(text, "hits").schema
+    sealed = marked.withColumn("_sealed", F.aes_encrypt(F.to_json(F.struct(text, "hits")), key)).drop(text, "hits")
+    opened = F.from_json(F.aes_decrypt("_sealed", key).cast("string"), body)
+    return cut_lineage(sealed).withColumn("_open", opened).select(
+        *[c for c in marked.columns if c not in (text, "hits")], F.col(f"_open.{text}").alias(text), F.col("_open.hits").alias("hits"))
+
+
 def desensitize(df: DataFrame, mode: str = "hybrid", *, key: str = "doc_id", position: str | None = None,
                 text: str = "text", block: float = 1_000_000, **options) -> tuple[DataFrame, DataFrame]:
     """De-identify a corpus: ``(copies[key, text], hits)``.
@@ -223,7 +238,7 @@ def desensitize(df: DataFrame, mode: str = "hybrid", *, key: str = "doc_id", pos
     passed = scan_pass(df, mode, text=text, **options).select(key, *({position} - {key, None}), text, "hits")
     if mode in ("mask", "redact"):
         return passed.select(key, text), explode_hits(passed, key)
-    marked = cut_lineage(passed.where(F.size("hits") > 0))
+    marked = _sealed_cut(passed.where(F.size("hits") > 0), text)
     clean = passed.where(F.size("hits") == 0).select(key, text)
     hits = explode_hits(marked, key)
     tokenised = hits.where(F.col("replacement").contains(_MARK_L))  # bare *** and custom values take none

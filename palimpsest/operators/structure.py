@@ -199,7 +199,6 @@ def outline(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     ).where(F.col("_use") & (F.col("text") != "")).drop("_use")
 
 
-@F.pandas_udf("array<int>")
 def _parents(depths: pd.Series) -> pd.Series:
     """Per list of depths, the place of the nearest earlier smaller one (-1: none)."""
     out = []
@@ -221,7 +220,8 @@ def outline_tree(nodes: DataFrame, *, key: str = "doc_id") -> DataFrame:
     branch that is open, however deep it is.
     """
     listed = nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "depth", "text"))).alias("_n"))
-    listed = listed.withColumn("_p", _parents(F.col("_n.depth")))
+    parents = F.pandas_udf(_parents, "array<int>")
+    listed = listed.withColumn("_p", parents(F.col("_n.depth")))
     rows = listed.select(key, "_n", F.posexplode("_p").alias("_i", "_at"))
     node = F.get("_n", F.col("_i"))
     parent = F.when(F.col("_at") >= 0, F.get("_n", F.col("_at"))["pos"])

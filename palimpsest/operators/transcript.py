@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import patterns as P
 from palimpsest.functions.scale import number_rows, previous, running_min, running_sum, spread_topk
 from palimpsest.functions.text import strip
+from palimpsest.session import cut_lineage
 
 # --- fixed values: thresholds ------------------------------------------------
 LOW, MEDIUM_TRANSCRIPT, MEDIUM_OTHER = 0.5, 0.75, 0.85
@@ -195,24 +196,25 @@ def silence_split(frames: DataFrame, *, stream: str = "stream", share: float = S
     fact about that piece alone, so joining it to its predecessor is one more
     running count, not a loop.
     """
-    level = frames.groupBy(stream).agg(F.max("rms").alias("_peak"), F.count(F.lit(1)).alias("_n"))
+    level = cut_lineage(frames.groupBy(stream).agg(F.max("rms").alias("_peak"), F.count(F.lit(1)).alias("_n")))
     quiet = F.col("rms") / F.when(F.col("_peak") == 0, 1.0).otherwise(F.col("_peak")) < share
     marked = frames.join(level, stream).withColumn("quiet", quiet).select(stream, "frame_idx", "quiet")
     islands = running_sum(
         marked, [stream], "frame_idx", ["frame_idx"], F.when(F.col("quiet"), 0).otherwise(1), "loud", block
     ).where("quiet")
     runs = islands.groupBy(stream, "loud").agg(F.min("frame_idx").alias("s"), F.count(F.lit(1)).alias("run"))
-    cuts = runs.where(F.col("run") >= silence_frames).select(
+    # what follows reads the few cuts several times
+    cuts = cut_lineage(runs.where(F.col("run") >= silence_frames).select(
         stream, (F.col("s") + F.floor(F.col("run") / 2)).cast("long").alias("s")
-    )
+    ))
     starts = cuts.unionByName(level.select(stream, F.lit(0).cast("long").alias("s")))
     ends = cuts.select(stream, F.col("s").alias("at")).unionByName(level.select(stream, F.col("_n").alias("at")))
     # the k-th start pairs with the k-th end
     a = number_rows(starts, [stream], "s", ["s"], "k", block)
     b = number_rows(ends, [stream], "at", ["at"], "k", block)
-    pieces = a.join(b, [stream, "k"]).withColumn(
+    pieces = cut_lineage(a.join(b, [stream, "k"]).withColumn(
         "own", ((F.col("k") == 1) | (F.col("at") - F.col("s") >= piece_frames)).cast("int")
-    )
+    ))
     grouped = running_sum(pieces, [stream], "s", ["s"], F.col("own"), "piece", block)
     return grouped.groupBy(stream, "piece").agg(F.min("s").alias("first_frame"), F.max("at").alias("end_frame"))
 
@@ -227,9 +229,9 @@ def sampled(frames: DataFrame, interval: float, *, stream: str = "stream", block
     The counting rule ``taken += t >= taken * interval`` has the closed form
     ``taken_i = i + min(0, min_{j<=i}(floor(t_j / interval) + 1 - j))``.
     """
-    numbered = number_rows(frames, [stream], "t", ["t"], "_i", block)
+    numbered = cut_lineage(number_rows(frames, [stream], "t", ["t"], "_i", block))
     slack = (F.floor(F.col("t") / F.lit(interval)) + 1 - F.col("_i")).cast("long")
-    low = running_min(numbered.withColumn("_f", slack), [stream], "_i", "_f", "_low", block)
+    low = cut_lineage(running_min(numbered.withColumn("_f", slack), [stream], "_i", "_f", "_low", block))
     taken = F.col("_i") + F.least(F.lit(0), F.col("_low"))
     before = previous(low.withColumn("_a", taken), [stream], "_i", ["_i"], F.col("_a"), "_b", block)
     return before.where(F.col("_a") > F.coalesce("_b", F.lit(0))).drop("_i", "_f", "_low", "_a", "_b")
@@ -246,7 +248,7 @@ def keyframes(hashes: DataFrame, *, interval: float | None = None, scene_bits: i
     """
     frames = hashes.select(stream, "t", "hash")
     if interval:
-        frames = sampled(frames, interval, stream=stream, block=block)
+        frames = cut_lineage(sampled(frames, interval, stream=stream, block=block))
     scene = previous(frames, [stream], "t", ["t"], F.col("hash"), "last", block)
     candidates = scene.where(F.col("last").isNull() | (hamming(F.col("hash"), F.col("last")) > scene_bits)).select(
         stream, "t", "hash"
