@@ -18,9 +18,13 @@ QUERIES, SQL, query = registry()
 #: Words in a shingle, and similarity in hundredths, of the query.
 SHINGLE, PERCENT = 4, 85
 #: Frequent shingles that come last in the order of all shingles.  Any order gives the same links; this one saves work.
-FREQUENT = 65_536
+FREQUENT = 1 << 18
 #: Shingles that a task counts at a time to find frequent ones.
 COUNTED = 1 << 22
+#: Parts that elements are dealt to by their hash; sets of which the parts' sizes agree too little can't be similar.
+PARTS = 256
+#: Members of a group that one task holds by these sizes alone, and as many that it looks up.
+GROUP_MEMBERS = 2048
 #: Elements of sets that one task holds of a group's members, and of those that it looks up.
 GROUP_ELEMENTS = 750_000
 
@@ -42,12 +46,24 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
         return tuple(int(np.int64(np.sum(mix(s ^ np.uint64(c)), dtype=np.uint64).view(np.int64))) for c in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
 
 
+def sketch(s: np.ndarray) -> bytes | None:
+    """How many elements of the set fall into each part; None if a number is too large for a byte."""
+    n = np.bincount((s >> np.uint64(17)).astype(np.int64) % PARTS, minlength=PARTS)
+    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else None
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An upper bound of the overlaps of sets with sketches ``a`` and ``b`` (rows or a single one)."""
+    return np.minimum(a, b).sum(axis=-1, dtype=np.int64)
+
+
 def _survey(k: int):
-    """Rows ``(kind, a, n, b, c)``: each document (1) with its set's size and digest, and shingles that repeat (2) with a count."""
-    names = ["kind", "a", "n", "b", "c"]
+    """Rows ``(kind, a, n, b, c, s)``: each document (1) with its set's size, digest and sketch, and shingles that repeat (2) with a count."""
+    names = ["kind", "a", "n", "b", "c", "s"]
 
-    def rows(kind, a, n, b, c):
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=names)
+    def rows(kind, a, n, b, c, s=None):
+        longs = [pa.array(x, pa.int64()) for x in (a, n, b, c)]
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), *longs, pa.array(s or [None] * len(n), pa.binary())], names=names)
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         found, n = np.unique(np.concatenate(held), return_counts=True)
@@ -59,15 +75,16 @@ def _survey(k: int):
         total, seen = 0, set()
         for batch in batches:
             for part in slices(batch, 1):
-                size, digest = [], []
+                size, digest, sketches = [], [], []
                 for s in _sets(part, 1, k):
                     size.append(len(s))
+                    sketches.append(sketch(s))
                     digest.append(_digest(s))
                     if digest[-1] not in seen:
                         seen.add(digest[-1])
                         held.append(s)
                         total += len(s)
-                yield rows(1, part.column(0), size, [d[0] for d in digest], [d[1] for d in digest])
+                yield rows(1, part.column(0), size, [d[0] for d in digest], [d[1] for d in digest], sketches)
                 if total > COUNTED:
                     yield counted(held)
                     held, total = [], 0
@@ -171,8 +188,51 @@ def _count(s: np.ndarray, tokens: np.ndarray, owner: np.ndarray, n: int) -> np.n
     return np.bincount(owner[at], minlength=n)
 
 
+def _screen(percent: int):
+    """Adds ``may``: whether two sets can be similar by their sizes and sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "leader_n")]
+            a, b = (_sketches(batch.column(c).to_pylist()) for c in ("s", "leader_s"))
+            most = np.minimum(most_shared(a, b), np.minimum(*size))
+            may = (100 + percent) * most >= percent * (size[0] + size[1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("leader", "id", "rep", "leader_rep", "n")), pa.array(may)],
+                                             names=["leader", "id", "rep", "leader_rep", "n", "may"])
+
+    return run
+
+
+def _sketches(rows: list[bytes | None]) -> np.ndarray:
+    full = b"\xff" * PARTS
+    return np.frombuffer(b"".join(full if r is None else r for r in rows), dtype=np.uint8).reshape(-1, PARTS)
+
+
+def _candidates(percent: int):
+    """Of a group's members, those that can be similar to one in another component."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        members, asks = (pdf[pdf["kind"] == k].sort_values("n", kind="stable") for k in (1, 2))
+        hit: set[int] = set()
+        if len(members) and len(asks):
+            sizes, comps, ids = (members[c].to_numpy() for c in ("n", "component", "id"))
+            table = _sketches(members["s"].tolist())
+            for i, comp, n, own in zip(asks["id"], asks["component"], asks["n"], _sketches(asks["s"].tolist()), strict=True):
+                a, b = np.searchsorted(sizes, -(-percent * n // 100)), np.searchsorted(sizes, 100 * n // percent, "right")
+                other = a + np.flatnonzero(comps[a:b] != comp)
+                most = np.minimum(most_shared(table[other], own), np.minimum(sizes[other], n))
+                found = other[(100 + percent) * most >= percent * (sizes[other] + n)]
+                if len(found):
+                    hit.add(int(i))
+                    hit.update(ids[found].tolist())
+        leader = int(pdf["leader"].iloc[0])
+        return pd.DataFrame([(leader, i) for i in sorted(hit)], columns=["leader", "id"], dtype="int64")
+
+    return run
+
+
 def _complete(percent: int):
-    """Links across components within a group of sets that were compared with one leader."""
+    """Links across components within a group of sets that have one leader."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         def plain(kind):
@@ -184,10 +244,13 @@ def _complete(percent: int):
         asks, asked = plain(2)
         links: list[tuple[int, int]] = []
         if leader and sets and asked:
-            lists = Lists(sets, members["shared"].to_numpy(), percent)
+            def shared(s: np.ndarray) -> int:
+                return len(np.intersect1d(s, leader[0], assume_unique=True))
+
+            lists = Lists(sets, np.array([shared(s) for s in sets]), percent)
             ids, comps = members["rep"].to_numpy(), members["component"].to_numpy()
-            for rep, comp, shared, s in zip(asks["rep"], asks["component"], asks["shared"], asked, strict=True):
-                for found in lists.similar(s, leader[0], int(shared)):
+            for rep, comp, s in zip(asks["rep"], asks["component"], asked, strict=True):
+                for found in lists.similar(s, leader[0], shared(s)):
                     other = comps[found]
                     _, first = np.unique(other, return_index=True)  # one link to a component says it all
                     links.extend((int(rep), int(ids[found[f]])) for f in first if other[f] != comp)
@@ -210,16 +273,18 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     Exact for any data.  Equal sets are one.  Similar sets share an element of
     their prefixes in an order of all elements, so each prefix element has a
     list of sets; each list's smallest set is its leader, and every other one
-    is compared with it.  That joins large groups in a number of comparisons
-    that grows with their size, not its square.  Only sets of one leader that
-    are still in different components are compared with each other, by lists
-    in blocks of similar size that are skipped where the known overlaps with
-    the leader leave no room, and with a set's overlaps derived from the
-    leader's by the elements in which the two differ.
+    is compared with it, where sketches leave room for a link.  That joins
+    large groups in a number of comparisons that grows with their size, not
+    its square.  Only sets of one leader that are still in different
+    components are compared with each other: sketches leave out those that
+    can't be similar to any, and the rest are looked up in lists in blocks of
+    similar size that are skipped where the overlaps with the leader leave no
+    room, with a set's overlaps derived from the leader's by the elements in
+    which the two differ.
     """
     spark = docs.sparkSession
     small = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    survey = materialize(small.mapInArrow(_survey(shingle), "kind int, a long, n long, b long, c long"), "jaccard-survey")
+    survey = materialize(small.mapInArrow(_survey(shingle), "kind int, a long, n long, b long, c long, s binary"), "jaccard-survey")
     rows = survey.where("kind = 1").select(F.col("a").alias("id"), "n", "b", "c")
     often = survey.where("kind = 2").groupBy("a").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "a").limit(FREQUENT).toArrow()
     known, count = often["a"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy()
@@ -236,49 +301,73 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     member = join_unique(rows, shared, ["n", "b", "c"], heavy(shared, "_size", total))
     member = materialize(member.select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).alias("rep")), "jaccard-members")
 
-    # Each list's sets against its leader.
+    # Each list's sets against its leader: sketches first, then the sets that may be similar.
     entries = materialize(small.mapInArrow(_prefixes(shingle, percent, frequent), "token long, id long"), "jaccard-entries")
     lists = entries.groupBy("token").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).where("leader < _last").drop("_last")
     pairs = entries.join(lists, "token").where("id <> leader").select("leader", "id").distinct()
     pairs = materialize(pairs, "jaccard-pairs")
     needed = pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
-    sets = small.join(needed, "id", "left_semi").mapInArrow(_set_rows(shingle), "id long, elements array<long>")
-    sets = materialize(sets.join(member.dropDuplicates(["id"]).select("id", "rep"), "id"), "jaccard-sets")
-
+    drawn = survey.where("kind = 1").select(F.col("a").alias("id"), "s").dropDuplicates(["id"]).join(needed, "id")
+    drawn = materialize(drawn.join(member.dropDuplicates(["id"]), "id"), "jaccard-sketches")
     often = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("_n"))
-    n_pairs = pairs.count()
-    first = sets.select(F.col("id").alias("leader"), F.col("rep").alias("leader_rep"), F.col("elements").alias("_l"))
-    hot = first.join(F.broadcast(heavy(often, "_n", n_pairs).select("leader")), "leader", "left_semi")
-    compared = join_unique(pairs, first, ["leader"], hot, "inner").join(sets, "id")
+    frequent_leader = materialize(heavy(often, "_n", pairs.count()).select("leader"), "jaccard-hot")
+
+    def with_leader(left: DataFrame, right: DataFrame) -> DataFrame:
+        hot = right.join(F.broadcast(frequent_leader), "leader", "left_semi")
+        return join_unique(left, right, ["leader"], hot, "inner")
+
+    first = drawn.select(F.col("id").alias("leader"), F.col("rep").alias("leader_rep"), F.col("n").alias("leader_n"), F.col("s").alias("leader_s"))
+    screened = with_leader(pairs, first).join(drawn, "id").where("leader_rep <> rep")
+    screened = materialize(screened.mapInArrow(_screen(percent), "leader long, id long, rep long, leader_rep long, n long, may boolean"), "jaccard-screened")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        rows = small.join(ids.distinct(), "id", "left_semi").mapInArrow(_set_rows(shingle), "id long, elements array<long>")
+        return materialize(rows.groupBy("id").agg(F.max("elements").alias("elements")), "jaccard-sets")
+
+    alike = screened.where("may")
+    sets = sets_of(alike.select("id").unionByName(alike.select(F.col("leader").alias("id"))))
+    compared = with_leader(alike, sets.select(F.col("id").alias("leader"), F.col("elements").alias("_l"))).join(sets, "id")
     both = F.size("_l") + F.size("elements")
-    compared = compared.withColumn("shared", F.size(F.array_intersect("_l", "elements")).cast("long"))
-    compared = compared.where("leader_rep <> rep").select(
-        "leader", "leader_rep", "id", "rep", "shared", F.size("elements").cast("long").alias("n"), ((100 + percent) * F.col("shared") >= percent * both).alias("linked"))
-    compared = materialize(compared, "jaccard-compared")
-    links = compared.where("linked").select(F.col("leader_rep").alias("a"), F.col("rep").alias("b"))
+    shared = F.size(F.array_intersect("_l", "elements"))
+    links = compared.where((100 + percent) * shared >= percent * both).select(F.col("leader_rep").alias("a"), F.col("rep").alias("b"))
     settled = materialize(components(links, "jaccard-components"), "jaccard-settled")
 
     # What is left: sets of one leader in different components.
-    placed = compared.select("leader", "leader_rep", "id", "rep", "shared", "n").join(settled.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    placed = screened.drop("may").join(settled.select(F.col("node").alias("rep"), "component"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
-    per = placed.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("_sets"), F.sum("n").alias("_n"))
-    group = per.groupBy("leader").agg(F.max_by("component", F.struct("_sets", "component")).alias("_most"), F.count(F.lit(1)).alias("_parts"),
-                                     F.sum("_n").alias("_all"), F.max(F.struct("_sets", "component", "_n")).alias("_top"))
-    group = group.where("_parts > 1").select(
-        "leader", "_most", F.ceil(F.col("_all") / GROUP_ELEMENTS).cast("int").alias("_blocks"),
-        F.ceil((F.col("_all") - F.col("_top._n")) / GROUP_ELEMENTS).cast("int").alias("_asks"))
-    group = materialize(group, "jaccard-groups")
-    if not group.isEmpty():
-        open_ = placed.join(group, "leader").join(sets.select("id", "elements"), "id")
-        spread = F.sequence(F.lit(0), F.col("_asks") - 1)
-        targets = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).withColumn("ask", F.explode(spread)).withColumn("kind", F.lit(1))
-        asks = open_.where("component <> _most").withColumn("ask", F.pmod(F.xxhash64("id", F.lit(1)), F.col("_asks")).cast("int")).withColumn(
+
+    def groups(members: DataFrame, weight: str, size: int) -> DataFrame:
+        """Leaders with members in several components, the largest of these, and the blocks that members and others are dealt to."""
+        per = members.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("_sets"), F.sum(weight).alias("_w"))
+        group = per.groupBy("leader").agg(F.max(F.struct("_sets", "component", "_w")).alias("_top"), F.count(F.lit(1)).alias("_parts"), F.sum("_w").alias("_all"))
+        return materialize(group.where("_parts > 1").select(
+            "leader", F.col("_top.component").alias("_most"), F.ceil(F.col("_all") / size).cast("int").alias("_blocks"),
+            F.ceil((F.col("_all") - F.col("_top._w")) / size).cast("int").alias("_asks")), "jaccard-groups")
+
+    def dealt(members: DataFrame, group: DataFrame, columns: list[str]) -> DataFrame:
+        """Members (kind 1) meet those outside the largest component (kind 2) in all pairs of blocks."""
+        each = F.explode(F.sequence(F.lit(0), F.col("_asks") - 1))
+        rows = members.join(group, "leader")
+        targets = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).withColumn("ask", each).withColumn("kind", F.lit(1))
+        asks = rows.where("component <> _most").withColumn("ask", F.pmod(F.xxhash64("id", F.lit(1)), F.col("_asks")).cast("int")).withColumn(
             "block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("kind", F.lit(2))
-        heads = first.select("leader", F.col("_l").alias("elements")).join(group, "leader").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn(
-            "ask", F.explode(spread)).withColumn("kind", F.lit(0)).withColumn("rep", F.col("leader")).withColumn("component", F.col("leader")).withColumn("shared", F.size("elements").cast("long"))
-        columns = ["leader", "block", "ask", "kind", "rep", "component", "shared", "elements"]
-        work = heads.select(*columns).unionByName(targets.select(*columns)).unionByName(asks.select(*columns))
-        found = work.groupBy("leader", "block", "ask").applyInPandas(_complete(percent), "a long, b long")
+        return targets.select("leader", "block", "ask", "kind", *columns).unionByName(asks.select("leader", "block", "ask", "kind", *columns))
+
+    by = ["leader", "block", "ask"]
+    open_ = placed.withColumn("_one", F.lit(1))
+    group = groups(open_, "_one", GROUP_MEMBERS)
+    if not group.isEmpty():
+        work = dealt(placed.join(drawn.select("id", "s"), "id"), group, ["id", "component", "n", "s"])
+        chosen = materialize(work.groupBy(*by).applyInPandas(_candidates(percent), "leader long, id long").distinct(), "jaccard-chosen")
+        placed = placed.join(chosen, ["leader", "id"], "left_semi")
+        group = groups(placed, "n", GROUP_ELEMENTS)
+    if not group.isEmpty():
+        sets = sets_of(chosen.select("id").unionByName(group.select(F.col("leader").alias("id"))))
+        work = dealt(placed.join(sets, "id"), group, ["rep", "component", "elements"])
+        heads = sets.select(F.col("id").alias("leader"), "elements").join(group, "leader").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        heads = heads.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("_asks") - 1))).select(
+            *by, F.lit(0).alias("kind"), F.col("leader").alias("rep"), F.col("leader").alias("component"), "elements")
+        found = work.unionByName(heads).groupBy(*by).applyInPandas(_complete(percent), "a long, b long")
         found = materialize(found.distinct(), "jaccard-found")
         if not found.isEmpty():
             again = settled.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
