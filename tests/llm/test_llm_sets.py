@@ -137,6 +137,7 @@ def near_copies(seed, bases=12, copies=14):
 @pytest.mark.parametrize(("seed", "k", "percent"), [(1, 4, 85), (2, 5, 80), (3, 1, 60)])
 def test_jaccard_components(spark, seed, k, percent, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP_ELEMENTS", 300)  # several blocks
+    monkeypatch.setattr(jaccard, "GROUP_MEMBERS", 7)
     rows = near_copies(seed)
     got = jaccard.similar_groups(frame(spark, rows), shingle=k, percent=percent)
     assert sorted([tuple(r) for r in got.collect()], key=repr) == jaccard_brute(rows, k, percent)
