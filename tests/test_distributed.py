@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -121,7 +122,9 @@ def test_sliding_window_covers_every_chunk(spark):
         assert any(first <= i <= last for i in idx)
 
 
-def test_retrieve_is_exact_with_common_words(spark):
+@pytest.mark.parametrize("few", [2_000, 0])
+def test_retrieve_is_exact_with_common_words(spark, monkeypatch, few):
+    monkeypatch.setattr(similarity, "FEW_QUESTIONS", few)
     rng = random.Random(11)
     vocab = ["the", "of"] + [f"w{i}" for i in range(30)]
     sent = [(i, 0, 0, " ".join(["the"] * (rng.random() < 0.8) + rng.choices(vocab, k=6))) for i in range(300)]

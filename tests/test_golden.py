@@ -80,7 +80,7 @@ def test_messy_data_is_counted_not_masked(spark):
 
 
 def test_table_headers(spark):
-    names = ["BuyerName", "姓名", "Recipient_Name", " Customer ", "BuyerPhone", "ShippingAddress", "", "item"]
+    names = ["BuyerName", "姓名", "Consignee_Name", " Customer ", "BuyerPhone", "ShippingAddress", "", "item"]
     df = spark.createDataFrame([(n,) for n in names], "h string")
     assert [r.h for r in df.where(src.name_header(F.col("h"))).collect()] == names[:4]
 
@@ -198,3 +198,21 @@ def test_anchor_without_heading_is_indeterminate(spark):
     f = spark.createDataFrame([("s", 1, 101.0, "无关"), ("s", 2, 103.0, "光圈快门讲解")], "section string, frame_id int, ts double, ocr_text string")
     got = {r.line_no: (r.status, r.best_frame) for r in pack.anchor_check(a, f).collect()}
     assert got == {1: ("indeterminate", 1), 2: ("no_frame", None), 3: ("ok", 2)}
+
+
+def test_rarer_surnames_are_masked(spark):
+    rows = {r.text for r in deident.desensitize(spark.createDataFrame([(1, "姓名：褚卫国"), (2, "联系人阮小二")], "doc_id long, text string"), "redact", cn=True)[0].collect()}
+    assert not any(n in t for t in rows for n in ("褚卫国", "阮小二"))
+
+
+def test_deep_outline(spark):
+    text = "\n".join("  " * i + f"- n{i}" for i in range(70))
+    tree = {r.pos: r.parent_pos for r in structure.outline_tree(structure.outline(docs(spark, text))).collect()}
+    assert tree == {i: i - 1 if i else None for i in range(70)}
+
+
+def test_many_chinese_runs(spark):
+    df = spark.createDataFrame([(1, "甲乙 " * 30_000, "g"), (2, "丙丁 " * 30_000, "g")], "doc_id long, text string, src string")
+    assert summaries.keyword_rows(summaries.indexed(df)).where("rank = 1").count() == 2
+    first = [r.term for r in summaries.group_keywords(df, "src", 2).orderBy("rank").collect()]
+    assert first == ["甲乙", "丙丁"]  # alike in weight: the earlier document's comes first
