@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def test_matches_sql(spark, name):
     assert columns == sorted(want.columns)
 
     def plain(df):
-        return sorted(tuple("null" if v is None or v != v else str(v) if isinstance(v, str) else repr(float(v)) for v in r) for r in df[columns].astype(object).itertuples(index=False))
+        return sorted(tuple("null" if pd.isna(v) else str(v) if isinstance(v, str) else repr(float(v)) for v in r) for r in df[columns].astype(object).itertuples(index=False))
 
     assert plain(got) == plain(want)
 
@@ -75,7 +76,7 @@ def test_warc_filters_reach_the_source(spark):
     path = common.folder(spark, "warc-test")
     warc.write_warc(pages(spark), path)
     some = warc.read_warc(spark, path).where("record_type = 'response' and target_uri like 'u%'").select("record_id")
-    assert some.count() == sum(1 for r in warc.archive_rows(pages(spark)).collect() if r.record_type == "response" and r.target_uri.startswith("u"))
+    assert some.count() == sum(1 for r in warc.archive_rows(pages(spark)).collect() if r.record_type == "response" and (r.target_uri or "").startswith("u"))
     reader = warc.WarcReader(path, ["record_id"], None)
     left = list(reader.pushFilters([warc.EqualTo(("record_type",), "response"), warc.EqualTo(("content_length",), 5), warc.IsNotNull(("target_uri",))]))
     assert left == [warc.EqualTo(("content_length",), 5)] and len(reader.tests) == 2
@@ -130,8 +131,9 @@ def test_targets_by_resharing():
 
 def test_route_meets_quotas_at_least_repetition():
     # Two sources share a pattern; what is shared goes where it is short.
-    got = mixing.route([(("a",), 100), (("a", "b"), 100), (("b",), 10)], {"a": 100, "b": 120})
-    assert sum(got) == 220 and got == [100, 100, 20]
+    words = [100, 100, 10]
+    got = mixing.route(list(zip([("a",), ("a", "b"), ("b",)], words, strict=True)), {"a": 100, "b": 120})
+    assert sum(got) == 220 and sum(max(0, g - w) for g, w in zip(got, words, strict=True)) == 10
     assert mixing.route([(("a",), 10)], {"a": 1000}) == [30]
     assert mixing.route([(("a", "b"), 50), (("c",), 5)], {"a": 60, "b": 70, "c": 0}) == [130, 0]
     # Cheapest: nobody is repeated while fresh words are left.
@@ -196,7 +198,7 @@ def test_url_templates(spark):
     got = {r.url: r for r in urls.judge(spark.createDataFrame([(u,) for u in rows], "url string"), rules=rules).collect()}
     assert [got[u].verdict for u in rows[60:65]] == ["block", "block", "allow", "allow", "allow"]
     assert got["http://bad.org/spam/y7"].rule is None and got["http://bad.org/spam/y7"].template.endswith("/*")
-    assert {got[u].template for u in rows[65:]} == {"aword/p"} | {f"{c}word/p" for c in "bcdefghijklmnopqrstuvwxyz"}
+    assert {got[u].template for u in rows[65:]} == {"*/p"}  # a node with many rare children
 
 
 # --- the pipeline -------------------------------------------------------------
