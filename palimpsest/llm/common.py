@@ -43,10 +43,19 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+#: Removes an execution's shuffle files at its end; else they stay until the driver happens to collect its garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, and any executor can read it."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write ``df`` to the shared folder and read it back: lineage ends, any executor can read it, and its shuffle files go."""
+    path, conf = folder(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_CLEAN_UP, None)
+    conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEAN_UP, before) if before is not None else conf.unset(_CLEAN_UP)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
