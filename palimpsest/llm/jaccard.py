@@ -20,7 +20,7 @@ SHINGLE, PERCENT = 4, 85
 #: Frequent shingles that come last in the order of all shingles.  Any order gives the same links; this one saves work.
 FREQUENT = 1 << 18
 #: Shingles that a task counts at a time to find frequent ones.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
 #: Parts that elements are dealt to by their hash; sets of which the parts' sizes agree too little can't be similar.
 PARTS = 256
 #: Members of a group that one task holds by these sizes alone, and as many that it looks up.
@@ -299,7 +299,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     classes = materialize(classes, "jaccard-classes")
     shared = classes.where("_size > 1")
     member = join_unique(rows, shared, ["n", "b", "c"], heavy(shared, "_size", total))
-    member = materialize(member.select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).alias("rep")), "jaccard-members")
+    member = materialize(member.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "jaccard-members")
 
     # Each list's sets against its leader: sketches first, then the sets that may be similar.
     entries = materialize(small.mapInArrow(_prefixes(shingle, percent, frequent), "token long, id long"), "jaccard-entries")
