@@ -101,25 +101,41 @@ class LanguageModel:
         return best, score, close
 
 
-def fit_rows(x: np.ndarray, y: list[str]) -> LanguageModel:
-    """Fit on features and languages of a few thousand rows."""
+def _products(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Inner products of sparse rows, a range of dimensions at a time."""
+    out, width = np.zeros((len(rows), len(rows)), dtype=np.float32), 1024
+    for low in range(0, DIMENSIONS, width):
+        part = np.zeros((len(rows), width), dtype=np.float32)
+        for i, (at, value) in enumerate(rows):
+            a, b = np.searchsorted(at, (low, low + width))
+            part[i, at[a:b] - low] = value[a:b]
+        out += part @ part.T
+    return out
+
+
+def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], y: list[str]) -> LanguageModel:
+    """Fit on the features (places and values) and languages of a few thousand rows."""
     names = sorted(set(y))
     code = codewords(len(names))
     number = {v: i for i, v in enumerate(names)}
-    rows = np.array([number[v] for v in y])
-    bits = (code[rows] > 0).astype(np.float32)
+    kinds = np.array([number[v] for v in y])
+    bits = (code[kinds] > 0).astype(np.float32)
     standing = np.ones(code.shape)
-    gram, k = x @ x.T, 3
+    gram, k = _products(rows), 3
     if len(names) > 1 and len(y) >= 4 * k:
         fold, right = folds(len(y), k), np.zeros(bits.shape, dtype=bool)
         for f in range(k):
-            w, b = logistic(x[fold != f], bits[fold != f], l2=1e-6, steps=100, gram=gram[np.ix_(fold != f, fold != f)])
-            right[fold == f] = ((x[fold == f] @ w + b) > 0) == (bits[fold == f] > 0)
+            known, new = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            a, b = dual_logistic(gram[np.ix_(known, known)], bits[known], l2=1e-6, steps=100)
+            right[new] = ((gram[np.ix_(new, known)] @ a + b) > 0) == (bits[new] > 0)
         for c in range(len(names)):
-            standing[c] = np.maximum(right[rows == c].mean(axis=0), 1e-3)
+            standing[c] = np.maximum(right[kinds == c].mean(axis=0), 1e-3)
     standing /= standing.sum(axis=1, keepdims=True)
-    w, b = logistic(x, bits, l2=1e-6, steps=200, gram=gram)
-    return LanguageModel(names, code, w, b, standing)
+    a, b = dual_logistic(gram, bits, l2=1e-6, steps=200)
+    weights = np.zeros((DIMENSIONS, code.shape[1]), dtype=np.float32)
+    for (at, value), factor in zip(rows, a, strict=True):
+        weights[at] += value[:, None] * factor
+    return LanguageModel(names, code, weights, b, standing)
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS,
@@ -153,17 +169,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
 
     got = sample.mapInArrow(run, "_hash long, _lang string, at array<int>, value array<float>").toArrow()
     order = np.lexsort((np.array(got["_lang"].to_pylist()), got["_hash"].to_numpy()))
-    x, y, seen = np.zeros((len(order), DIMENSIONS), dtype=np.float32), [], set()
     langs, at, value = got["_lang"].to_pylist(), got["at"].combine_chunks(), got["value"].combine_chunks()
-    n = 0
-    hashes = got["_hash"].to_pylist()
-    for i in order:
+    hashes, rows_, y, seen = got["_hash"].to_pylist(), [], [], set()
+    for i in map(int, order):
         if (hashes[i], langs[i]) not in seen:  # rows that repeat key and text count once
             seen.add((hashes[i], langs[i]))
-            x[n, at[int(i)].values.to_numpy()] = value[int(i)].values.to_numpy()
+            rows_.append((at[i].values.to_numpy(), value[i].values.to_numpy()))
             y.append(langs[i])
-            n += 1
-    return fit_rows(x[:n], y)
+    return fit_rows(rows_, y)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
@@ -202,8 +215,9 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -
 def confident(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language can be told: neither ``und`` nor ambiguous; columns as they are."""
     model = fit(docs, key, text, label)
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    return identify(kept, model, "_text").where("lang_pred <> 'und' and not ambiguous").select("_row.*")
+    names = [f"_{i}" for i in range(len(docs.columns))]  # none clashes with what is added
+    told = identify(docs.toDF(*names), model, names[docs.columns.index(text)])
+    return told.where("lang_pred <> 'und' and not ambiguous").select(*names).toDF(*docs.columns)
 
 
 @query("op5_language_id")

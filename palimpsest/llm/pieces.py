@@ -5,11 +5,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import sys
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from importlib import import_module
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +72,7 @@ class Pieces:
                 self.surface.append(p.piece.replace(SPACE, " ").encode())
         #: Whether text may be cut before a space that follows something else.
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def merge(self, text: str) -> tuple[int, ...]:
         """Ids of one part of a text, by the agenda."""
@@ -108,26 +107,25 @@ class Pieces:
                 out.extend((found,) if found is not None else [self.bytes[x] for x in s.encode()])
         return tuple(out)
 
+    def packed(self, text: str | None) -> bytes:
+        """Ids as little-endian 32-bit integers, with the begin and end ids; a null text is an empty one."""
+        if not text:
+            return _pack((self.begin, self.end))
+        text = self.prefix + text.replace(" ", SPACE)
+        parts = _PART.findall(text) if self.cuts else [text]
+        found = list(map(self.known.get, parts))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self.known.get(parts[i]) or self._learn(parts[i])
+        return b"".join((_pack((self.begin,)), *found, _pack((self.end,))))
+
     def encode(self, text: str | None) -> list[int]:
-        """Ids with the begin and end ids; a null text is an empty one."""
-        out = [self.begin]
-        if text:
-            text = self.prefix + text.replace(" ", SPACE)
-            if not self.cuts:
-                out.extend(self.merge(text))
-            else:
-                parts = _PART.findall(text)
-                found = list(map(self.known.get, parts))
-                if None in found:
-                    for i, ids in enumerate(found):
-                        if ids is None:
-                            found[i] = self.known.get(parts[i]) or self._learn(parts[i])
-                out.extend(chain.from_iterable(found))
-        out.append(self.end)
-        return out
-
-    def _learn(self, part: str) -> tuple[int, ...]:
-        ids = self.merge(part)
+        """The ids of :meth:`packed`."""
+        return np.frombuffer(self.packed(text), dtype="<u4").tolist()
+
+    def _learn(self, part: str) -> bytes:
+        ids = _pack(self.merge(part))
         if len(part) <= LONGEST:
             if len(self.known) >= MEMORY:
                 self.known.clear()
@@ -172,6 +170,10 @@ class Pieces:
 _PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def _pack(ids: tuple[int, ...]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _whole(raw: bytes) -> bool:
     try:
         return len(raw.decode()) == 1
@@ -191,22 +193,21 @@ def _path(model: str) -> str:
 def _digest_batches(model: str, text_at: int, check_every: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _load(_path(model))
-        little = sys.byteorder == "little"
         seen = 0
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
             for value in batch.column(text_at):
                 text = value.as_py()
-                ids = sp.encode(text)
+                packed = sp.packed(text)
+                ids = np.frombuffer(packed, dtype="<u4").tolist()
                 back = sp.decode(ids)
                 if check_every and seen % check_every == 0:
                     want = [sp.begin, *sp.library.encode(text or "", num_threads=1), sp.end]
                     if ids != want or back != sp.library.decode(want):
                         raise ValueError("encoding differs from the sentencepiece library")
                 seen += 1
-                packed = np.array(ids, dtype=np.uint32 if little else "<u4")
                 counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(packed.tobytes()).hexdigest())
+                ids_sha.append(hashlib.sha256(packed).hexdigest())
                 text_sha.append(hashlib.sha256(back.encode()).hexdigest())
             columns = [c for i, c in enumerate(batch.columns) if i != text_at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema=schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at a time, and that go into one slice of a batch.
-PIECE, SLICE = 1 << 19, 1 << 22
+PIECE, SLICE = 1 << 19, 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
