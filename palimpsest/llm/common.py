@@ -7,11 +7,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from palimpsest.plans.tables import table
 from palimpsest.session import ensure_checkpoint_dir
 
-__all__ = ["HOT_SHARE", "components", "folder", "heavy", "join_unique", "materialize", "registry", "table"]
+__all__ = ["HOT_SHARE", "components", "folder", "heavy", "join_unique", "materialize", "registry", "smallest", "table"]
 
 #: A key is hot if it holds more than one row in this many; so there are at most this many hot keys.
 HOT_SHARE = 1024
@@ -79,6 +80,20 @@ def join_unique(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataF
     return often.unionByName(rest)
 
 
+def smallest(df: DataFrame, keys: Sequence[str], order: str, k: int) -> DataFrame:
+    """At least the ``k`` rows per key with the smallest ``order``, a 64-bit hash, and hardly more of them.
+
+    Rows are counted by key and the first 12 bits of the hash, which says where
+    the k-th one lies; so what comes to a task per key is about ``k`` rows,
+    however many there are.  Keys are few (their cuts are broadcast).
+    """
+    part = F.shiftright(order, 52)
+    n = df.groupBy(*keys, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    cut = n.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < k).groupBy(*keys).agg(F.max("_part").alias("_cut"))
+    return df.join(F.broadcast(cut), list(keys)).where(part <= F.col("_cut")).drop("_cut")
+
+
 def components(links: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``links`` (``a``, ``b`` long): a row ``node, component`` per linked node.
 

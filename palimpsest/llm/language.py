@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from palimpsest.llm.common import registry, table
-from palimpsest.llm.linear import folds, logistic
+from palimpsest.llm.common import registry, smallest, table
+from palimpsest.llm.linear import dual_logistic, folds
 from palimpsest.llm.words import raw
 
 QUERIES, SQL, query = registry()
@@ -152,7 +152,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     if not known:
         return None
     place = W.partitionBy("_lang").orderBy("_hash")
-    chosen = distinct.where(F.col("_lang").isin(known)).withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= max(1, rows // len(known)))
+    share = max(1, rows // len(known))
+    near = smallest(distinct.where(F.col("_lang").isin(known)), ["_lang"], "_hash", share)
+    chosen = near.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= share)
     texts = train.select(F.col(key).alias("_key"), F.col(label).alias("_lang"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
     sample = texts.join(F.broadcast(chosen.select("_key", "_lang", "_hash")), ["_key", "_lang", "_hash"]).select("_hash", "_lang", "_text")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from palimpsest.llm.common import registry, table
+from palimpsest.llm.common import registry, smallest, table
 from palimpsest.llm.linear import folds, logistic, sigmoid
 from palimpsest.llm.words import SYMBOLS, mix, slices, word_hashes
 
@@ -138,8 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict, key: str = "doc_id
     names = list(categories)
     tags = labels.select(F.col(key).alias("_key"), *[c.cast("int").alias(n) for n, c in categories.items()]).dropna().dropDuplicates(["_key"])
     share = max(1, rows // 2 ** len(names))
-    place = W.partitionBy(*names).orderBy(F.xxhash64("_key"), "_key")
-    tags = tags.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= share).drop("_place")
+    place = W.partitionBy(*names).orderBy("_hash", "_key")
+    tags = smallest(tags.withColumn("_hash", F.xxhash64("_key")), names, "_hash", share).withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= share).drop("_place", "_hash")
     sample = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(tags), "_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
