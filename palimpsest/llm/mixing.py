@@ -19,7 +19,7 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 SEED = "mix"
 #: Documents in a block of the seeded order; only the block where a quota ends is put in order.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
