@@ -46,10 +46,10 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
         return tuple(int(np.int64(np.sum(mix(s ^ np.uint64(c)), dtype=np.uint64).view(np.int64))) for c in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
 
 
-def sketch(s: np.ndarray) -> bytes | None:
-    """How many elements of the set fall into each part; None if a number is too large for a byte."""
+def sketch(s: np.ndarray) -> bytes:
+    """How many elements of the set fall into each part: bytes, or 32-bit numbers where one is too large for a byte."""
     n = np.bincount((s >> np.uint64(17)).astype(np.int64) % PARTS, minlength=PARTS)
-    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else None
+    return n.astype(np.uint8 if n.max(initial=0) < 256 else "<u4").tobytes()
 
 
 def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -203,9 +203,15 @@ def _screen(percent: int):
     return run
 
 
-def _sketches(rows: list[bytes | None]) -> np.ndarray:
-    full = b"\xff" * PARTS
-    return np.frombuffer(b"".join(full if r is None else r for r in rows), dtype=np.uint8).reshape(-1, PARTS)
+def _sketches(rows: list[bytes]) -> np.ndarray:
+    """A row of numbers a sketch: bytes if all are, else 32-bit numbers."""
+    wide = np.array([len(r) > PARTS for r in rows], dtype=bool)
+    if not wide.any():
+        return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, PARTS)
+    out = np.empty((len(rows), PARTS), dtype=np.uint32)
+    for some, kind in ((wide, "<u4"), (~wide, np.uint8)):
+        out[some] = np.frombuffer(b"".join(rows[i] for i in np.flatnonzero(some)), dtype=kind).reshape(-1, PARTS)
+    return out
 
 
 def _candidates(percent: int):

@@ -166,6 +166,51 @@ def test_jaccard_lists_find_all():
         assert got == want
 
 
+def long_copies(words_, changed, seed=11):
+    """A text of so many different words, and copies with so many of them changed."""
+    rng = random.Random(seed)
+    base, out = [f"w{i}" for i in range(words_)], []
+    for c, n in enumerate(changed):
+        w = list(base)
+        for i in rng.sample(range(words_), n):
+            w[i] = f"c{c}x{i}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_sketches_bound_the_overlap_of_long_sets():
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**63, 100_000).astype(np.uint64))
+    sets = [base, np.concatenate([base[3000:], rng.integers(0, 2**63, 3000).astype(np.uint64)]), base[:65_280], base[:900]]
+    sets = [np.unique(s) for s in sets]
+    table = jaccard._sketches([jaccard.sketch(s) for s in sets])
+    for i, s in enumerate(sets):
+        most = jaccard.most_shared(table, table[i])
+        for n, t in zip(most, sets, strict=True):
+            assert len(np.intersect1d(s, t)) <= n <= min(len(s), len(t))
+    # _screen and _candidates, for two sets that are similar and a small one that is not
+    sizes = [len(s) for s in sets]
+    drawn = [jaccard.sketch(s) for s in sets]
+    pairs = [(0, 1), (1, 0), (0, 3), (2, 1)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]), pa.array([b for _, b in pairs]), pa.array([a for a, _ in pairs]), pa.array([sizes[b] for _, b in pairs]),
+         pa.array([sizes[a] for a, _ in pairs]), pa.array([drawn[b] for _, b in pairs]), pa.array([drawn[a] for a, _ in pairs])],
+        names=["leader", "id", "rep", "leader_rep", "n", "leader_n", "s", "leader_s"])
+    got = pa.Table.from_batches(jaccard._screen(85)(iter([batch])))["may"].to_pylist()
+    assert got == [True, True, False, False]
+    rows = [(9, kind, i, i, sizes[i], drawn[i]) for i in (0, 1, 3) for kind in (1, 2)]
+    pdf = jaccard.pd.DataFrame(rows, columns=["leader", "kind", "id", "component", "n", "s"])
+    assert jaccard._candidates(85)(pdf)["id"].tolist() == [0, 1]
+
+
+def test_jaccard_links_very_long_documents(spark):
+    """Near copies of 100,000 different shingles, whose sketches don't fit bytes; similarity about 0.94, 0.91 and 0.6."""
+    rows = list(enumerate(long_copies(100_003, (0, 800, 1300, 8000)))) + [(10, "w1 w2 w3 w4 w5")]
+    got = jaccard.similar_groups(frame(spark, rows), shingle=4, percent=85)
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == jaccard_brute(rows, 4, 85)
+    assert jaccard_brute(rows, 4, 85)[1][2] == 0
+
+
 def test_compact_windows_hold_each_run_once():
     values = np.random.default_rng(1).integers(0, 40, 120)
     found = passages.compact_windows(values, 10)
