@@ -244,6 +244,35 @@ def test_passages(spark):
     assert passages.repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_equal_passages_in_crowded_files_are_found(spark):
+    """Many documents share a phrase of 44 words and nothing else; the passages of later pairs go over it, and one overlaps another."""
+    rng, vocab = random.Random(21), vocabulary(5000, 21)
+
+    def inside(words_):
+        """Whether the minima of the first four hash functions have the usual context on both sides within the phrase."""
+        h = words.shingles(words.word_hashes(pa.array([" ".join(words_)]))[0], 5)
+        return all(9 <= words.mix(h ^ s).argmin() <= 30 for s in passages._SEEDS[:4])
+
+    def text(n):
+        return [rng.choice(vocab) for _ in range(n)]
+
+    phrase, rows = next(p for p in iter(lambda: text(44), None) if inside(p)), []
+    for i in range(40):
+        rows.append((i, text(40) + phrase + text(40)))
+    for i in range(100, 160, 2):
+        passage = text(4) + phrase + text(4)
+        rows += [(i, text(25) + passage + text(25)), (i + 1, text(30) + passage + text(20))]
+    chain = text(120)
+    rows += [(200, chain[:62] + text(40)), (201, text(10) + chain + text(10)), (202, text(40) + chain[50:110] + text(9))]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} >= {(i + 1, i) for i in range(100, 160, 2)} | {(201, 200), (202, 201)}
+    assert all(i >= 100 for r in got for i in (r.doc_id, r.other_id))
+    for r in got:
+        a, b = (dict(rows)[i].split()[s:e + 1] for i, s, e in ((r.doc_id, r.first_word, r.last_word), (r.other_id, r.other_first_word, r.other_last_word)))
+        assert len(a) >= 50 and (a == b) == (r.similarity == 1.0)
+
+
 def test_near_passages_are_found(spark):
     """Passages of 60 words with one changed (similarity 0.84): most of them, as min-hashes go; 53 when this was written."""
     rng, vocab, rows = random.Random(9), vocabulary(5000, 9), []
