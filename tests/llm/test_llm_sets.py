@@ -234,7 +234,7 @@ def test_passages(spark):
     rows += [(20 + i, " ".join(text(20) + shared)) for i in range(30)]
     got = passages.repeated_passages(frame(spark, rows)).collect()
     flagged = {r.doc_id for r in got} | {r.other_id for r in got}
-    assert flagged == {1, 2, 6, 7, 11, *range(20, 50)} | ({3} if 3 in flagged else set())
+    assert flagged == {1, 2, 6, 7, 11, *range(20, 50)} | {3}
     for r in got:
         a, b = (dict(rows)[i].lower().split()[s:e + 1] for i, s, e in ((r.doc_id, r.first_word, r.last_word), (r.other_id, r.other_first_word, r.other_last_word)))
         x, y = shingle_set(" ".join(a), 5), shingle_set(" ".join(b), 5)
@@ -274,7 +274,7 @@ def test_equal_passages_in_crowded_files_are_found(spark):
 
 
 def test_near_passages_are_found(spark):
-    """Passages of 60 words with one changed (similarity 0.84): most of them, as min-hashes go; 53 when this was written."""
+    """Passages of 60 words with one changed (similarity 0.84): 1 - (1 - s)^4 says nearly all; two hashes found 53."""
     rng, vocab, rows = random.Random(9), vocabulary(5000, 9), []
     for i in range(60):
         p = [rng.choice(vocab) for _ in range(60)]
@@ -282,4 +282,4 @@ def test_near_passages_are_found(spark):
         q[rng.randrange(20, 40)] = "changed"
         rows += [(2 * i, " ".join(p)), (2 * i + 1, " ".join(q))]
     got = {r.doc_id // 2 for r in passages.repeated_passages(frame(spark, rows)).collect()}
-    assert len(got) >= 48
+    assert len(got) >= 58
