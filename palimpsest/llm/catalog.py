@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "passages", "warc", "pieces", "language", "jaccard", "exact", "neighbours", "mixing", "urls", "lines", "alignment")
+MODULES = ("toxicity", "passages", "warc", "pieces", "language", "jaccard", "exact", "neighbours", "mixing", "urls", "lines", "alignment", "turns")
 
 
 def _collect(attribute: str) -> dict:
