@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "embeddings"):
+    for t in ("documents", "pages", "labels", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(catalog.oracle_sql()[name]).df()
     got = catalog.queries()[name](spark, SF).toPandas()
@@ -33,7 +33,7 @@ def test_matches_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.queries()) == list(range(1, 14))
 
 
 # --- WARC ---------------------------------------------------------------------
