@@ -5,15 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from importlib import import_module
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +22,10 @@ from palimpsest.llm.common import heavy, join_unique, materialize, registry, tab
 QUERIES, SQL, query = registry()
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Words whose alignment a worker remembers, the longest of them, and the code points whose words are aligned together.
-MEMORY, LONGEST, TOGETHER = 250_000, 64, 1_000_000
+#: Code points that a task encodes together, and bytes of ids that it aligns again together (a longer text alone).
+TOGETHER, TOGETHER_IDS = 500_000, 1_000_000
+#: Links of a group from which its ids are counted before they are paired.
+WIDE = 1 << 16
 #: Pair counts that a task holds before it hands them on, and that one broadcast carries.
 HELD, SHARD = 2_000_000, 4_000_000
 #: A pair of ids as one number.
@@ -31,165 +33,111 @@ _PAIR = 1 << 32
 _SPACE = "▁"
 
 
-class Word:
-    """A stretch of text that starts where tokens of both sides start, aligned.
+def _path(model: str) -> str:
+    return model if "/" in model else import_module("public_tokenizers").path(model)
 
-    ``groups`` is its part of the digest; ``pairs`` and ``links`` are packed
-    64-bit numbers: the different pairs of ids and how often each is linked.
-    """
 
-    __slots__ = ("a", "b", "groups", "links", "n", "pairs", "sums", "whole")
-
-    def __init__(self, a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int], whole: bool):
-        self.a, self.b, self.whole = len(a), len(b), whole
-        self.sums: tuple = (None, 0, 0, 0)  # of one set of pair counts, named first
-        parts: list[str] = []
-        found: Counter = Counter()
-        i = j = at_a = at_b = start_a = start_b = 0
-        while whole and (i < len(a) or j < len(b)):
-            if at_a <= at_b:
-                at_a += sizes_a[a[i]]
-                i += 1
-            else:
-                at_b += sizes_b[b[j]]
-                j += 1
-            if at_a == at_b:
-                left, right = a[start_a:i], b[start_b:j]
-                parts.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-                _links(found, left, right)
-                start_a, start_b = i, j
-        self.n = len(parts)
-        self.groups = ";".join(parts).encode()
-        self.pairs = np.fromiter(found.keys(), np.int64, len(found)).tobytes()
-        self.links = np.fromiter(found.values(), np.int64, len(found)).tobytes()
-
-
-def _links(found: Counter, left: list[int], right: list[int]) -> None:
-    if len(left) * len(right) == 1:
-        found[left[0] * _PAIR + right[0]] += 1
-        return
-    second = Counter(right)
-    for x, n in Counter(left).items():
-        for y, m in second.items():
-            found[x * _PAIR + y] += n * m
-
-
-class Aligner:
-    """Encodes texts with both tokenizers and aligns the results, word by word.
-
-    Text is cut before each space that follows something that is not white
-    space.  There both sides start a token whatever stands around it: the
-    first's pattern takes white space only in front of a word, and no piece of
-    the second goes on with a space.  So a word has the same ids wherever it
-    stands, and is aligned once for as long as a worker remembers it.  Models
-    without these two properties get texts whole.
-    """
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes as they are, others from U+0100 on."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b if b in kept else next(others)) for b in range(256)]
+
+
+class Tokenizers:
+    """Both tokenizers, the bytes of each of their tokens, and how ids are written in a digest."""
 
     def __init__(self, first: str, second: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         import sentencepiece
         from tokenizers import Tokenizer
 
-        with open(first, encoding="utf-8") as f:
-            spec = json.load(f)
         self.first = Tokenizer.from_file(first)
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_file=second)
+        with open(first, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
         byte_of = {c: b for b, c in enumerate(_byte_letters())}
-        vocabulary = self.first.get_vocab(with_added_tokens=False)
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.sizes_a, self.sizes_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
-        self.space = self.second.piece_to_id(_SPACE)
-        before = spec["pre_tokenizer"] or {}
-        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec["normalizer"]
-        self.cuts = bool(plain) and not any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in pieces)
-        self.known: dict[str, Word] = {}
-
-    def words(self, text: str) -> list[str]:
-        """``text`` in words, each without the space that it starts with."""
-        if not self.cuts:
-            return [text]
-        if text[0] == " " or _WIDE.search(text):
-            return [w[1:] for w in _CUT.split(" " + text)]
-        return text.split(" ")
-
-    def align(self, words: list[str]) -> list[Word]:
-        whole = [" " + w for w in words]
-        first = [e.ids for e in self.first.encode_batch(whole, add_special_tokens=False)]
-        # The second adds the space by itself, but makes nothing of an empty text.
-        second = [ids if w else [self.space] for w, ids in zip(words, self.second.encode(words, num_threads=1), strict=True)]
-        out = []
-        for text, a, b in zip(whole, first, second, strict=True):
-            raw = text.encode()
-            same = b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
-            out.append(Word(a, b, self.sizes_a, self.sizes_b, same))
-        return out
-
-    def learn(self, parts: list[list[str]]) -> dict[str, Word]:
-        """The words of a few texts, aligned; long ones aren't remembered."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        missing = list({w for words in parts for w in words if w not in self.known})
-        new = dict(zip(missing, self.align(missing), strict=True)) if missing else {}
-        self.known.update((w, x) for w, x in new.items() if len(w) <= LONGEST)
-        return {w: x for w, x in new.items() if len(w) > LONGEST}
-
-
-_WIDE = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?= )")
-
-
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable bytes as they are, others from U+0100 on."""
-    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(256, 512))
-    return [chr(b if b in kept else next(others)) for b in range(256)]
-
-
-def _path(model: str) -> str:
-    return model if "/" in model else import_module("public_tokenizers").path(model)
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
+        #: An id and what follows it: another of its side, or the end of its part of the group.
+        self.written_a, self.written_b = (np.array([f"{i}{end}" for i in range(n) for end in ("," + last)], dtype=object)
+                                          for n, last in ((len(self.bytes_a), "|"), (len(self.bytes_b), ";")))
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both for each text; none where either doesn't give its bytes back."""
+        first = [e.ids for e in self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        second = self.second.encode(texts, num_threads=1)
+        for i, text in enumerate(texts):
+            raw = (" " + text).encode()
+            if b"".join(map(self.bytes_a.__getitem__, first[i])) != raw or b"".join(map(self.bytes_b.__getitem__, second[i])) != raw:
+                first[i], second[i] = [], []
+        return first, second
 
 
 @lru_cache(maxsize=2)
-def _load(first: str, second: str) -> Aligner:
-    return Aligner(_path(first), _path(second))
+def _load(first: str, second: str) -> Tokenizers:
+    return Tokenizers(_path(first), _path(second))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows of a partition, some at a time: few enough that their words fit in memory, and a long text alone."""
-    held, size = [], 0
-    for batch in batches:
-        for row in zip(*batch.columns, strict=True):
-            values = tuple(v.as_py() for v in row)
-            if held and size + len(values[0]) > TOGETHER:
-                yield held
-                held, size = [], 0
-            held.append(values)
-            size += len(values[0])
-    if held:
-        yield held
-
-
-def _aligned(aligner: Aligner, texts: list[str]) -> Iterator[tuple[list[Word], list[Word], np.ndarray]]:
-    """Per text its words in order, its different words, and how often each of these occurs."""
-    parts = [aligner.words(t) for t in texts]
-    rare = aligner.learn(parts)
-    known = aligner.known
-    for words in parts:
-        counts = Counter(words)
-        if rare:
-            each = {w: known.get(w) or rare[w] for w in counts}
-            yield [each[w] for w in words], list(each.values()), list(counts.values())
-        else:
-            yield [known[w] for w in words], [known[w] for w in counts], list(counts.values())
+class Aligned(NamedTuple):
+    """Some texts' ids one after the other, cut into groups where tokens of both sides end.
 
+    ``docs`` is the text of each group.  Links of a text's pair of ids are in
+    ``link_docs, link_pairs, link_counts``; one pair may have several rows.
+    """
 
-def _packed(values: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(values), dtype=np.int64)
+    a: np.ndarray
+    b: np.ndarray
+    group_a: np.ndarray
+    group_b: np.ndarray
+    docs: np.ndarray
+    link_docs: np.ndarray
+    link_pairs: np.ndarray
+    link_counts: np.ndarray
+
+
+def align(first: list[np.ndarray], second: list[np.ndarray], sizes_a: np.ndarray, sizes_b: np.ndarray) -> Aligned:
+    """Groups and links of a few texts at once."""
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (first, second))
+    ends_a, ends_b = np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b])
+    # Texts cover the same bytes on both sides, so each text's end is a common end.
+    cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+    counts_a, counts_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+    owner = np.repeat(np.arange(len(first)), [len(x) for x in first])
+    starts_a, starts_b = np.cumsum(counts_a) - counts_a, np.cumsum(counts_b) - counts_b
+    docs = owner[starts_a]
+    wide = counts_a * counts_b > WIDE
+    # Each first token with all second tokens of its group.
+    times = np.where(wide[group_a], 0, counts_b[group_a])
+    left = np.repeat(np.arange(len(a)), times)
+    inside = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
+    pairs = a[left] * _PAIR + b[starts_b[group_a[left]] + inside]
+    found = [(owner[left], pairs, np.ones(len(left), np.int64))]
+    for g in np.flatnonzero(wide):
+        x, n = np.unique(a[starts_a[g]:starts_a[g] + counts_a[g]], return_counts=True)
+        y, m = np.unique(b[starts_b[g]:starts_b[g] + counts_b[g]], return_counts=True)
+        links = (n[:, None] * m[None, :]).ravel()
+        found.append((np.full(len(links), docs[g]), (x[:, None] * _PAIR + y[None, :]).ravel(), links))
+    return Aligned(a, b, group_a, group_b, docs, *(np.concatenate(c) for c in zip(*found, strict=True)))
+
+
+def _digests(t: Tokenizers, x: Aligned, n: int) -> list[str]:
+    """SHA-256 of ``a1,a2|b1;a3|b2,b3`` per text; empty where it has no tokens."""
+    last_a, last_b = (np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, bool) for g in (x.group_a, x.group_b))
+    before_b = np.searchsorted(x.group_b, x.group_a, side="left")  # second tokens in earlier groups
+    before_a = np.searchsorted(x.group_a, x.group_b, side="right")  # first tokens up to this group
+    text = np.empty(len(x.a) + len(x.b), dtype=object)
+    text[np.arange(len(x.a)) + before_b] = t.written_a[x.a * 2 + last_a]
+    text[np.arange(len(x.b)) + before_a] = t.written_b[x.b * 2 + last_b]
+    sizes = np.bincount(x.docs[x.group_a], minlength=n) + np.bincount(x.docs[x.group_b], minlength=n)
+    ends = np.cumsum(sizes)
+    return [hashlib.sha256("".join(text[e - s:e].tolist())[:-1].encode()).hexdigest() if s else "" for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
 class _Tally:
@@ -197,92 +145,92 @@ class _Tally:
 
     def __init__(self):
         self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.new: list[tuple[np.ndarray, int]] = []
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, codes: np.ndarray, n: int) -> None:
-        self.new.append((codes, n))
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.new.append((codes, counts))
         self.size += len(codes)
         if self.size >= HELD:
             self.merge()
 
     def merge(self) -> None:
         codes = np.concatenate([self.codes, *[c for c, _ in self.new]])
-        counts = np.concatenate([self.counts, *[np.full(len(c), n, np.int64) for c, n in self.new]])
-        self.codes, at = np.unique(codes, return_inverse=True)
-        self.counts = np.zeros(len(self.codes), np.int64)
-        np.add.at(self.counts, at, counts)
+        counts = np.concatenate([self.counts, *[n for _, n in self.new]])
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[order]
+        starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+        self.codes, self.counts = codes[starts], np.add.reduceat(counts, starts) if len(starts) else counts
         self.new, self.size = [], 0
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        self.merge()
-        for at in range(0, len(self.codes), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(self.codes[at:at + 100_000]), pa.array(self.counts[at:at + 100_000])], ["pair", "docs"])
-        self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+_MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
+_ENCODED = "_digest string, _n long, ids binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair long, docs long"
+_COLUMNS = [c.split()[0] for c in _ENCODED.split(", ")]
+_KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 
-def _count_pairs(first: str, second: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, tally = _load(first, second), _Tally()
-        for rows in _chunks(batches):
-            for (_, n), (_, different, _) in zip(rows, _aligned(aligner, [r[0] for r in rows]), strict=True):
-                if all([w.whole for w in different]):
-                    tally.add(np.unique(_packed([w.pairs for w in different])), n)
-                    if len(tally.codes) >= HELD:
-                        yield from tally.batches()
-        yield from tally.batches()
 
-    return run
+def _batch(columns: dict, rows: int) -> pa.RecordBatch:
+    kinds = {c.split()[0]: _KINDS[c.split()[1]] for c in _ENCODED.split(", ")}
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[c]) if c in columns else pa.nulls(rows, kinds[c]) for c in _COLUMNS], _COLUMNS)
+
 
+def _chunks(batches: Iterator[pa.RecordBatch], size, limit: int) -> Iterator[list[tuple]]:
+    """Rows of a partition, some at a time: those whose sizes add up to ``limit``, or one alone."""
+    held, total = [], 0
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            values = tuple(v.as_py() for v in row)
+            if held and total + size(values) > limit:
+                yield held
+                held, total = [], 0
+            held.append(values)
+            total += size(values)
+    if held:
+        yield held
 
-def _add_up(words: list[Word], name: str, codes: np.ndarray, counts: np.ndarray, best: np.ndarray) -> None:
-    """Give each word the number of its links, the sum of their pairs' counts, and how many of them are best."""
-    sizes = np.array([len(w.pairs) // 8 for w in words], dtype=np.int64)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    pairs, links = _packed([w.pairs for w in words]), _packed([w.links for w in words])
-    at = np.minimum(np.searchsorted(codes, pairs), max(len(codes) - 1, 0))
-    here = codes[at] == pairs if len(codes) else np.zeros(len(pairs), dtype=bool)
-    n, total, top = (np.zeros(len(words), np.int64) for _ in range(3))
-    np.add.at(n, owner, links)
-    np.add.at(total, owner[here], links[here] * counts[at[here]])
-    np.add.at(top, owner[here], links[here] * best[at[here]])
-    for w, *sums in zip(words, n.tolist(), total.tolist(), top.tolist(), strict=True):
-        w.sums = (name, *sums)
 
+def _packed(a: list[int], b: list[int]) -> bytes:
+    """Ids of a text, compressed: how many the first has, then all, low bytes apart from high ones."""
+    both = np.array([len(a), *a, *b], dtype="<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(np.ascontiguousarray(both).tobytes(), 1)
 
-_MEASURES = "_digest string, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-_NAMES = [c.split()[0] for c in _MEASURES.split(", ")]
-_TYPES = [pa.string() if c.endswith("string") else pa.int64() for c in _MEASURES.split(", ")]
 
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return both[1:1 + both[0]], both[1 + both[0]:]
 
-def _measure(first: str, second: str, shard, name: str):
-    """Per text its sizes and its groups' digest, and sums of the shard's pair counts over its links."""
+
+def _encode(first: str, second: str):
+    """Each text's ids and sizes, and the pair counts of all texts of the task as rows of their own."""
+
+    def counted(tally: _Tally) -> Iterator[pa.RecordBatch]:
+        tally.merge()
+        for at in range(0, len(tally.codes), 100_000):
+            part = slice(at, at + 100_000)
+            yield _batch({"pair": tally.codes[part], "docs": tally.counts[part]}, len(tally.codes[part]))
+        tally.codes = tally.counts = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _load(first, second)
-        codes, counts, best = shard.value
-        for rows in _chunks(batches):
-            texts = list(_aligned(aligner, [r[0] for r in rows]))
-            fresh = list({id(w): w for _, different, _ in texts for w in different if w.sums[0] != name}.values())
-            if fresh:
-                _add_up(fresh, name, codes, counts, best)
-            out: list[tuple] = []
-            for (_, digest), (words, different, occurs) in zip(rows, texts, strict=True):
-                if not all([w.whole for w in different]):
-                    out.append((digest, 0, 0, 0, 0, 0, 0, ""))
-                    continue
-                n_a = n_b = n_groups = n_links = count_sum = n_best = 0
-                for w, n in zip(different, occurs, strict=True):
-                    _, links, total, top = w.sums
-                    n_a += n * w.a
-                    n_b += n * w.b
-                    n_groups += n * w.n
-                    n_links += n * links
-                    count_sum += n * total
-                    n_best += n * top
-                sha = hashlib.sha256(b";".join([w.groups for w in words])).hexdigest()
-                out.append((digest, n_a, n_b, n_groups, n_links, n_best, count_sum, sha))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
+        t, tally = _load(first, second), _Tally()
+        for rows in _chunks(batches, lambda r: len(r[0]), TOGETHER):
+            texts, times, digests = zip(*rows, strict=True)
+            a, b = t.encode(list(texts))
+            x = align([np.array(i, np.int64) for i in a], [np.array(i, np.int64) for i in b], t.sizes_a, t.sizes_b)
+            size = len(texts)
+            # Different pairs of a text: the text's number goes above the pair's 63 bits in a second key.
+            order = np.lexsort((x.link_pairs, x.link_docs))
+            docs, pairs = x.link_docs[order], x.link_pairs[order]
+            new = np.append(True, (docs[1:] != docs[:-1]) | (pairs[1:] != pairs[:-1])) if len(docs) else np.zeros(0, bool)
+            tally.add(pairs[new], np.array(times, np.int64)[docs[new]])
+            links = np.zeros(size, np.int64)
+            np.add.at(links, x.link_docs, x.link_counts)
+            yield _batch({"_digest": digests, "_n": times, "ids": list(map(_packed, a, b)), "n_a": list(map(len, a)), "n_b": list(map(len, b)),
+                          "n_groups": np.bincount(x.docs, minlength=size), "n_links": links, "groups_sha256": _digests(t, x, size)}, size)
+            if len(tally.codes) >= HELD:
+                yield from counted(tally)
+        yield from counted(tally)
 
     return run
 
@@ -297,14 +245,19 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     return texts.withColumn("_digest", F.sha2("_text", 256))
 
 
-def pair_counts(texts: DataFrame, first: str = FIRST, second: str = SECOND) -> DataFrame:
-    """``a, b, docs``: in how many documents of :func:`distinct_texts` the ids ``a`` and ``b`` are linked.
+def encoded_texts(docs: DataFrame, text: str = "text", first: str = FIRST, second: str = SECOND) -> DataFrame:
+    """Each different text encoded and aligned once, written: rows with a ``_digest`` are texts, the others pair counts of a task."""
+    texts = distinct_texts(docs, text).select("_text", "_n", "_digest")
+    return materialize(texts.mapInArrow(_encode(first, second), _ENCODED), "align-encoded")
+
 
-    Tasks add up their own counts (a bounded number of pairs at a time), so
-    what is exchanged grows with the vocabularies in use, not with the texts.
+def pair_counts(encoded: DataFrame) -> DataFrame:
+    """``a, b, docs``: in how many documents the ids ``a`` and ``b`` are linked.
+
+    Tasks have added up their own counts (a bounded number of pairs at a
+    time), so what is exchanged grows with the vocabularies in use.
     """
-    found = texts.select("_text", "_n").mapInArrow(_count_pairs(first, second), "pair long, docs long")
-    return found.groupBy("pair").agg(F.sum("docs").alias("docs")).select(
+    return encoded.where("pair is not null").groupBy("pair").agg(F.sum("docs").alias("docs")).select(
         F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(_PAIR - 1).cast("int").alias("b"), "docs")
 
 
@@ -319,35 +272,52 @@ def _shards(pairs: DataFrame) -> list[tuple[int, int]]:
     return [*out, (start, 2**31 - 1)]
 
 
-def aligned_texts(texts: DataFrame, pairs: DataFrame, first: str = FIRST, second: str = SECOND) -> DataFrame:
-    """The measures of each different text, by ``_digest``.
+def _sums(first: str, second: str, shard):
+    """Sums of the shard's pair counts over each text's links, and how many of these are best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _load(first, second)
+        codes, counts, best = shard.value
+        for rows in _chunks(batches, lambda r: len(r[1]), TOGETHER_IDS):
+            digests, raw = zip(*rows, strict=True)
+            a, b = zip(*map(_unpacked, raw), strict=True)
+            x = align(list(a), list(b), t.sizes_a, t.sizes_b)
+            at = np.minimum(np.searchsorted(codes, x.link_pairs), max(len(codes) - 1, 0))
+            here = np.flatnonzero(codes[at] == x.link_pairs) if len(codes) else np.zeros(0, np.int64)
+            total, top = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+            np.add.at(total, x.link_docs[here], x.link_counts[here] * counts[at[here]])
+            np.add.at(top, x.link_docs[here], x.link_counts[here] * best[at[here]])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(top), pa.array(total)], ["_digest", "n_best", "count_sum"])
+
+    return run
+
+
+def link_sums(encoded: DataFrame, first: str = FIRST, second: str = SECOND) -> DataFrame:
+    """``_digest, n_best, count_sum`` of each different text.
 
     Pair counts go to every task in shards of at most :data:`SHARD` pairs (one
     first id has at most as many pairs as the second vocabulary has pieces);
-    each shard is one pass over the texts, and sums of passes are added.  How
+    each shard is one pass over the ids, and sums of passes are added.  How
     many there are depends on the vocabularies, not on the number of texts.
     """
-    spark = texts.sparkSession
+    spark = encoded.sparkSession
+    pairs = materialize(pair_counts(encoded), "align-pairs")
     top = pairs.groupBy("a").agg(F.max("docs").alias("_most"))
     marked = materialize(pairs.join(F.broadcast(top), "a").withColumn("best", F.col("docs") == F.col("_most")).drop("_most"), "align-marked")
-    parts = []
+    texts = encoded.where("n_links > 0").select("_digest", "ids")
+    done = None
     for low, high in _shards(marked):
         part = marked.where((F.col("a") >= low) & (F.col("a") < high)).toPandas()
         codes = part["a"].to_numpy(np.int64) * _PAIR + part["b"].to_numpy(np.int64)
         order = np.argsort(codes)
         shard = spark.sparkContext.broadcast((codes[order], part["docs"].to_numpy(np.int64)[order], part["best"].to_numpy(np.int64)[order]))
-        name = uuid.uuid4().hex  # workers outlive jobs, and so does what they remember
-        measured = texts.select("_text", "_digest").mapInArrow(_measure(first, second, shard, name), _MEASURES)
-        parts.append(materialize(measured, "align-measures"))
+        sums = materialize(texts.mapInArrow(_sums(first, second, shard), "_digest string, n_best long, count_sum long"), f"align-sums-{uuid.uuid4().hex[:8]}")
         shard.destroy()
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    sums = [F.sum(c).alias(c) for c in ("n_best", "count_sum")]
-    same = [F.max(c).alias(c) for c in _NAMES if c not in ("_digest", "n_best", "count_sum")]
-    return both.groupBy("_digest").agg(*same, *sums).select(*_NAMES)
+        done = sums if done is None else done.unionByName(sums)
+    return done.groupBy("_digest").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+
+
+_RESULT = [*_MEASURES, "n_best", "count_sum", "groups_sha256"]
 
 
 def align_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", first: str = FIRST, second: str = SECOND) -> DataFrame:
@@ -362,21 +332,22 @@ def align_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fi
     ``a1,a2|b1;a3|b2,b3``.
 
     Each different text is encoded and aligned once, whatever the number of
-    rows that hold it.  Null and empty texts, and those that either side
-    doesn't give back byte for byte (U+2581 becomes a space), have no tokens:
-    zeros, and an empty digest; they count for nothing.  Keys may be null or
-    repeat; other columns are not read; an empty table gives none.
+    rows that hold it, and its ids are kept for the second look, when counts
+    are known.  Null and empty texts, and those that either side doesn't give
+    back byte for byte (U+2581 becomes a space), have no tokens: zeros, and an
+    empty digest; they count for nothing.  Keys may be null or repeat; other
+    columns are not read; an empty table gives none.
     """
-    texts = materialize(distinct_texts(docs, text), "align-texts")
-    pairs = materialize(pair_counts(texts, first, second), "align-pairs")
-    measures = aligned_texts(texts, pairs, first, second)
+    encoded = encoded_texts(docs, text, first, second)
+    texts = encoded.where("_digest is not null").select("_digest", "_n", *_MEASURES, "groups_sha256")
+    measures = materialize(texts.join(link_sums(encoded, first, second), "_digest", "left").select(
+        "_digest", "_n", *_MEASURES, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")], "groups_sha256"), "align-measures")
     rows = docs.select(F.col(key).alias("_key"), F.when(F.col(text) != "", F.sha2(F.col(text), 256)).alias("_digest"))
-    total = texts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    often = heavy(texts.where("_n > 1").select("_digest", "_n"), "_n", total).select("_digest")
-    hot = materialize(measures.join(F.broadcast(often), "_digest", "left_semi"), "align-hot")
-    out = join_unique(rows.where("_digest is not null"), measures, ["_digest"], hot).select("_key", *_NAMES[1:])
+    total = measures.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot = heavy(measures.where("_n > 1"), "_n", total)
+    out = join_unique(rows.where("_digest is not null"), measures, ["_digest"], hot).select("_key", *_RESULT)
     none = rows.where("_digest is null").select(
-        "_key", *[F.lit("" if c == "groups_sha256" else 0).cast("string" if c == "groups_sha256" else "long").alias(c) for c in _NAMES[1:]])
+        "_key", *[F.lit("" if c == "groups_sha256" else 0).cast("string" if c == "groups_sha256" else "long").alias(c) for c in _RESULT])
     return out.unionByName(none).withColumnRenamed("_key", key)
 
 

@@ -91,32 +91,31 @@ def test_against_whole_texts(spark, models):
     assert rows_of(got) == sorted(brute(models, rows), key=repr)
 
 
-def test_many_shards_and_small_memory(spark, models, monkeypatch):
-    """Pair counts in several passes, counts handed on early, and words forgotten give the same."""
+def test_many_shards_and_small_chunks(spark, models, monkeypatch):
+    """Pair counts in several passes give the same."""
     rows = [(i, t) for i, t in enumerate(texts())]
-    texts_df = alignment.distinct_texts(frame(spark, rows)).cache()
-    pairs = alignment.pair_counts(texts_df).cache()
     monkeypatch.setattr(alignment, "SHARD", 100)
-    assert len(alignment._shards(pairs)) > 3
-    got = rows_of(alignment.align_documents(frame(spark, rows)))
-    assert got == sorted(brute(models, rows), key=repr)
-    aligner = alignment.Aligner(alignment._path(alignment.FIRST), alignment._path(alignment.SECOND))
-    whole = alignment.Aligner(alignment._path(alignment.FIRST), alignment._path(alignment.SECOND))
-    whole.cuts = False
-    for name, value in (("MEMORY", 3), ("LONGEST", 4), ("HELD", 50)):
-        monkeypatch.setattr(alignment, name, value)
-    for t in filter(None, texts()):
-        a, b = next(alignment._aligned(aligner, [t])), next(alignment._aligned(whole, [t]))
-        if all(w.whole for w in b[0]):
-            assert b";".join(w.groups for w in a[0]) == b";".join(w.groups for w in b[0])
-        assert all(w.whole for w in a[0]) == all(w.whole for w in b[0])
-    tally = alignment._Tally()
-    for i in range(40):
-        tally.add(alignment.np.array([i % 7, 100 + i], dtype="int64"), 2)
-    seen = Counter()
-    for b in tally.batches():
-        seen.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
-    assert seen == Counter({i: 2 * len(range(i, 40, 7)) for i in range(7)}) + Counter({100 + i: 2 for i in range(40)})
+    assert len(alignment._shards(alignment.pair_counts(alignment.encoded_texts(frame(spark, rows))))) > 3
+    assert rows_of(alignment.align_documents(frame(spark, rows))) == sorted(brute(models, rows), key=repr)
+
+
+def test_chunks_in_a_task(models, monkeypatch):
+    """Small chunks, counts handed on early, and groups whose ids are counted before they are paired."""
+    rows = [(i, t) for i, t in enumerate(texts()) if t]
+    monkeypatch.setattr(alignment, "HELD", 50)
+    monkeypatch.setattr(alignment, "TOGETHER", 40)
+    monkeypatch.setattr(alignment, "WIDE", 3)
+    batch = alignment.pa.RecordBatch.from_arrays([[t for _, t in rows], [1] * len(rows), [str(i) for i, _ in rows]], ["_text", "_n", "_digest"])
+    out = [r for b in alignment._encode(alignment.FIRST, alignment.SECOND)(iter([batch])) for r in b.to_pylist()]
+    want = brute(models, rows)
+    assert [(int(r["_digest"]), r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["groups_sha256"]) for r in out if r["_digest"]] == [(*w[:5], w[7]) for w in want]
+    once = Counter()
+    for r in out:
+        if r["pair"] is not None:
+            once[r["pair"]] += r["docs"]
+    monkeypatch.undo()
+    whole = [r for b in alignment._encode(alignment.FIRST, alignment.SECOND)(iter([batch])) for r in b.to_pylist() if r["pair"] is not None]
+    assert once == Counter({r["pair"]: r["docs"] for r in whole})
 
 
 def test_empty_table(spark):
