@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from palimpsest.session import cut_lineage
+
 BLOCK = "_block"
 
 
@@ -129,3 +131,48 @@ def by_key(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, key)
+
+
+#: A key is hot if it holds more than one row in this many, so there are fewer hot keys than that.
+HOT_SHARE = 1024
+
+
+def attach(rows: DataFrame, facts: DataFrame, on: Sequence[str], weight: str, how: str = "left") -> DataFrame:
+    """``rows`` joined to ``facts``, which has each key once and tells in ``weight`` how many rows ask for it.
+
+    Hot keys (fewer than :data:`HOT_SHARE`) are looked up by broadcast, so that
+    none of them is dealt to a single task; the others are exchanged.  Both
+    tables are read twice and should be cheap to read.
+    """
+    on = list(on)
+    total = facts.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = facts.where(F.col(weight) * HOT_SHARE > F.lit(total))
+    often = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(facts, on, how)
+    return often.unionByName(rest)
+
+
+def tiled_join(left: DataFrame, right: DataFrame, on: Sequence[str], bound: int = 4096) -> DataFrame:
+    """Inner join where a key may have many rows on both sides.
+
+    The rows of such a key are cut into parts of about ``bound`` rows, and each
+    part of one side meets each of the other in a group of its own.  So a task
+    never gets more than about ``bound`` rows a side of one key, and a key
+    spreads over as many tasks as it has pairs of parts.  The sides are read
+    several times and should be cheap to read; rows must differ from each
+    other, as parts are made by a hash of the whole row.
+    """
+    on = list(on)
+    n = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_nl")).join(right.groupBy(*on).agg(F.count(F.lit(1)).alias("_nr")), on)
+    parts = [F.ceil(F.col(c) / bound).cast("int").alias(p) for c, p in (("_nl", "_lp"), ("_nr", "_rp"))]
+    wide = cut_lineage(n.where(F.greatest("_nl", "_nr") > bound).select(*on, *parts, (F.col("_nl") + F.col("_nr")).alias("_n")))
+    if wide.isEmpty():
+        return left.join(right, on)
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*rows.columns), F.coalesce(own, F.lit(1))).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        names = ("_l", "_r") if own == "_lp" else ("_r", "_l")
+        return attach(rows, wide, on, "_n").select(*rows.columns, part.alias(names[0]), each.alias(names[1]))
+
+    return dealt(left, "_lp", "_rp").join(dealt(right, "_rp", "_lp"), [*on, "_l", "_r"]).drop("_l", "_r")

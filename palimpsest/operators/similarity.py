@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
+from pyspark.sql.window import Window as W
 
 from palimpsest.functions import text as T
 from palimpsest.functions.patterns import WS
-from palimpsest.functions.scale import pinned, spread_topk
+from palimpsest.functions.scale import attach, pinned, spread_topk, tiled_join
 from palimpsest.session import cut_lineage
 
 # --- fixed values: thresholds, citations and headings ------------------------
@@ -43,57 +39,110 @@ def _sentences(pairs: DataFrame, key: str, text: str, index: str) -> DataFrame:
     return rows.withColumn("toks", pinned(T.similarity_tokens(F.col("text"))))
 
 
-def sentence_matches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def sentence_matches(left: DataFrame, right: DataFrame, key: str, bound: int = 4096) -> DataFrame:
     """Jaccard of every left/right sentence pair of one document pair that shares a token.
 
-    An equi-join on (pair, token): sentences without a common token never meet,
-    and a pair's rows spread over as many tasks as it has tokens.
+    Sentences meet by (pair, token), those without a common token never; a
+    token's sentences meet in tiles of at most about ``bound`` a side.
     """
-    a = left.select(key, "i", F.size("toks").alias("na"), F.explode("toks").alias("tok"))
-    b = right.select(key, "j", F.size("toks").alias("nb"), F.explode("toks").alias("tok"))
+    a = cut_lineage(left.select(key, "i", F.size("toks").alias("na"), F.explode("toks").alias("tok")))
+    b = cut_lineage(right.select(key, "j", F.size("toks").alias("nb"), F.explode("toks").alias("tok")))
     return (
-        a.join(b, [key, "tok"])
+        tiled_join(a, b, [key, "tok"], bound)
         .groupBy(key, "i", "j")
         .agg(F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         .select(key, "i", "j", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("sim"))
     )
 
 
-def _best(found: DataFrame, key: str, side: str, other: str) -> DataFrame:
-    """Highest similarity per sentence; the first partner wins a tie."""
-    return found.groupBy(key, side).agg(F.max(F.struct("sim", (-F.col(other)).alias("neg"))).alias("m")).select(
-        key, side, F.col("m.sim").alias("best"), (-F.col("m.neg")).alias("partner")
-    )
+# --- similarity join inside document pairs ----------------------------------------
+def _token_sets(rows: DataFrame, key: str, index: str) -> DataFrame:
+    """Rows with two hashes of their token set (``_a, _b``), written once as they are read several times."""
+    toks = F.array_sort("toks")
+    return cut_lineage(rows.select(key, index, "text", toks.alias("toks"), F.xxhash64(F.lit(1), toks).alias("_a"), F.xxhash64(F.lit(2), toks).alias("_b")))
+
+
+def _different(rows: DataFrame, key: str, index: str) -> DataFrame:
+    """Each different token set of a pair once: its first sentence and how many sentences have it.  Empty sets match nothing."""
+    return rows.where(F.size("toks") > 0).groupBy(key, "_a", "_b").agg(
+        F.first("toks").alias("toks"), F.min(index).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+
+
+def _by_frequency(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The different sets of both sides as ``key, _side, _a, _b, size, toks``, each with its rarest token (in the pair) first."""
+    sides = left.select(key, F.lit(0).alias("_side"), "_a", "_b", "toks").unionByName(right.select(key, F.lit(1).alias("_side"), "_a", "_b", "toks"))
+    words = cut_lineage(sides.select(key, "_side", "_a", "_b", F.explode("toks").alias("tok")))
+    seen = cut_lineage(words.groupBy(key, "tok").agg(F.count(F.lit(1)).alias("n")))
+    words = attach(words, seen, [key, "tok"], "n")
+    sets = words.groupBy(key, "_side", "_a", "_b").agg(F.array_sort(F.collect_list(F.struct("n", "tok"))).alias("w"))
+    return cut_lineage(sets.select(key, "_side", "_a", "_b", F.size("w").alias("size"), F.transform("w", lambda x: x["tok"]).alias("toks")))
+
+
+def similar_sets(left: DataFrame, right: DataFrame, key: str, threshold: float, bound: int = 4096) -> DataFrame:
+    """Pairs of token sets of one document pair with a Jaccard similarity of at least ``threshold``: ``key, la, lb, ra, rb, sim``.
+
+    ``left`` and ``right`` are tables of different sets (``key, _a, _b,
+    toks``).  Tokens are ordered by how many sets of the pair hold them.  Two
+    sets can only be that similar if they share a token among the first
+    ``n - ceil(threshold * n) + 1`` of each, so the most frequent tokens of a
+    set are not indexed at all.  Where two sets meet, their sizes and what is
+    left of them behind the shared token must allow the overlap; what remains
+    is compared in full.  With a threshold of 0, any shared token will do.
+    """
+    sets = _by_frequency(left, right, key)
+    need = F.ceil(F.lit(threshold) * F.col("size") - 1e-9)
+    first = F.least(F.col("size"), F.col("size") - need + 1).cast("int")
+    heads = sets.select(key, "_side", "_a", "_b", "size", F.posexplode(F.slice("toks", F.lit(1), first)).alias("at", "tok"))
+
+    def side(n: int, s: str) -> DataFrame:
+        return heads.where(F.col("_side") == n).select(
+            key, "tok", F.col("_a").alias(f"{s}a"), F.col("_b").alias(f"{s}b"), F.col("size").alias(f"n{s}"), F.col("at").alias(f"at{s}"))
+
+    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("nl") + F.col("nr")) - 1e-9)
+    open_ = F.least(F.col("nl") - F.col("atl"), F.col("nr") - F.col("atr")) >= least
+    fits = (F.col("nl") + 1e-9 >= threshold * F.col("nr")) & (F.col("nr") + 1e-9 >= threshold * F.col("nl"))
+    met = tiled_join(side(0, "l"), side(1, "r"), [key, "tok"], bound).where(fits & open_).select(key, "la", "lb", "ra", "rb").distinct()
+
+    def tokens(n: int, s: str) -> DataFrame:
+        return sets.where(F.col("_side") == n).select(key, F.col("_a").alias(f"{s}a"), F.col("_b").alias(f"{s}b"), F.col("toks").alias(f"t{s}"))
+
+    both = met.join(tokens(0, "l"), [key, "la", "lb"]).join(tokens(1, "r"), [key, "ra", "rb"])
+    return both.select(key, "la", "lb", "ra", "rb", pinned(T.jaccard(F.col("tl"), F.col("tr"))).alias("sim")).where(F.col("sim") >= threshold)
+
+
+def _best(found: DataFrame, own: DataFrame, others: DataFrame, key: str, side: str, other: str) -> DataFrame:
+    """Per set of one side the most similar set of the other: ``key, _a, _b, best, partner, _rows``; the first partner wins a tie."""
+    named = others.select(key, F.col("_a").alias(f"{other}a"), F.col("_b").alias(f"{other}b"), "_first")
+    best = found.join(named, [key, f"{other}a", f"{other}b"]).groupBy(key, f"{side}a", f"{side}b").agg(
+        F.max(F.struct("sim", (-F.col("_first")).alias("neg"))).alias("m"))
+    best = best.select(key, F.col(f"{side}a").alias("_a"), F.col(f"{side}b").alias("_b"), F.col("m.sim").alias("best"), (-F.col("m.neg")).alias("partner"))
+    return best.join(own.select(key, "_a", "_b", "_rows"), [key, "_a", "_b"])
 
 
 def diff_documents(pairs: DataFrame, *, key: str = "pair_id", left: str = "left_text",
-                   right: str = "right_text") -> DataFrame:
-    """Removed, modified and added sentences: ``key, change, idx, other_idx, score, text, other_text``."""
-    a = _sentences(pairs, key, left, "i")
-    b = _sentences(pairs, key, right, "j")
-    found = sentence_matches(a, b, key)
-    best_a = a.select(key, "i", "text").join(_best(found, key, "i", "j"), [key, "i"], "left").withColumn(
-        "best", F.coalesce("best", F.lit(0.0))
-    )
-    matched = best_a.where(F.col("best") >= MODIFIED_AT)
-    used = matched.select(key, F.col("partner").alias("j")).distinct()
-    modified = (
-        matched.where(F.col("best") < SAME_AT)
-        .join(b.select(key, F.col("j").alias("partner"), F.col("text").alias("other_text")), [key, "partner"])
-        .select(key, F.lit("modified").alias("change"), F.col("i").alias("idx"), F.col("partner").alias("other_idx"),
-                F.bround("best", 3).alias("score"), "text", "other_text")
-    )
+                   right: str = "right_text", bound: int = 4096) -> DataFrame:
+    """Removed, modified and added sentences: ``key, change, idx, other_idx, score, text, other_text``.
+
+    Sentences with equal token sets are compared once; which sets are similar
+    enough comes from :func:`similar_sets`.
+    """
+    a, b = _token_sets(_sentences(pairs, key, left, "i"), key, "i"), _token_sets(_sentences(pairs, key, right, "j"), key, "j")
+    sets_a, sets_b = cut_lineage(_different(a, key, "i")), cut_lineage(_different(b, key, "j"))
+    found = cut_lineage(similar_sets(sets_a, sets_b, key, MODIFIED_AT, bound))
+    best_a = cut_lineage(_best(found, sets_a, sets_b, key, "l", "r"))
+    near_b = cut_lineage(_best(found, sets_b, sets_a, key, "r", "l"))
+    used = best_a.select(key, F.col("partner").alias("j")).distinct()
+    of_a = attach(a.select(key, "i", "text", "_a", "_b"), best_a, [key, "_a", "_b"], "_rows")
+    changed = of_a.where(F.col("best") < SAME_AT)
+    partners = changed.groupBy(key, F.col("partner").alias("j")).agg(F.count(F.lit(1)).alias("_rows")).join(b.select(key, "j", "text"), [key, "j"])
+    partners = cut_lineage(partners.select(key, F.col("j").alias("partner"), F.col("text").alias("other_text"), "_rows"))
+    modified = attach(changed.drop("_rows"), partners, [key, "partner"], "_rows").select(
+        key, F.lit("modified").alias("change"), F.col("i").alias("idx"), F.col("partner").alias("other_idx"), F.bround("best", 3).alias("score"), "text", "other_text")
     nothing = [F.lit(None).cast("int").alias("other_idx"), F.lit(None).cast("double").alias("score"), "text",
                F.lit(None).cast("string").alias("other_text")]
-    removed = best_a.where(F.col("best") < MODIFIED_AT).select(
-        key, F.lit("removed").alias("change"), F.col("i").alias("idx"), *nothing
-    )
-    best_b = b.select(key, "j", "text").join(_best(found, key, "j", "i"), [key, "j"], "left")
-    added = (
-        best_b.where(F.coalesce("best", F.lit(0.0)) < MODIFIED_AT)
-        .join(used, [key, "j"], "left_anti")
-        .select(key, F.lit("added").alias("change"), F.col("j").alias("idx"), *nothing)
-    )
+    removed = of_a.where(F.col("best").isNull()).select(key, F.lit("removed").alias("change"), F.col("i").alias("idx"), *nothing)
+    added = attach(b.select(key, "j", "text", "_a", "_b"), near_b, [key, "_a", "_b"], "_rows").where(F.col("best").isNull()).join(
+        used, [key, "j"], "left_anti").select(key, F.lit("added").alias("change"), F.col("j").alias("idx"), *nothing)
     return removed.unionByName(modified).unionByName(added)
 
 
@@ -103,13 +152,21 @@ def diff_counts(diff: DataFrame, key: str = "pair_id") -> DataFrame:
 
 
 def consistency(pairs: DataFrame, *, key: str = "pair_id", original: str = "left_text", summary: str = "right_text",
-                threshold: float = TRACEABLE_AT) -> DataFrame:
-    """Each summary sentence with its best source sentence and whether it is traceable."""
-    src = _sentences(pairs, key, original, "j")
-    out = _sentences(pairs, key, summary, "i")
-    best = _best(sentence_matches(out, src, key), key, "i", "j")
+                threshold: float = TRACEABLE_AT, bound: int = 4096) -> DataFrame:
+    """Each summary sentence with its best source sentence and whether it is traceable.
+
+    Sentences that find a source at ``threshold`` need no more than the tokens
+    that it takes; only the others are compared with all that share a token.
+    """
+    out = _token_sets(_sentences(pairs, key, summary, "i"), key, "i")
+    src = _token_sets(_sentences(pairs, key, original, "j"), key, "j")
+    sets_out, sets_src = cut_lineage(_different(out, key, "i")), cut_lineage(_different(src, key, "j"))
+    near = cut_lineage(_best(similar_sets(sets_out, sets_src, key, threshold, bound), sets_out, sets_src, key, "l", "r"))
+    rest = cut_lineage(sets_out.join(near, [key, "_a", "_b"], "left_anti"))
+    far = cut_lineage(_best(similar_sets(rest, sets_src, key, 0.0, bound), rest, sets_src, key, "l", "r"))
+    best = near.unionByName(far)
     score = F.coalesce("best", F.lit(0.0))
-    return out.select(key, "i", "text").join(best, [key, "i"], "left").select(
+    return attach(out.select(key, "i", "text", "_a", "_b"), best, [key, "_a", "_b"], "_rows").select(
         key, F.col("i").alias("idx"), "text", F.coalesce("partner", F.lit(-1)).cast("int").alias("best_match_idx"),
         F.bround(score, 3).alias("best_match_score"), (score >= threshold).alias("traceable"),
     )
@@ -127,130 +184,72 @@ def consistency_verdict(pairs: DataFrame, checked: DataFrame, *, key: str = "pai
     )
 
 
-#: Questions, and words in them, up to which the question side goes to every task.
-FEW_QUESTIONS, FEW_WORDS = 2_000, 50_000
+#: How many sentences a question's rarest words should lead to at first, per sentence wanted, and how much more each further round may.
+FIRST_LOOK, WIDER = 8, 8
 
 
 def retrieve(questions: DataFrame, sentences: DataFrame, k: int = 3, *, question_key: str = "item_id",
              question_text: str = "text", order: tuple[str, ...] = ("doc_id", "para", "nth"), text: str = "text",
-             cited: DataFrame | None = None, common_share: float = 0.02) -> DataFrame:
-    """Top-``k`` sentences per question by the share of question tokens they hold.
-
-    A bounded set of questions is sent to every task: sentences are read once
-    and scored where they are, and a task hands on ``k`` of them per question.
-    More questions than that are joined by word (:func:`_retrieve_many`).  The
-    result is exact either way.
+             cited: DataFrame | None = None, bound: int = 4096) -> DataFrame:
+    """Top-``k`` sentences per question by the share of question tokens they hold; texts in ``cited`` count for less.
+
+    Each word has a list of the sentences that hold it, cut into blocks by how
+    many words of any question a sentence holds.  A question goes through its
+    words from the rarest on.  A sentence that is first met at its r-th word
+    holds at most the words from there on, and no more than its block says; a
+    block that can't reach the question's k-th score so far is not joined.
+    Rounds take ever more common words, until none can lead to a better
+    sentence.  Blocks that many questions open meet them in tiles.  Exact;
+    ties go to the first sentence in ``order``.
     """
-    q = questions.select(question_key, F.array_distinct(T.question_tokens(F.col(question_text))).alias("toks")).where(F.size("toks") > 0)
-    size = q.select(F.size("toks").alias("n")).limit(FEW_QUESTIONS + 1).agg(F.count(F.lit(1)), F.sum("n")).first()
-    if size[0] > FEW_QUESTIONS or (size[1] or 0) > FEW_WORDS:
-        return _retrieve_many(questions, sentences, k, question_key, question_text, order, text, cited, common_share)
-    return _retrieve_few(q.collect(), q.schema[0], sentences, k, order, text, cited)
-
-
-def _retrieve_few(asked: list, key: ST.StructField, sentences: DataFrame, k: int, order: tuple[str, ...], text: str,
-                  cited: DataFrame | None) -> DataFrame:
-    """The question words as a 0/1 matrix in every task; a batch's overlaps are sums of its rows."""
-    words = {w: i for i, w in enumerate(sorted({w for r in asked for w in r.toks}))}
-    wants = np.zeros((len(words), len(asked)), dtype=np.int32)
-    for j, r in enumerate(asked):
-        wants[[words[w] for w in r.toks], j] = 1
-    shared = sentences.sparkSession.sparkContext.broadcast((words, wants, [r[0] for r in asked]))
+    q = questions.select(question_key, F.array_distinct(T.question_tokens(F.col(question_text))).alias("asks")).where(F.size("asks") > 0)
+    q = cut_lineage(q)
+    words = q.select(question_key, F.size("asks").alias("nq"), F.explode("asks").alias("tok"))
     rows = sentences.select(*order, text)
-    if cited is None:
-        rows = rows.withColumn("_old", F.lit(False))
-    else:
-        seen = cited.select(F.col(text)).distinct().withColumn("_seen", F.lit(True))
-        rows = rows.join(seen, text, "left").select(*order, text, F.coalesce("_seen", F.lit(False)).alias("_old"))
-    out = ST.StructType([key, *[f for f in rows.schema.fields if f.name in order], ST.StructField("score", ST.DoubleType()), rows.schema[text]])
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, wants, names = shared.value
-        need = wants.sum(axis=0)
-        held: list[list[tuple]] = [[] for _ in names]
-        for pdf in batches:
-            for part in (pdf.iloc[i:i + 2000] for i in range(0, len(pdf), 2000)):
-                at = [[words[w] for w in toks if w in words] for toks in part["_toks"]]
-                sizes = np.array([len(x) for x in at])
-                if not sizes.any():
-                    continue
-                live = np.flatnonzero(sizes)
-                starts = np.concatenate([[0], np.cumsum(sizes[live])[:-1]])
-                overlap = np.add.reduceat(wants[np.concatenate([at[i] for i in live]).astype(int)], starts, axis=0)
-                score = overlap / need * np.where(part["_old"].to_numpy()[live], CITED_PENALTY, 1.0)[:, None]
-                keys = list(part.iloc[live][[*order, text]].itertuples(index=False, name=None))
-                for j in range(len(names)):
-                    s = score[:, j]
-                    floor = held[j][-1][0] * -1 if len(held[j]) == k else 0.0
-                    found = np.flatnonzero((s >= floor) & (s > 0))
-                    if len(found) > k:
-                        kth = np.partition(s[found], len(found) - k)[len(found) - k]
-                        found = found[s[found] >= kth]
-                    if len(found):
-                        held[j] = sorted(held[j] + [(-s[i], keys[i]) for i in found])[:k]
-        yield pd.DataFrame([(n, *x[:-1], -away, x[-1]) for n, rows in zip(names, held, strict=True) for away, x in rows], columns=out.names)
-
-    found = rows.withColumn("_toks", T.question_tokens(F.col(text))).mapInPandas(best, out)
-    top = spread_topk(found, [key.name], [F.desc("score"), *order], k)
-    return top.select(key.name, "rank", *order, F.bround("score", 3).alias("score"), text)
-
-
-def _retrieve_many(questions: DataFrame, sentences: DataFrame, k: int, question_key: str, question_text: str, order: tuple[str, ...],
-                   text: str, cited: DataFrame | None, common_share: float) -> DataFrame:
-    """Questions and sentences joined by word.
-
-    Words found in more than ``common_share`` of the sentences would pair almost
-    every question with almost every sentence.  They are left out of the first
-    join; a sentence found only through them holds at most as many tokens as the
-    question has common words.  Where the k-th sentence found beats that bound
-    the answer is settled; the few other questions are joined in full.
-    """
-    q = questions.select(question_key, F.explode(T.question_tokens(F.col(question_text))).alias("tok"))
-    sizes = q.groupBy(question_key).agg(F.count(F.lit(1)).alias("nq"))
-    s = sentences.select(*order, F.explode(T.question_tokens(F.col(text))).alias("tok"))
-    # only words some question uses matter; tokenised once, then read several times
-    asked = cut_lineage(s.join(q.select("tok").distinct(), "tok", "left_semi"))
-    df = asked.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    n = sentences.agg((F.count(F.lit(1)) * common_share).alias("cap"))
-    common = df.crossJoin(F.broadcast(n)).where(F.col("df") > F.col("cap")).select("tok")  # n is one row
-    rare_q = q.join(common, "tok", "left_anti")
-    bound = q.join(common, "tok", "left_semi").groupBy(question_key).agg(F.count(F.lit(1)).alias("bound"))
-
-    def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, "tok").groupBy(question_key, *order).agg(F.count(F.lit(1)).alias("shared"))
-
-    # candidates through rare words, then their full overlap through all words
-    cand = rare_q.join(asked.join(common, "tok", "left_anti"), "tok").select(question_key, *order).distinct()
-    common_q = q.join(common, "tok", "left_semi")
-    extra = (
-        cand.join(asked.join(common, "tok", "left_semi"), list(order))
-        .join(common_q, [question_key, "tok"])
-        .select(question_key, *order, "tok")
-    )
-    rare_hits = rare_q.join(asked.join(common, "tok", "left_anti"), "tok").select(question_key, *order, "tok")
-    first = rare_hits.unionByName(extra).groupBy(question_key, *order).agg(F.count(F.lit(1)).alias("shared"))
-    first = _penalise(first, sizes, sentences, order, text, cited, question_key)
-    top = spread_topk(first, [question_key], [F.desc("score"), *order], k)
-    kth = top.where(F.col("rank") == k).select(question_key, F.col("score").alias("kth"))
-    state = sizes.join(bound, question_key, "left").join(kth, question_key, "left")
-    settled = F.coalesce("bound", F.lit(0)) / F.col("nq") < F.coalesce("kth", F.lit(-1.0))
-    settled = settled | (F.coalesce("bound", F.lit(0)) == 0)
-    open_q = state.where(~settled).select(question_key)
-    done = top.join(open_q, question_key, "left_anti")
-    rest = overlap(q.join(open_q, question_key, "left_semi"), asked)
-    rest = _penalise(rest, sizes, sentences, order, text, cited, question_key)
-    both = done.unionByName(spread_topk(rest, [question_key], [F.desc("score"), *order], k))
-    return both.join(sentences.select(*order, text), list(order)).select(
-        question_key, "rank", *order, F.bround("score", 3).alias("score"), text
-    )
-
-
-def _penalise(found: DataFrame, sizes: DataFrame, sentences: DataFrame, order: tuple[str, ...], text: str,
-              cited: DataFrame | None, question_key: str) -> DataFrame:
-    scored = found.join(sizes, question_key).withColumn("score", F.col("shared") / F.col("nq"))
     if cited is not None:
-        old = sentences.join(cited.select(text).distinct(), text, "left_semi").select(*order, F.lit(True).alias("old"))
-        scored = scored.join(old, list(order), "left").withColumn(
-            "score", F.when(F.col("old"), F.col("score") * CITED_PENALTY).otherwise(F.col("score"))
-        )
-    return scored.select(question_key, *order, "score")
+        rows = rows.join(cited.select(text).distinct().withColumn("_old", F.lit(True)), text, "left")
+    else:
+        rows = rows.withColumn("_old", F.lit(False))
+    said = rows.select(*order, F.coalesce("_old", F.lit(False)).alias("old"), F.explode(T.question_tokens(F.col(text))).alias("tok"))
+    said = said.join(words.select("tok").distinct(), "tok", "left_semi")
+    held = cut_lineage(said.groupBy(*order, "old").agg(F.collect_list("tok").alias("holds")))
+    lists = held.select(*order, "old", F.size("holds").alias("m"), F.explode("holds").alias("tok"))
+    blocks = cut_lineage(lists.groupBy("tok", "m", "old").agg(F.count(F.lit(1)).alias("n")))
+    freq = blocks.groupBy("tok").agg(F.sum("n").alias("df"))
+    rank = W.partitionBy(question_key).orderBy("df", "tok")
+    words = words.join(freq, "tok").select(
+        question_key, "nq", "tok", F.coalesce(F.sum("df").over(rank.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        (F.count(F.lit(1)).over(W.partitionBy(question_key)) - F.row_number().over(rank) + 1).alias("behind"))
+    words = cut_lineage(words)
+
+    best, low, high = None, 0, FIRST_LOOK * k
+    while True:
+        asks = words.where(F.col("before") >= low)
+        if best is None:
+            asks = asks.withColumn("kth", F.lit(0.0))
+        else:
+            kth = best.where(F.col("rank") == k).select(question_key, F.col("score").alias("kth"))
+            asks = asks.join(kth, question_key, "left").withColumn("kth", F.coalesce("kth", F.lit(0.0)))
+        weight = F.when(F.col("old"), CITED_PENALTY).otherwise(1.0)
+        reach = F.least("m", "behind") / F.col("nq") * weight
+        opened = asks.where(F.col("behind") / F.col("nq") >= F.col("kth")).join(blocks, "tok").where(reach >= F.col("kth"))
+        opened = cut_lineage(opened.select(question_key, "before", "tok", "m", "old"))
+        if opened.isEmpty():
+            break
+        met = tiled_join(opened.where(F.col("before") < high).drop("before"), lists, ["tok", "m", "old"], bound).select(question_key, *order).distinct()
+        scored = _scored(cut_lineage(met), q, held, question_key, order)
+        if best is not None:
+            scored = scored.unionByName(best.select(scored.columns)).dropDuplicates([question_key, *order])
+        best = cut_lineage(spread_topk(scored, [question_key], [F.desc("score"), *order], k))
+        low, high = high, high * WIDER
+    if best is None:
+        best = _scored(held.select(*order).crossJoin(q.select(question_key)).limit(0), q, held, question_key, order).withColumn("rank", F.lit(1))
+    return best.join(sentences.select(*order, text), list(order)).select(question_key, "rank", *order, F.bround("score", 3).alias("score"), text)
+
+
+def _scored(met: DataFrame, q: DataFrame, held: DataFrame, question_key: str, order: tuple[str, ...]) -> DataFrame:
+    """Full scores of the question/sentence pairs ``met``."""
+    asked = met.groupBy(question_key).agg(F.count(F.lit(1)).alias("_n")).join(q, question_key)
+    rows = attach(met, cut_lineage(asked), [question_key], "_n").join(held, list(order))
+    shared = F.size(F.array_intersect("asks", "holds")) / F.size("asks")
+    return rows.select(question_key, *order, (shared * F.when(F.col("old"), CITED_PENALTY).otherwise(1.0)).alias("score"))

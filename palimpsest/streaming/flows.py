@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import deident, gates
-from palimpsest.operators.dialogue import answer_turns
+from palimpsest.streaming import memory
+
 
 def stream_table(spark: SparkSession, folder: str, schema, glob: str = "*", per_trigger: int | None = None) -> DataFrame:
     """Parquet files of a folder as a stream."""
@@ -39,26 +40,33 @@ def start_gate(texts: DataFrame, allowed: str, blocked: str, checkpoint: str, *,
     return texts.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def start_qa(turns: DataFrame, answers: str, history: str, checkpoint: str, *, k: int = 3, session: str = "conv_id",
-             turn: str = "turn", role: str = "role", text: str = "text"):
-    """Answers with per-session memory.
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    The memory is a table of all turns so far, so no session is forgotten and
-    none is held in a task: each micro-batch is added to it, and the sessions
-    it touches are answered from there.  Only the batch's own questions are
-    written; one that comes late is answered by its place in the session.  A
-    replayed batch overwrites itself.
-    """
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{history}/epoch={epoch}")
-        said = batch.sparkSession.read.parquet(history).where(F.col("epoch") <= epoch).drop("epoch")
-        touched = said.join(batch.select(session).distinct(), session, "left_semi")
-        done = answer_turns(touched, k=k, session=session, turn=turn, role=role, text=text)
-        new = batch.select(session, F.col(turn).cast("bigint").alias("turn")).distinct()
-        done.join(new, [session, "turn"], "left_semi").write.mode("overwrite").parquet(f"{answers}/epoch={epoch}")
+def start_qa(turns: DataFrame, answers: str, checkpoint: str, *, k: int = 3, session: str = "conv_id",
+             turn: str = "turn", role: str = "role", text: str = "text", ttl_ms: int | None = None, every: str | None = None):
+    """Answers with per-session memory, each written once.
 
-    return turns.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    What a session has said and what was cited is keyed state in RocksDB
+    (:mod:`palimpsest.streaming.memory`), saved with each micro-batch in
+    ``checkpoint`` and found there when the flow starts again.  With ``ttl_ms``
+    what is older is forgotten; such a flow never runs out of work, so it needs
+    ``every``, the time between its micro-batches (``"10 seconds"``).  Without
+    ``every`` the flow ends when what is there has been answered.
+    """
+    if ttl_ms and not every:
+        raise ValueError("a flow that forgets runs until it is stopped: say how often")
+    conf = turns.sparkSession.conf
+    before = conf.get(_STORE, None)
+    conf.set(_STORE, _ROCKSDB)
+    try:
+        done = memory.answers(turns, k=k, session=session, turn=turn, role=role, text=text, ttl_ms=ttl_ms)
+        writer = done.writeStream.format("parquet").outputMode("append").option("path", answers)
+        when = {"processingTime": every} if every else {"availableNow": True}
+        return writer.option("checkpointLocation", checkpoint).trigger(**when).start()
+    finally:
+        conf.set(_STORE, before) if before is not None else conf.unset(_STORE)
 
 
 def stream_audit(decisions: DataFrame, path: str, checkpoint: str):

@@ -1,5 +1,6 @@
 """Block-wise and round-wise algorithms against brute force."""
 
+import json
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql.window import Window as W
 
 from palimpsest.functions import scale
 from palimpsest.operators import dialogue, pack, registry, similarity, summaries, transcript
+from palimpsest.sources import segments
 from palimpsest.streaming import flows
 
 
@@ -122,9 +124,8 @@ def test_sliding_window_covers_every_chunk(spark):
         assert any(first <= i <= last for i in idx)
 
 
-@pytest.mark.parametrize("few", [2_000, 0])
-def test_retrieve_is_exact_with_common_words(spark, monkeypatch, few):
-    monkeypatch.setattr(similarity, "FEW_QUESTIONS", few)
+@pytest.mark.parametrize("bound", [4096, 5])
+def test_retrieve_is_exact_with_common_words(spark, bound):
     rng = random.Random(11)
     vocab = ["the", "of"] + [f"w{i}" for i in range(30)]
     sent = [(i, 0, 0, " ".join(["the"] * (rng.random() < 0.8) + rng.choices(vocab, k=6))) for i in range(300)]
@@ -135,7 +136,7 @@ def test_retrieve_is_exact_with_common_words(spark, monkeypatch, few):
         ranked = sorted(((-len(tok(text) & tok(s)), d) for d, _, _, s in sent if tok(text) & tok(s)))[:3]
         expect |= {(q, d) for _, d in ranked}
     got = similarity.retrieve(spark.createDataFrame(qs, "item_id long, text string"),
-                              spark.createDataFrame(sent, "doc_id long, para int, nth int, text string"), common_share=0.3)
+                              spark.createDataFrame(sent, "doc_id long, para int, nth int, text string"), bound=bound)
     assert {(r.item_id, r.doc_id) for r in got.collect()} == expect
 
 
@@ -151,7 +152,7 @@ def test_stream_answers_like_batch(spark, tmp_path):
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     df.write.parquet(str(tmp_path / "in"))
     stream = flows.stream_table(spark, str(tmp_path / "in"), df.schema)
-    flows.start_qa(stream, str(tmp_path / "out"), str(tmp_path / "said"), str(tmp_path / "ck")).awaitTermination()
+    flows.start_qa(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     _same(got.select("conv_id", "turn", "answer"), dialogue.answer_turns(df).select("conv_id", "turn", "answer"))
 
@@ -170,3 +171,186 @@ def test_segments_once_and_gate_routes(spark, tmp_path):
     flows.start_gate(stream, str(tmp_path / "ok"), str(tmp_path / "held"), str(tmp_path / "ck")).awaitTermination()
     assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "ok")).collect()] == [2]
     assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "held")).collect()] == [1]
+
+
+# --- similarity join ---------------------------------------------------------------
+def _word(start, i):
+    """A word of letters only."""
+    return start + "".join(chr(97 + int(d)) for d in f"{i:05d}")
+
+
+def _tokens(text):
+    return set(text.rstrip("?").split())
+
+
+def _share(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def _pairs(seed, n):
+    rng = random.Random(seed)
+    words = ["the", "of", "and"] + [_word("w", i) for i in range(40)]
+    side = lambda: [" ".join(dict.fromkeys(rng.choices(words, k=rng.randint(1, 9)))) + "?" for _ in range(n)]
+    return [(f"p{p}", side(), side()) for p in range(3)]
+
+
+@pytest.mark.parametrize("bound", [4096, 3])
+def test_diff_and_consistency_match_brute_force(spark, bound):
+    data = _pairs(3, 40)
+    df = spark.createDataFrame([(k, "\n".join(a), "\n".join(b)) for k, a, b in data], "pair_id string, left_text string, right_text string")
+    want, traced = set(), set()
+    for k, a, b in data:
+        ta, tb = [_tokens(x) for x in a], [_tokens(x) for x in b]
+        used = set()
+        for i, x in enumerate(ta):
+            best, j = max((_share(x, y), -j) for j, y in enumerate(tb))
+            if best < 0.3:
+                want.add((k, "removed", i, None))
+            else:
+                used.add(-j)
+                if best < 0.85:
+                    want.add((k, "modified", i, -j))
+        want |= {(k, "added", j, None) for j, y in enumerate(tb) if max(_share(x, y) for x in ta) < 0.3 and j not in used}
+        for i, y in enumerate(tb):
+            best, j = max((_share(y, x), -j) for j, x in enumerate(ta))
+            traced.add((k, i, -j if best else -1, best >= 0.12))
+    got = {(r.pair_id, r.change, r.idx, r.other_idx) for r in similarity.diff_documents(df, bound=bound).collect()}
+    assert got == want
+    got = {(r.pair_id, r.idx, r.best_match_idx, r.traceable) for r in similarity.consistency(df, bound=bound).collect()}
+    assert got == traced
+
+
+def test_one_word_in_ten_thousand_sentences(spark):
+    """The common word is in no index: every sentence has rarer ones, which a similarity of 0.3 can't do without."""
+    n = 10_000
+    line = lambda i, starts: "common " + " ".join(_word(s, i) for s in starts) + "."
+    left = "\n".join(line(i, "lmn") for i in range(n))
+    right = "\n".join(line(i, "lmx" if i % 2 else "rst") for i in range(n))
+    df = spark.createDataFrame([("p", left, right)], "pair_id string, left_text string, right_text string")
+    got = similarity.diff_counts(similarity.diff_documents(df)).collect()
+    assert [tuple(r) for r in got] == [("p", n // 2, n // 2, n // 2)]
+
+
+def test_tiled_join_bounds_every_group(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(300)] + [("cold", 1), ("left", 2), (None, 3)], "k string, a long")
+    right = spark.createDataFrame([("hot", i) for i in range(200)] + [("cold", 5), ("right", 2), (None, 3)], "k string, b long")
+    got = scale.tiled_join(left, right, ["k"], bound=20)
+    assert got.columns == ["k", "a", "b"]
+    assert sorted(map(tuple, got.collect())) == sorted([("hot", i, j) for i in range(300) for j in range(200)] + [("cold", 1, 5)])
+
+
+# --- key frames and silence -----------------------------------------------------------
+@pytest.mark.parametrize("size", [1, 2, 7])
+def test_keyframes_in_small_blocks(spark, monkeypatch, size):
+    """Chains that cross many blocks, long stretches without a key, a null stream."""
+    monkeypatch.setattr(transcript, "KEY_BLOCK", size)
+    rng = random.Random(size)
+    near = [rng.getrandbits(62) for _ in range(3)]
+    rows = []
+    for s in ("a", "b", None):
+        for t in range(100):
+            base = near[0] if 20 < t < 70 else rng.choice(near)
+            rows.append((s, float(t), base ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60)) if rng.random() < 0.7 else rng.getrandbits(62)))
+    expect = []
+    for stream in ("a", "b", None):
+        last = key = None
+        for _, t, h in [r for r in rows if r[0] == stream]:
+            if (last is None or (h ^ last).bit_count() > 2) and (key is None or (h ^ key).bit_count() > 5):
+                expect.append((stream, t, len([e for e in expect if e[0] == stream]) + 1))
+                key = h
+            last = h
+    df = spark.createDataFrame(rows, "stream string, t double, hash long")
+    got = transcript.keyframes(df, scene_bits=2, key_bits=5, block=30.0).select("stream", "t", "ordinal").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(expect, key=repr)
+    assert transcript.keyframes(df.limit(0)).count() == 0
+
+
+def _split(levels, share, silence, piece):
+    peak = max(levels) or 1.0
+    quiet = [x / peak < share for x in levels]
+    cuts, i = [], 0
+    while i < len(levels):
+        j = i
+        while j < len(levels) and quiet[j]:
+            j += 1
+        if j - i >= silence:
+            cuts.append(i + (j - i) // 2)
+        i = max(j, i + 1)
+    bounds = [0, *cuts, len(levels)]
+    out = []
+    for k, (s, e) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        if k and e - s < piece:
+            out[-1] = (out[-1][0], e)
+        else:
+            out.append((s, e))
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 5, 64])
+def test_silence_split_matches_walk(spark, block):
+    rng = random.Random(block)
+    streams = {s: [0.0 if rng.random() < q else rng.random() + 0.1 for _ in range(n)] for s, q, n in (("a", 0.8, 150), ("b", 0.3, 90), ("c", 1.0, 40), ("d", 0.0, 30), ("e", 0.95, 1))}
+    df = spark.createDataFrame([(s, i, x) for s, levels in streams.items() for i, x in enumerate(levels)], "stream string, frame_idx long, rms double")
+    got = transcript.silence_split(df, share=0.05, silence_frames=3, piece_frames=8, block=block).collect()
+    want = [(s, k + 1, a, b) for s, levels in streams.items() for k, (a, b) in enumerate(_split(levels, 0.05, 3, 8))]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+# --- recordings and session memory ------------------------------------------------------
+def _part(folder, n, text, **more):
+    folder.mkdir(exist_ok=True)
+    (folder / f"seg_{n:03d}.json").write_text(text if isinstance(text, str) else json.dumps(text | more))
+
+
+def test_live_segments(spark, tmp_path):
+    """The last open part waits, a broken one is an error row, nothing is read twice, closing lets the last one in."""
+    root, sink, log = tmp_path / "rec", str(tmp_path / "sink"), str(tmp_path / "log")
+    root.mkdir()
+    body = {"duration": 2.0, "confidence": 0.5, "segments": [{"start": 0.5, "end": 1.0, "text": "x"}]}
+    for n, text in enumerate([body | {"text": "one"}, "{broken", "", body | {"text": "four"}]):
+        _part(root / "r1", n, text)
+    _part(root / "r2", 7, body | {"text": "only"})
+
+    def run():
+        return sorted((r.stream, r.part_no, r.status) for r in flows.run_to_table(segments.read_segments(spark, str(root)), sink, log).collect())
+
+    assert run() == [("r1", 0, "ok"), ("r1", 1, "error"), ("r1", 2, "error")]
+    _part(root / "r1", 2, body | {"text": "three"})
+    _part(root / "r1", 4, '{"duration": null}')
+    assert run() == [("r1", 0, "ok"), ("r1", 1, "error"), ("r1", 2, "error"), ("r1", 3, "ok")]
+    for r in ("r1", "r2"):
+        (root / r / segments.CLOSED).write_text("")
+    assert run() == [("r1", 0, "ok"), ("r1", 1, "error"), ("r1", 2, "error"), ("r1", 3, "ok"), ("r1", 4, "ok"), ("r2", 7, "ok")]
+    parts = segments.read_again(spark.read.parquet(sink))
+    placed, merged = transcript.merge_parts(parts)
+    assert sorted((r.part_no, r.status, r.offset) for r in placed.where("stream = 'r1'").collect()) == [(0, "ok", 0.0), (1, "error", 2.0), (2, "ok", 2.0), (3, "ok", 4.0), (4, "ok", 6.0)]
+    assert [r.start for r in transcript.merged_segments(placed).where("stream = 'r1'").orderBy("part_no").collect()] == [0.5, 2.5, 4.5]
+    pieces = transcript.merged_text(parts, parts_a_piece=2).orderBy("stream", "piece").collect()
+    assert [tuple(r) for r in pieces] == [("r1", 0, "one\nthree"), ("r1", 1, "four"), ("r2", 0, "only")]
+    assert merged.where("stream = 'r1'").first().base_part == 0
+
+
+def _session(n, c=1):
+    rng = random.Random(n)
+    words = [f"word{i}" for i in range(12)]
+    return [(c, t, "user" if t % 2 else "assistant", " ".join(rng.choices(words, k=5)) + (".\n" + " ".join(rng.choices(words, k=3)) + "." if t % 3 == 0 else "?" if t % 2 else ".")) for t in range(n)]
+
+
+def test_answers_in_blocks_are_the_same(spark, monkeypatch):
+    """Blocks of two questions hand on what was cited: the same answers as in one block."""
+    df = spark.createDataFrame(_session(40), "conv_id long, turn long, role string, text string")
+    whole = dialogue.answer_turns(df).select("turn", "answer").collect()
+    monkeypatch.setattr(dialogue, "QUESTIONS", 2)
+    assert sorted(dialogue.answer_turns(df, bound=3).select("turn", "answer").collect()) == sorted(whole)
+
+
+def test_memory_outlives_micro_batches(spark, tmp_path, monkeypatch):
+    """Turns that come batch by batch are answered as if they had come together; nothing said is read again."""
+    df = spark.createDataFrame(_session(24), "conv_id long, turn long, role string, text string")
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    for low in (0, 8, 16):
+        df.where(f"turn >= {low} and turn < {low + 8}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        flows.start_qa(flows.stream_table(spark, str(tmp_path / "in"), df.schema), out, log).awaitTermination()
+    _same(spark.read.parquet(out).select("turn", "answer"), dialogue.answer_turns(df).select("turn", "answer"))
+    with pytest.raises(ValueError, match="forgets"):
+        flows.start_qa(flows.stream_table(spark, str(tmp_path / "in"), df.schema), out, log, ttl_ms=1000)
