@@ -131,7 +131,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
 
     def compare(group: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if q.empty or x.empty:
-            return pd.DataFrame({"query": [], "score": [], "ids": []})
+            return pd.DataFrame({"query": pd.Series(dtype=object), "score": pd.Series(dtype=float), "ids": pd.Series(dtype=object)})
         names, ids, parts = q["_same"].to_numpy(), x["_ids"].to_numpy(), []
         for name, (place, score) in zip(names, nearest(_matrix(q["_v"]), _matrix(x["_v"]), *shared.value[group[0]], k + 1), strict=True):
             if len(score) > k + 1:  # the best, and what ties with the last of them
