@@ -232,14 +232,17 @@ def desensitize(df: DataFrame, mode: str = "hybrid", *, key: str = "doc_id", pos
     """De-identify a corpus: ``(copies[key, text], hits)``.
 
     ``mask`` and ``redact`` are map-only.  ``token`` and ``hybrid`` number the
-    distinct values corpus-wide; only documents that hold hits are exchanged,
-    the rest pass straight through.
+    distinct values corpus-wide.  Their pass runs once and writes the
+    documents that hold hits; the others are what it did not write, and of
+    them it only changes full-width characters.
     """
-    passed = scan_pass(df, mode, text=text, **options).select(key, *({position} - {key, None}), text, "hits")
+    whole = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    passed = scan_pass(df.withColumn("_whole", whole), mode, text=text, **options).select(key, *({position} - {key, None}), "_whole", text, "hits")
     if mode in ("mask", "redact"):
         return passed.select(key, text), explode_hits(passed, key)
     marked = _sealed_cut(passed.where(F.size("hits") > 0), text)
-    clean = passed.where(F.size("hits") == 0).select(key, text)
+    found = marked.select(F.col(key).alias("_key"), F.col("_whole").alias("_hash")).distinct()
+    clean = df.join(found, F.col(key).eqNullSafe(F.col("_key")) & (whole == F.col("_hash")), "left_anti").select(key, X.normalize(F.col(text)).alias(text))
     hits = explode_hits(marked, key)
     tokenised = hits.where(F.col("replacement").contains(_MARK_L))  # bare *** and custom values take none
     placed = tokenised if position in (None, key) else tokenised.join(marked.select(key, position), key)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from palimpsest.functions.patterns import D, WS
-from palimpsest.functions.scale import by_key
+from palimpsest.functions.scale import by_key, number_rows
 from palimpsest.functions.splice import matches
 from palimpsest.functions.text import strip
 from palimpsest.operators.similarity import line_array
@@ -347,6 +347,45 @@ def plan_delta(plan: DataFrame, done: DataFrame, tolerance: float = 0.01) -> Dat
     return plan.join(old, ["name", "hash"], "left").withColumn("reused", F.coalesce(same, F.lit(False))).drop("_s", "_e")
 
 
+# --- fixed values: headers of the listings -------------------------------------
+CLIP_HEADER = ("节次", "节标题", "段号", "段标题", "逐字稿对应标题", "文件名", "相对路径", "起始", "结束", "时长_秒", "粒度来源")
+PRODUCT_HEADER = ("产品名", "对应节次", "段号", "视频文件", "起始", "结束", "时长_秒", "文案文件")
+
+
+def clip_listing(clips: DataFrame, *, section: str = "section", width: float = 10_000) -> DataFrame:
+    """A section's clips numbered in the order of their start, with what their listings show.
+
+    ``clips``: ``section, filename, folder, start, end, transcript_title,
+    basis, product_name``.  Adds ``clip_no, title`` (the file name without its
+    ending), ``rel_path`` and ``duration``.  A null start comes first.
+    """
+    rows = clips.withColumn("_at", F.coalesce(F.col("start"), F.lit(-1.0)))
+    numbered = number_rows(rows, [section], "_at", ["_at", "filename"], "clip_no", width).drop("_at")
+    return numbered.withColumns({
+        "title": F.regexp_replace("filename", r"(?<=.)\.[^.]*$", ""), "rel_path": F.concat_ws("/", "folder", "filename"),
+        "duration": F.col("end") - F.col("start"),
+    })
+
+
+def clip_rows(listing: DataFrame, *, section: str = "section") -> DataFrame:
+    """The clip listing's CSV columns; times with two decimals, empty where there is none."""
+    times = [F.coalesce(F.format_string("%.2f", c), F.lit("")) for c in ("start", "end", "duration")]
+    columns = [F.col(section), F.col(section), F.col("clip_no"), F.col("title"), F.coalesce("transcript_title", F.lit("")), F.col("filename"), F.col("rel_path"),
+               *times, F.coalesce("basis", F.lit(""))]
+    return listing.select(*[c.alias(h) for c, h in zip(columns, CLIP_HEADER, strict=True)])
+
+
+def product_rows(listing: DataFrame, copies: DataFrame, *, section: str = "section") -> DataFrame:
+    """The product listing's CSV columns: clips with a product, and its copy text if the file is among ``copies`` (``section, name``)."""
+    wanted = F.concat_ws("_", F.col(section).cast("string"), "product_name", F.lit("文案.md"))
+    rows = listing.where(F.coalesce("product_name", F.lit("")) != "").withColumn("_copy", wanted)
+    there = copies.select(F.col("section").alias("_s"), F.col("name").alias("_name")).distinct()
+    rows = rows.join(there, (F.col(section) == F.col("_s")) & (F.col("_copy") == F.col("_name")), "left")
+    times = [F.format_string("%.2f", c) for c in ("start", "end", "duration")]
+    columns = [F.col("product_name"), F.col(section), F.col("clip_no"), F.col("filename"), *times, F.coalesce("_name", F.lit(""))]
+    return rows.select(*[c.alias(h) for c, h in zip(columns, PRODUCT_HEADER, strict=True)])
+
+
 def timeline(anchors: DataFrame, clips: DataFrame) -> DataFrame:
     """Anchors first, then clips, each numbered in its own order."""
     a = anchors.select("section", F.lit(1).alias("part"), F.col("time_sec").cast("double").alias("at"),

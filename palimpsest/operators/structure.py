@@ -7,7 +7,6 @@ by one document.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -16,6 +15,7 @@ from palimpsest.functions import text as T
 from palimpsest.functions.patterns import D, WS
 from palimpsest.functions.scale import by_key, pinned
 from palimpsest.operators.similarity import line_array
+from palimpsest.session import cut_lineage
 
 # --- fixed values: line patterns ---------------------------------------------
 QUESTION_MARK = rf"(?i)^[{WS}]*(问|问题|Q|Question)[{WS}]*[:：.、)]"
@@ -199,33 +199,52 @@ def outline(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     ).where(F.col("_use") & (F.col("text") != "")).drop("_use")
 
 
-def _parents(depths: pd.Series) -> pd.Series:
-    """Per list of depths, the place of the nearest earlier smaller one (-1: none)."""
-    out = []
-    for row in depths:
-        open_, places = [], []
-        for i, d in enumerate(row):
-            while open_ and row[open_[-1]] >= d:
-                open_.pop()
-            places.append(open_[-1] if open_ else -1)
-            open_.append(i)
-        out.append(places)
-    return pd.Series(out)
+#: Nodes of a document that are put in order in one row.
+OUTLINE_BLOCK = 512
 
+_OPEN = "array<struct<depth:int,pos:bigint>>"
 
-def outline_tree(nodes: DataFrame, *, key: str = "doc_id") -> DataFrame:
+
+def _branches(nodes: Column) -> Column:
+    """``struct<open, done>`` of a block: the branch left open at its end, and each node's parent in the block (null: none there)."""
+    start = F.struct(F.array().cast(_OPEN).alias("open"), F.array().cast("array<bigint>").alias("done"))
+
+    def step(state: Column, node: Column) -> Column:
+        above = F.filter(state["open"], lambda o: o["depth"] < node["depth"])
+        own = F.struct(node["depth"].cast("int").alias("depth"), node["pos"].cast("bigint").alias("pos"))
+        return F.struct(F.concat(above, F.array(own)).cast(_OPEN).alias("open"),
+                        F.concat(state["done"], F.array(F.get(above, F.size(above) - 1)["pos"])).alias("done"))
+
+    return F.aggregate(nodes, start, step)
+
+
+def outline_tree(nodes: DataFrame, *, key: str = "doc_id", block: int | None = None) -> DataFrame:
     """Parent of each node: the nearest earlier node with a smaller depth.
 
-    A document's nodes are put in order in one row and walked once with the
-    branch that is open, however deep it is.
+    Nodes are taken in blocks of a document's places.  A block finds the
+    parents inside it and hands on its open branch, whose depths only grow.  A
+    node without a parent in its block looks for the last block before it that
+    holds a smaller depth: such nodes and such branches are few per block, and
+    what is put in order per document is one small row for each of them.
     """
-    listed = nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "depth", "text"))).alias("_n"))
-    parents = F.pandas_udf(_parents, "array<int>")
-    listed = listed.withColumn("_p", parents(F.col("_n.depth")))
-    rows = listed.select(key, "_n", F.posexplode("_p").alias("_i", "_at"))
-    node = F.get("_n", F.col("_i"))
-    parent = F.when(F.col("_at") >= 0, F.get("_n", F.col("_at"))["pos"])
-    return rows.select(key, node["pos"].alias("pos"), node["depth"].alias("depth"), node["text"].alias("text"), parent.alias("parent_pos"))
+    n = block or OUTLINE_BLOCK
+    rows = nodes.select(key, F.floor(F.col("pos") / n).alias("_b"), F.struct("pos", "depth", "text").alias("n"))
+    rows = rows.groupBy(key, "_b").agg(F.array_sort(F.collect_list("n")).alias("n"))
+    rows = cut_lineage(rows.withColumn("s", pinned(_branches(F.col("n")))))
+    found = rows.select(key, "_b", F.posexplode(F.arrays_zip("n", "s.done")).alias("i", "z")).select(
+        key, "_b", F.col("z.n.pos").alias("pos"), F.col("z.n.depth").alias("depth"), F.col("z.n.text").alias("text"), F.col("z.done").alias("parent_pos"))
+    # Depths that a block's branch holds, and depths it asks for, as marks on one line: the last mark below decides.
+    held = rows.select(key, "_b", F.explode("s.open").alias("o")).select(key, "_b", F.col("o.depth").alias("depth"), F.col("o.pos").alias("at"))
+    asked = found.where("parent_pos is null").select(key, "_b", "depth").distinct()
+    levels = asked.select(key, "depth").distinct().withColumnRenamed("depth", "level")
+    below = held.join(levels, key).where(F.col("depth") < F.col("level")).groupBy(key, "level", "_b").agg(F.max("at").alias("at"))
+    marks = below.select(key, "level", "_b", "at", F.lit(False).alias("asks")).unionByName(
+        asked.select(key, F.col("depth").alias("level"), "_b", F.lit(None).cast("bigint").alias("at"), F.lit(True).alias("asks")))
+    before = W.partitionBy(key, "level").orderBy("_b").rangeBetween(W.unboundedPreceding, -1)
+    answers = marks.withColumn("_up", F.max("at").over(before)).where("asks").select(key, "_b", F.col("level").alias("depth"), "_up")
+    out = found.join(answers, [key, "_b", "depth"], "left")
+    up = F.coalesce("parent_pos", "_up")
+    return out.select(key, "pos", "depth", "text", up.cast(nodes.schema["pos"].dataType).alias("parent_pos"))
 
 
 def outline_stats(tree: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -376,6 +376,10 @@ def batch_index(df: DataFrame, *, length: int = 3, key: str = "doc_id", text: st
     return s.select(key, headline.alias("headline"), "summary", "keywords", "lang")
 
 
+#: Tasks that a group's sentences are dealt to when they meet its facts.
+SALTS = 64
+
+
 def group_sentences(df: DataFrame, group: str, *, position: str = "doc_id", text: str = "text",
                     width: float = 100_000) -> DataFrame:
     """All sentences of a group of documents with their index in the whole group."""
@@ -452,8 +456,9 @@ def summarize_group(df: DataFrame, group: str, *, length: int | None = None, key
     kws = group_keywords(df, group, keywords, position=position, text=text, width=width).groupBy(group).agg(
         F.first("lang").alias("lang"), entries.alias("kws")
     )
-    facts = sizes.join(kws, group)
-    scored = sents.join(facts, group).withColumn(
+    # a group's few facts go to SALTS places, so that a hot group's sentences spread over as many tasks
+    facts = sizes.join(kws, group).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    scored = sents.withColumn("_salt", F.pmod("gidx", F.lit(SALTS)).cast("int")).join(facts, [group, "_salt"]).withColumn(
         "score", pinned(sentence_score(F.col("text"), F.col("gidx"), F.col("n"), F.col("kws"), F.col("lang")))
     ).select(group, position, "para", "sent", "gidx", "text", "score", "lang", "n")
     limit = length if length is not None else 5

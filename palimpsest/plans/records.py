@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palimpsest.functions import patterns as P
@@ -9,6 +11,7 @@ from palimpsest.functions.scale import number_rows
 from palimpsest.operators import deident, pack, registry, transcript
 from palimpsest.plans import sqlkit as Q
 from palimpsest.plans.tables import corpus, documents, files, spread, table
+from palimpsest.session import ensure_checkpoint_dir
 from palimpsest.sources import corpus as src
 from palimpsest.sources import sinks
 
@@ -591,6 +594,46 @@ def clip_listing(spark, sf):
     return n.select("section", F.concat(F.lit("clip"), s("o_orderkey")).alias("name"), "clip_no", F.floor(F.col("o_totalprice") / 1000).alias("duration"))
 
 
+_CLIPS = """c AS (SELECT o_custkey AS section, 'clip' || o_orderkey || '.mp4' AS filename, (o_orderkey % 97)::DOUBLE AS start, (o_orderkey % 97 + o_orderkey % 7)::DOUBLE AS stop,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'product ' || o_orderkey % 5 END AS product, o_orderkey % 2 = 0 AS has_copy FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY start, filename) AS no FROM c)"""
+
+
+def _listing(spark, sf):
+    key = F.col("o_orderkey")
+    o = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("section"), F.concat(F.lit("clip"), s("o_orderkey"), F.lit(".mp4")).alias("filename"), F.lit("out").alias("folder"),
+        (key % 97).cast("double").alias("start"), (key % 97 + key % 7).cast("double").alias("end"), F.lit(None).cast("string").alias("transcript_title"), F.lit("even").alias("basis"),
+        F.when(key % 3 == 0, F.concat(F.lit("product "), (key % 5).cast("string"))).alias("product_name"))
+    return pack.clip_listing(o)
+
+
+def _written(spark, rows, order):
+    """The listing as the CSV file gives it back."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/listing-{uuid.uuid4().hex}"
+    sinks.write_csv(rows, path, order)
+    return spark.read.schema(rows.schema).option("header", True).option("nullValue", "\\N").option("emptyValue", "").csv(path)
+
+
+@query("f16_clip_csv", f"""
+WITH {_CLIPS} SELECT section AS "节次", section AS "节标题", no AS "段号", replace(filename, '.mp4', '') AS "段标题", '' AS "逐字稿对应标题", filename AS "文件名", 'out/' || filename AS "相对路径",
+printf('%.2f', start) AS "起始", printf('%.2f', stop) AS "结束", printf('%.2f', stop - start) AS "时长_秒", 'even' AS "粒度来源" FROM n""")
+def clip_csv(spark, sf):
+    return _written(spark, pack.clip_rows(_listing(spark, sf)), ["节次", "段号"])
+
+
+@query("f16_product_csv", f"""
+WITH {_CLIPS}, f AS (SELECT DISTINCT section, section || '_' || product || '_文案.md' AS name FROM c WHERE has_copy AND product IS NOT NULL)
+SELECT product AS "产品名", n.section AS "对应节次", no AS "段号", filename AS "视频文件", printf('%.2f', start) AS "起始", printf('%.2f', stop) AS "结束", printf('%.2f', stop - start) AS "时长_秒",
+coalesce(f.name, '') AS "文案文件" FROM n LEFT JOIN f ON f.section = n.section AND f.name = n.section || '_' || product || '_文案.md' WHERE product IS NOT NULL""")
+def product_csv(spark, sf):
+    listing = _listing(spark, sf)
+    there = listing.where("product_name is not null and cast(regexp_extract(filename, '[0-9]+', 0) as bigint) % 2 = 0").select(
+        "section", F.concat_ws("_", F.col("section").cast("string"), "product_name", F.lit("文案.md")).alias("name"))
+    return _written(spark, pack.product_rows(listing, there), ["对应节次", "段号"])
+
+
 @query("f17_timeline", f"WITH {_SEG} SELECT stream AS section, CASE text WHEN 'purchase' THEN 1 ELSE 2 END AS part, start AS \"at\", text AS label FROM seg WHERE text IN ('purchase', 'view')")
 def timeline(spark, sf):
     e = _events(spark, sf)

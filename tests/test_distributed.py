@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from palimpsest.functions import scale
-from palimpsest.operators import dialogue, pack, registry, similarity, summaries, transcript
+from palimpsest.operators import deident, dialogue, pack, registry, similarity, structure, summaries, transcript
 from palimpsest.sources import segments
 from palimpsest.streaming import flows
 
@@ -354,3 +354,41 @@ def test_memory_outlives_micro_batches(spark, tmp_path, monkeypatch):
     _same(spark.read.parquet(out).select("turn", "answer"), dialogue.answer_turns(df).select("turn", "answer"))
     with pytest.raises(ValueError, match="forgets"):
         flows.start_qa(flows.stream_table(spark, str(tmp_path / "in"), df.schema), out, log, ttl_ms=1000)
+
+
+# --- outlines, listings, one scan ----------------------------------------------------------
+@pytest.mark.parametrize("block", [1, 4, 512])
+def test_outline_tree_matches_stack(spark, block):
+    rng = random.Random(block)
+    rows = [(d, p, rng.choice([0, 1, 1, 2, 3, 5]) + (p % 50 > 40) * 2, f"n{p}") for d, n in ((1, 120), (2, 7), (None, 30)) for p in sorted(rng.sample(range(3 * n), n))]
+    want, open_ = [], {}
+    for d, p, depth, text in rows:
+        stack = open_.setdefault(d, [])
+        while stack and stack[-1][0] >= depth:
+            stack.pop()
+        want.append((d, p, depth, text, stack[-1][1] if stack else None))
+        stack.append((depth, p))
+    df = spark.createDataFrame(rows, "doc_id long, pos int, depth int, text string")
+    got = structure.outline_tree(df.where("doc_id is not null"), block=block)
+    assert sorted(map(tuple, got.collect())) == sorted(w for w in want if w[0] is not None)
+    assert structure.outline_tree(df.limit(0)).count() == 0
+
+
+def test_listings(spark):
+    rows = [("s1", "b.part.mp4", "out", 3.0, 5.5, "Talk", "x", "P1"), ("s1", "a.mp4", "out", 1.0, 2.0, None, None, None), ("s2", ".mp4", "o", None, 2.0, "", "", "P2")]
+    clips = spark.createDataFrame(rows, "section string, filename string, folder string, start double, end double, transcript_title string, basis string, product_name string")
+    listing = pack.clip_listing(clips)
+    got = {tuple(r) for r in pack.clip_rows(listing).collect()}
+    assert got == {("s1", "s1", 1, "a", "", "a.mp4", "out/a.mp4", "1.00", "2.00", "1.00", ""), ("s1", "s1", 2, "b.part", "Talk", "b.part.mp4", "out/b.part.mp4", "3.00", "5.50", "2.50", "x"),
+                   ("s2", "s2", 1, ".mp4", "", ".mp4", "o/.mp4", "", "2.00", "", "")}
+    copies = spark.createDataFrame([("s1", "s1_P1_文案.md"), ("s1", "s1_P1_文案.md"), ("s1", "s2_P2_文案.md")], "section string, name string")
+    assert {(r[0], r[2], r[7]) for r in pack.product_rows(listing, copies).collect()} == {("P1", 2, "s1_P1_文案.md"), ("P2", 1, "")}
+
+
+def test_documents_without_hits_are_normalised_once(spark):
+    """Rows that share a key, repeat, or are null: each keeps its own text."""
+    rows = [(1, "mail a@b.com now"), (1, "ｎothing here"), (2, None), (None, "call 13812345678"), (None, "plain"), (3, "plain"), (3, "plain")]
+    copies, hits = deident.desensitize(spark.createDataFrame(rows, "doc_id long, text string"), "hybrid")
+    got = sorted([(r.doc_id, r.text) for r in copies.collect() if "⟦" not in (r.text or "")], key=repr)
+    assert got == sorted([(1, "nothing here"), (2, None), (None, "plain"), (3, "plain"), (3, "plain")], key=repr)
+    assert {r.original for r in hits.collect()} == {"a@b.com", "13812345678"}
