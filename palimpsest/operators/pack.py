@@ -367,9 +367,13 @@ def clip_listing(clips: DataFrame, *, section: str = "section", width: float = 1
     })
 
 
+def _seconds(column: str) -> Column:
+    return F.when(F.col(column).isNull(), "").otherwise(F.format_string("%.2f", column))
+
+
 def clip_rows(listing: DataFrame, *, section: str = "section") -> DataFrame:
     """The clip listing's CSV columns; times with two decimals, empty where there is none."""
-    times = [F.coalesce(F.format_string("%.2f", c), F.lit("")) for c in ("start", "end", "duration")]
+    times = [_seconds(c) for c in ("start", "end", "duration")]
     columns = [F.col(section), F.col(section), F.col("clip_no"), F.col("title"), F.coalesce("transcript_title", F.lit("")), F.col("filename"), F.col("rel_path"),
                *times, F.coalesce("basis", F.lit(""))]
     return listing.select(*[c.alias(h) for c, h in zip(columns, CLIP_HEADER, strict=True)])
@@ -381,7 +385,7 @@ def product_rows(listing: DataFrame, copies: DataFrame, *, section: str = "secti
     rows = listing.where(F.coalesce("product_name", F.lit("")) != "").withColumn("_copy", wanted)
     there = copies.select(F.col("section").alias("_s"), F.col("name").alias("_name")).distinct()
     rows = rows.join(there, (F.col(section) == F.col("_s")) & (F.col("_copy") == F.col("_name")), "left")
-    times = [F.format_string("%.2f", c) for c in ("start", "end", "duration")]
+    times = [_seconds(c) for c in ("start", "end", "duration")]
     columns = [F.col("product_name"), F.col(section), F.col("clip_no"), F.col("filename"), *times, F.coalesce("_name", F.lit(""))]
     return rows.select(*[c.alias(h) for c, h in zip(columns, PRODUCT_HEADER, strict=True)])
 

@@ -88,6 +88,14 @@ def exemptions(spark, sf):
     return src.apply_exemptions(files(spark, sf), RULES).select("rel_path", "exempt")
 
 
+@query("a06_exemption_table", f"WITH {Q.CORPUS} SELECT rel_path, {_EXEMPT} AS exempt FROM corpus")
+def exemption_table(spark, sf):
+    """The same rules as a table, among as many others as there are parts, none of which fits."""
+    mine = spark.createDataFrame([(i, *r) for i, r in enumerate(RULES)], "line long, scope string, how string, value string")
+    more = table(spark, sf, "part").select((F.col("p_partkey") + len(RULES)).alias("line"), F.lit("local").alias("scope"), F.lit("path").alias("how"), F.concat(F.lit("parts/"), s("p_partkey"), F.lit("/")).alias("value"))
+    return src.apply_exemption_table(files(spark, sf), mine.unionByName(more)).select("rel_path", "exempt")
+
+
 @query("a07_exemption_evidence", f"""
 WITH {Q.CORPUS}, {Q.pass_ctes('corpus', 'doc_id')}, {Q.hits_cte()}, h AS (SELECT doc_id, count(*) AS k FROM hits GROUP BY doc_id)
 SELECT doc_id, exempt, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha256, coalesce(k, 0) AS n_hits, coalesce(k, 0) > 0 AS declared_but_hit
@@ -105,6 +113,17 @@ def zones(spark, sf):
     return z.groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("a08_written_zones", f"""
+WITH {Q.CORPUS} SELECT doc_id, CASE WHEN exempt = 'local' THEN 'local_only' ELSE 'uploadable' END AS zone, sha256(text) AS sha256
+FROM (SELECT doc_id, text, {_EXEMPT} AS exempt FROM corpus) WHERE exempt IS NULL OR exempt = 'local'""")
+def written_zones(spark, sf):
+    """What the zones' folders hold after writing."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/zones-{uuid.uuid4().hex}"
+    sinks.write_zones(sinks.zoned(src.apply_exemptions(corpus(spark, sf).select("doc_id", "rel_path", "text"), RULES)).select("doc_id", "text", "zone"), path)
+    return spark.read.parquet(path).select("doc_id", "zone", F.sha2("text", 256).alias("sha256"))
+
+
 @query("a09_preprocessing_exceptions", f"WITH {Q.CORPUS} SELECT rel_path FROM corpus WHERE ext = '.xyz'")
 def exceptions(spark, sf):
     m = files(spark, sf).withColumn("status", F.when(F.col("ext") == ".xyz", "exception").otherwise("ok"))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 
 from palimpsest.functions import scale
 from palimpsest.operators import deident, dialogue, pack, registry, similarity, structure, summaries, transcript
-from palimpsest.sources import segments
+from palimpsest.sources import corpus, segments
 from palimpsest.streaming import flows
 
 
@@ -392,3 +392,14 @@ def test_documents_without_hits_are_normalised_once(spark):
     got = sorted([(r.doc_id, r.text) for r in copies.collect() if "⟦" not in (r.text or "")], key=repr)
     assert got == sorted([(1, "nothing here"), (2, None), (None, "plain"), (3, "plain"), (3, "plain")], key=repr)
     assert {r.original for r in hits.collect()} == {"a@b.com", "13812345678"}
+
+
+def test_exemption_table_is_like_the_list(spark):
+    rules = [("public", "global", ""), ("local", "path", "a/b/"), ("public", "path", "a"), ("public", "glob", "*.log"), ("public", "glob", "z/?.txt"), ("local", "path", "c/d.txt"), ("local", "other", "a")]
+    paths = ["a", "a/b", "a/b/c.txt", "a/bc", "a/x.log", "z/1.txt", "z/12.txt", "c/d.txt", "c/d.txt/e", "", "q", "q", None]
+    df = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "rel_path string, _path long")
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], "line long, scope string, how string, value string")
+    for some in (rules[:-1], rules[1:-1]):
+        want = corpus.apply_exemptions(df, some).select("_path", "exempt", "reason")
+        got = corpus.apply_exemption_table(df.withColumnRenamed("_path", "n"), table.join(spark.createDataFrame([(v,) for v in {r[2] for r in some}], "value string"), "value", "left_semi"))
+        _same(want.select(F.col("_path").alias("n"), "exempt", "reason"), got)
