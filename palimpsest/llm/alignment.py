@@ -55,8 +55,17 @@ class Tokenizers:
         self.first = Tokenizer.from_file(first)
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_file=second)
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
         with open(first, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            spec = json.load(f)
+        vocabulary = spec["model"]["vocab"]
+        model = proto.ModelProto()
+        with open(second, "rb") as f:
+            model.ParseFromString(f.read())
+        #: Whether neither can change a text but for U+2581.
+        self.lossless = (not spec["normalizer"] and (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and model.trainer_spec.byte_fallback
+                         and model.normalizer_spec.name == "identity" and not model.normalizer_spec.remove_extra_whitespaces)
         byte_of = {c: b for b, c in enumerate(_byte_letters())}
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
@@ -68,16 +77,28 @@ class Tokenizers:
         self.written_a, self.written_b = (np.array([f"{i}{end}" for i in range(n) for end in ("," + last)], dtype=object)
                                           for n, last in ((len(self.bytes_a), "|"), (len(self.bytes_b), ";")))
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both for each text; none where either doesn't give its bytes back."""
-        first = [e.ids for e in self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        second = self.second.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of both for each text; none where either doesn't give its bytes back.
+
+        A byte-level vocabulary without a normaliser loses nothing, and with
+        byte fallback and the identity normaliser only U+2581 can come back as
+        something else, so bytes are only compared where lengths are equal and
+        the text has that character.
+        """
+        first = [np.array(e.ids, dtype=np.int64) for e in self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        second = [np.array(ids, dtype=np.int64) for ids in self.second.encode(texts, num_threads=1)]
         for i, text in enumerate(texts):
-            raw = (" " + text).encode()
-            if b"".join(map(self.bytes_a.__getitem__, first[i])) != raw or b"".join(map(self.bytes_b.__getitem__, second[i])) != raw:
-                first[i], second[i] = [], []
+            size = len(text.encode()) + 1
+            if self.sizes_a[first[i]].sum() != size or self.sizes_b[second[i]].sum() != size or not self._gives_back(text, first[i], second[i]):
+                first[i] = second[i] = np.zeros(0, np.int64)
         return first, second
 
+    def _gives_back(self, text: str, first: np.ndarray, second: np.ndarray) -> bool:
+        if self.lossless and _SPACE not in text:
+            return True
+        raw = (" " + text).encode()
+        return all(b"".join([spelled[i] for i in ids]) == raw for ids, spelled in ((first.tolist(), self.bytes_a), (second.tolist(), self.bytes_b)))
+
 
 @lru_cache(maxsize=2)
 def _load(first: str, second: str) -> Tokenizers:
@@ -103,12 +124,16 @@ class Aligned(NamedTuple):
 
 def align(first: list[np.ndarray], second: list[np.ndarray], sizes_a: np.ndarray, sizes_b: np.ndarray) -> Aligned:
     """Groups and links of a few texts at once."""
-    a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (first, second))
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (first, second))
     ends_a, ends_b = np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b])
     # Texts cover the same bytes on both sides, so each text's end is a common end.
-    cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
-    counts_a, counts_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+    at = np.searchsorted(ends_b, ends_a)
+    common_a = ends_b[at] == ends_a if len(a) else np.zeros(0, bool)
+    common_b = np.zeros(len(b), bool)
+    common_b[at[common_a]] = True
+    group_a, group_b = np.cumsum(common_a) - common_a, np.cumsum(common_b) - common_b
+    n_groups = int(common_a.sum())
+    counts_a, counts_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
     owner = np.repeat(np.arange(len(first)), [len(x) for x in first])
     starts_a, starts_b = np.cumsum(counts_a) - counts_a, np.cumsum(counts_b) - counts_b
     docs = owner[starts_a]
@@ -190,10 +215,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], size, limit: int) -> Iterator[lis
         yield held
 
 
-def _packed(a: list[int], b: list[int]) -> bytes:
+def _packed(a: np.ndarray, b: np.ndarray) -> bytes:
     """Ids of a text, compressed: how many the first has, then all, low bytes apart from high ones."""
-    both = np.array([len(a), *a, *b], dtype="<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(np.ascontiguousarray(both).tobytes(), 1)
+    both = np.concatenate([[len(a)], a, b]).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(np.ascontiguousarray(both).tobytes(), 3)
 
 
 def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -217,15 +242,13 @@ def _encode(first: str, second: str):
         for rows in _chunks(batches, lambda r: len(r[0]), TOGETHER):
             texts, times, digests = zip(*rows, strict=True)
             a, b = t.encode(list(texts))
-            x = align([np.array(i, np.int64) for i in a], [np.array(i, np.int64) for i in b], t.sizes_a, t.sizes_b)
+            x = align(a, b, t.sizes_a, t.sizes_b)
             size = len(texts)
-            # Different pairs of a text: the text's number goes above the pair's 63 bits in a second key.
-            order = np.lexsort((x.link_pairs, x.link_docs))
-            docs, pairs = x.link_docs[order], x.link_pairs[order]
-            new = np.append(True, (docs[1:] != docs[:-1]) | (pairs[1:] != pairs[:-1])) if len(docs) else np.zeros(0, bool)
-            tally.add(pairs[new], np.array(times, np.int64)[docs[new]])
-            links = np.zeros(size, np.int64)
-            np.add.at(links, x.link_docs, x.link_counts)
+            # The different pairs of each text; text, first and second id fit one number (20 bits are more texts than a chunk has).
+            dense = (x.link_docs * len(t.sizes_a) + (x.link_pairs >> 32)) * len(t.sizes_b) + (x.link_pairs & (_PAIR - 1))
+            docs, pair = np.divmod(np.unique(dense), len(t.sizes_a) * len(t.sizes_b))
+            tally.add((pair // len(t.sizes_b)) * _PAIR + pair % len(t.sizes_b), np.array(times, np.int64)[docs])
+            links = np.bincount(x.link_docs, weights=x.link_counts, minlength=size).astype(np.int64)
             yield _batch({"_digest": digests, "_n": times, "ids": list(map(_packed, a, b)), "n_a": list(map(len, a)), "n_b": list(map(len, b)),
                           "n_groups": np.bincount(x.docs, minlength=size), "n_links": links, "groups_sha256": _digests(t, x, size)}, size)
             if len(tally.codes) >= HELD:
