@@ -91,6 +91,21 @@ def test_against_whole_texts(spark, models):
     assert rows_of(got) == sorted(brute(models, rows), key=repr)
 
 
+def test_the_quick_encoder_is_the_same(models):
+    """Random characters of all blocks, tokens side by side, and merges that overlap."""
+    t = alignment._load(alignment.FIRST, alignment.SECOND)
+    assert t.quick is not None
+    rng = random.Random(8)
+    points = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000] + [chr(rng.randrange(0x3000, 0xD800)) for _ in range(3000)]
+    some = ["".join(rng.choices(points, k=rng.randint(1, 30))) for _ in range(3000)]
+    spelled = [b.decode() for b in t.bytes_a if b and not any(c > 127 for c in b)]
+    some += ["".join(rng.choices(spelled, k=rng.randint(1, 8))) for _ in range(6000)]
+    some += ["".join(rng.choices("aab-=_ .", k=rng.randint(1, 40))) for _ in range(3000)] + [c * n for c in "a-=_ .0x*" for n in range(1, 70)]
+    slow = models[0].encode_batch(some, add_special_tokens=False)
+    assert [t.quick.encode_ordinary(x) for x in some if not t.unsure.search(x)] == [e.ids for x, e in zip(some, slow, strict=True) if not t.unsure.search(x)]
+    assert sum(1 for x in some if t.unsure.search(x)) < 2000
+
+
 def test_many_shards_and_small_chunks(spark, models, monkeypatch):
     """Pair counts in several passes give the same."""
     rows = [(i, t) for i, t in enumerate(texts())]
