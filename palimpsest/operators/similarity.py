@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 from pyspark.sql.window import Window as W
 
 from palimpsest.functions import text as T
@@ -184,13 +189,80 @@ def consistency_verdict(pairs: DataFrame, checked: DataFrame, *, key: str = "pai
     )
 
 
-#: How many sentences a question's rarest words should lead to at first, per sentence wanted, and how much more each further round may.
-FIRST_LOOK, WIDER = 8, 8
+#: Questions, and words in them, up to which the question side goes to every task.
+FEW_QUESTIONS, FEW_WORDS = 2_000, 50_000
 
 
 def retrieve(questions: DataFrame, sentences: DataFrame, k: int = 3, *, question_key: str = "item_id",
              question_text: str = "text", order: tuple[str, ...] = ("doc_id", "para", "nth"), text: str = "text",
              cited: DataFrame | None = None, bound: int = 4096) -> DataFrame:
+    """Top-``k`` sentences per question by the share of question tokens they hold.
+
+    A bounded set of questions is sent to every task: sentences are read once
+    and scored where they are, and a task hands on ``k`` of them per question.
+    More questions than that are joined by word, without the blocks that can't
+    count (:func:`_retrieve_many`).  The result is exact either way.
+    """
+    q = questions.select(question_key, F.array_distinct(T.question_tokens(F.col(question_text))).alias("toks")).where(F.size("toks") > 0)
+    size = q.select(F.size("toks").alias("n")).limit(FEW_QUESTIONS + 1).agg(F.count(F.lit(1)), F.sum("n")).first()
+    if size[0] > FEW_QUESTIONS or (size[1] or 0) > FEW_WORDS:
+        return _retrieve_many(questions, sentences, k, question_key, question_text, order, text, cited, bound)
+    return _retrieve_few(q.collect(), q.schema[0], sentences, k, order, text, cited)
+
+
+def _retrieve_few(asked: list, key: ST.StructField, sentences: DataFrame, k: int, order: tuple[str, ...], text: str,
+                  cited: DataFrame | None) -> DataFrame:
+    """The question words as a 0/1 matrix in every task; a batch's overlaps are sums of its rows."""
+    words = {w: i for i, w in enumerate(sorted({w for r in asked for w in r.toks}))}
+    wants = np.zeros((len(words), len(asked)), dtype=np.int32)
+    for j, r in enumerate(asked):
+        wants[[words[w] for w in r.toks], j] = 1
+    shared = sentences.sparkSession.sparkContext.broadcast((words, wants, [r[0] for r in asked]))
+    rows = sentences.select(*order, text)
+    if cited is None:
+        rows = rows.withColumn("_old", F.lit(False))
+    else:
+        seen = cited.select(F.col(text)).distinct().withColumn("_seen", F.lit(True))
+        rows = rows.join(seen, text, "left").select(*order, text, F.coalesce("_seen", F.lit(False)).alias("_old"))
+    out = ST.StructType([key, *[f for f in rows.schema.fields if f.name in order], ST.StructField("score", ST.DoubleType()), rows.schema[text]])
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, wants, names = shared.value
+        need = wants.sum(axis=0)
+        held: list[list[tuple]] = [[] for _ in names]
+        for pdf in batches:
+            for part in (pdf.iloc[i:i + 2000] for i in range(0, len(pdf), 2000)):
+                at = [[words[w] for w in toks if w in words] for toks in part["_toks"]]
+                sizes = np.array([len(x) for x in at])
+                if not sizes.any():
+                    continue
+                live = np.flatnonzero(sizes)
+                starts = np.concatenate([[0], np.cumsum(sizes[live])[:-1]])
+                overlap = np.add.reduceat(wants[np.concatenate([at[i] for i in live]).astype(int)], starts, axis=0)
+                score = overlap / need * np.where(part["_old"].to_numpy()[live], CITED_PENALTY, 1.0)[:, None]
+                keys = list(part.iloc[live][[*order, text]].itertuples(index=False, name=None))
+                for j in range(len(names)):
+                    s = score[:, j]
+                    floor = held[j][-1][0] * -1 if len(held[j]) == k else 0.0
+                    found = np.flatnonzero((s >= floor) & (s > 0))
+                    if len(found) > k:
+                        kth = np.partition(s[found], len(found) - k)[len(found) - k]
+                        found = found[s[found] >= kth]
+                    if len(found):
+                        held[j] = sorted(held[j] + [(-s[i], keys[i]) for i in found])[:k]
+        yield pd.DataFrame([(n, *x[:-1], -away, x[-1]) for n, rows in zip(names, held, strict=True) for away, x in rows], columns=out.names)
+
+    found = rows.withColumn("_toks", T.question_tokens(F.col(text))).mapInPandas(best, out)
+    top = spread_topk(found, [key.name], [F.desc("score"), *order], k)
+    return top.select(key.name, "rank", *order, F.bround("score", 3).alias("score"), text)
+
+
+#: How many sentences a question's rarest words should lead to at first, per sentence wanted, and how much more each further round may.
+FIRST_LOOK, WIDER = 8, 8
+
+
+def _retrieve_many(questions: DataFrame, sentences: DataFrame, k: int, question_key: str, question_text: str, order: tuple[str, ...],
+                   text: str, cited: DataFrame | None, bound: int) -> DataFrame:
     """Top-``k`` sentences per question by the share of question tokens they hold; texts in ``cited`` count for less.
 
     Each word has a list of the sentences that hold it, cut into blocks by how

@@ -124,8 +124,9 @@ def test_sliding_window_covers_every_chunk(spark):
         assert any(first <= i <= last for i in idx)
 
 
-@pytest.mark.parametrize("bound", [4096, 5])
-def test_retrieve_is_exact_with_common_words(spark, bound):
+@pytest.mark.parametrize(("few", "bound"), [(2_000, 4096), (0, 4096), (0, 5)])
+def test_retrieve_is_exact_with_common_words(spark, monkeypatch, few, bound):
+    monkeypatch.setattr(similarity, "FEW_QUESTIONS", few)
     rng = random.Random(11)
     vocab = ["the", "of"] + [f"w{i}" for i in range(30)]
     sent = [(i, 0, 0, " ".join(["the"] * (rng.random() < 0.8) + rng.choices(vocab, k=6))) for i in range(300)]
