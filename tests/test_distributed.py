@@ -404,3 +404,18 @@ def test_exemption_table_is_like_the_list(spark):
         want = corpus.apply_exemptions(df, some).select("_path", "exempt", "reason")
         got = corpus.apply_exemption_table(df.withColumnRenamed("_path", "n"), table.join(spark.createDataFrame([(v,) for v in {r[2] for r in some}], "value string"), "value", "left_semi"))
         _same(want.select(F.col("_path").alias("n"), "exempt", "reason"), got)
+
+
+def test_streams_of_tables_that_are_folders(spark, tmp_path):
+    """A table of several part files is read as a stream too, and one without rows gives no answers."""
+    from palimpsest.plans import streams
+
+    turns = spark.createDataFrame(
+        [(c, t, "user" if t % 2 == 0 else "assistant", f"where are the apples of {c}?" if t % 2 == 0 else f"The apples of {c} lie in the cellar!") for c in (1, 2) for t in range(1, 5)],
+        "conv_id long, turn long, role string, text string")
+    for rows, name in ((turns, "some"), (turns.limit(0), "none")):
+        rows.repartition(3).write.parquet(str(tmp_path / name / "conversations.parquet"))
+        want = streams.answer_turns(spark, str(tmp_path / name)).collect()
+        got = streams.qa_memory(spark, str(tmp_path / name)).collect()
+        assert sorted(got) == sorted(want)
+        assert len(got) == (4 if name == "some" else 0)
