@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -163,9 +167,70 @@ def frame_index(frames: DataFrame, segments: DataFrame, *, stem: str = "stem", t
     )
 
 
-def _mad(a: Column, b: Column) -> Column:
-    total = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda acc, v: acc + v)
-    return total / F.size(a)
+#: Frames of one side that a task compares at once.
+TILE = 4096
+
+
+def _within(threshold: float):
+    """Pairs ``id, early, mad`` of a tile's frames whose signatures differ by at most ``threshold`` in the mean."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, early = left["id"].to_numpy(), right["early"].to_numpy()
+        a, b = (np.stack(list(side["sig"])).astype(np.int64) for side in (left, right))
+        n, out = a.shape[1], []
+        top = max(int(np.abs(a).max()), int(np.abs(b).max())) * 2 * n
+        a, b = (np.ascontiguousarray(x.T.astype(np.int32 if top < 2**31 else np.int64)) for x in (a, b))
+        step = max(1, 2**18 // len(early))
+        for lo in range(0, len(ids), step):
+            part = a[:, lo:lo + step]
+            total, diff = (np.zeros((part.shape[1], len(early)), a.dtype) for _ in range(2))
+            for x, y in zip(part, b, strict=True):
+                np.subtract(x[:, None], y[None, :], out=diff)
+                total += np.abs(diff, out=diff)
+            i, j = np.nonzero((total / n <= threshold) & (early[None, :] < ids[lo:lo + step, None]))
+            out.append(pd.DataFrame({"id": ids[lo + i], "early": early[j], "mad": total[i, j] / n}))
+        return pd.concat(out)
+
+    return run
+
+
+def _near_frames(grid: DataFrame, section: str, threshold: float) -> DataFrame:
+    """Pairs ``section, id, early, mad`` of frames within ``threshold``.
+
+    A cell's frames meet those of its own and the neighbouring cells in tiles of
+    about :data:`TILE` by :data:`TILE`, so a cell that holds a whole section is
+    spread over tasks, and only near pairs become rows.
+    """
+    cell = [section, "size", "g0", "g1", "g2"]
+    offered = grid.select(section, "size", F.col("id").alias("early"), "sig", "g0", "g1", "g2")
+    for g in cell[2:]:
+        offered = offered.withColumn(g, F.explode(F.array(*[F.col(g) + d for d in (-1, 0, 1)])))
+    sizes = grid.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    met = sizes
+    for g in cell[2:]:
+        met = met.withColumn(g, F.explode(F.array(*[F.col(g) + d for d in (-1, 0, 1)])))
+    met = met.groupBy(*cell).agg(F.sum("_n").alias("_m"))
+    parts = cut_lineage(sizes.join(met, cell).select(
+        *cell, F.ceil(F.col("_n") / TILE).cast("int").alias("_lp"), F.ceil(F.col("_m") / TILE).cast("int").alias("_rp")))
+
+    def dealt(rows: DataFrame, number: str, own: str, other: str, names: tuple[str, str]) -> DataFrame:
+        part = F.pmod(F.xxhash64(number), F.col(own)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return rows.join(parts, cell).select(*cell, number, "sig", part.alias(names[0]), each.alias(names[1]))
+
+    left, right = dealt(grid, "id", "_lp", "_rp", ("_l", "_r")), dealt(offered, "early", "_rp", "_lp", ("_r", "_l"))
+    kinds = {f.name: f.dataType.simpleString() for f in grid.schema}
+    compare = _within(threshold)
+
+    def keyed(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = compare(a, b) if len(a) and len(b) else pd.DataFrame({"id": [], "early": [], "mad": []})
+        found.insert(0, "section", pd.Series([key[0]] * len(found), index=found.index, dtype=object))
+        return found
+
+    tile = [F.col(c) for c in (*cell, "_l", "_r")]
+    pairs = left.groupBy(*tile).cogroup(right.toDF(*right.columns).groupBy(*tile)).applyInPandas(
+        keyed, f"section {kinds[section]}, id {kinds['id']}, early {kinds['id']}, mad double")
+    return pairs.withColumnRenamed("section", section)
 
 
 def dedup_frames(frames: DataFrame, threshold: float = 2.0, *, section: str = "section", frame: str = "frame_id",
@@ -174,10 +239,10 @@ def dedup_frames(frames: DataFrame, threshold: float = 2.0, *, section: str = "s
 
     A frame is kept exactly when no earlier *kept* frame is near it.  Identical
     signatures are folded into their first frame; near pairs of the remaining
-    ones come from an equi-join on a grid over three partial means (frames
-    within the threshold differ by a bounded amount in each); the kept set then
-    settles in rounds, each deciding every frame whose earlier neighbours are
-    all decided.  No section is ever gathered into one task.
+    ones are found once, on a grid over three partial means (frames within the
+    threshold differ by a bounded amount in each); the kept set then settles in
+    rounds, each deciding every frame whose earlier neighbours are all decided.
+    No section is ever gathered into one task.  Frame numbers are integers.
     """
     uniq = frames.groupBy(section, sig).agg(F.min(frame).alias("id"))
     n = F.size(sig)
@@ -188,17 +253,11 @@ def dedup_frames(frames: DataFrame, threshold: float = 2.0, *, section: str = "s
         total = F.aggregate(part, F.lit(0).cast("long"), lambda acc, v: acc + v)
         return F.floor(total / (F.lit(threshold) * n)).cast("long")  # sums differ by at most threshold * n
 
-    grid = cut_lineage(uniq.select(section, "id", sig, *[cell(i).alias(f"g{i}") for i in range(3)]))
-    offered = grid.select(section, F.col("id").alias("early"), F.col(sig).alias("sig_e"), *[f"g{i}" for i in range(3)])
-    for i in range(3):
-        g = F.col(f"g{i}")
-        offered = offered.withColumn(f"g{i}", F.explode(F.array(*[g + d for d in (-1, 0, 1)])))
-    keys = [section, "g0", "g1", "g2"]
-    near = cut_lineage(
-        grid.join(offered, keys).where(F.col("early") < F.col("id"))
-        .select(section, "id", "early", _mad(F.col(sig), F.col("sig_e")).alias("mad"))
-        .where(F.col("mad") <= threshold).select(section, "id", "early")
-    )
+    grid = cut_lineage(uniq.select(
+        section, "id", F.col(sig).alias("sig"), n.alias("size"), *[cell(i).alias(f"g{i}") for i in range(3)]))
+    # without a section or with gaps in its signature, a frame is near none
+    placed = grid.where(reduce(and_, (F.col(c).isNotNull() for c in (section, "g0", "g1", "g2"))))
+    near = cut_lineage(_near_frames(placed, section, threshold))
     state = grid.select(section, "id").join(near.select(section, "id").distinct(), [section, "id"], "left_anti")
     kept = cut_lineage(state)
     open_ = cut_lineage(grid.select(section, "id").join(kept, [section, "id"], "left_anti"))
@@ -213,16 +272,15 @@ def dedup_frames(frames: DataFrame, threshold: float = 2.0, *, section: str = "s
         kept = cut_lineage(kept.unionByName(free))
         open_ = cut_lineage(rest.join(free, [section, "id"], "left_anti"))
     # nearest kept frame, earliest first on a tie; only kept frames before the frame count
-    leaders = grid.join(kept, [section, "id"], "left_semi").select(
-        section, F.col("id").alias("early"), F.col(sig).alias("sig_e"), "g0", "g1", "g2")
-    for i in range(3):
-        g = F.col(f"g{i}")
-        leaders = leaders.withColumn(f"g{i}", F.explode(F.array(*[g + d for d in (-1, 0, 1)])))
+    leaders = kept.select(section, F.col("id").alias("early"))
+    both = near.select(section, F.col("id").alias("_first"), "early", "mad").unionByName(
+        near.select(section, F.col("early").alias("_first"), F.col("id").alias("early"), "mad"))
+    self = placed.select(section, F.col("id").alias("_first"), F.col("id").alias("early"), F.lit(0.0).alias("mad"))
+    around = both.unionByName(self).join(leaders, [section, "early"], "left_semi")
     losers = frames.select(section, frame, sig).join(
         kept.select(section, F.col("id").alias(frame)), [section, frame], "left_anti")
-    placed = losers.withColumns({f"g{i}": cell(i) for i in range(3)}).join(leaders, keys).where(
-        F.col("early") < F.col(frame))
-    mad = placed.select(section, frame, "early", _mad(F.col(sig), F.col("sig_e")).alias("mad"))
+    firsts = losers.join(placed.select(section, F.col("sig").alias(sig), F.col("id").alias("_first")), [section, sig]).drop(sig)
+    mad = firsts.join(around, [section, "_first"]).where(F.col("early") < F.col(frame))
     best = mad.groupBy(section, frame).agg(F.min(F.struct("mad", "early")).alias("b"))
     return frames.select(section, frame).join(best, [section, frame], "left").select(
         section, frame, F.col("b").isNull().alias("selected"), F.col("b.early").alias("dup_of"),

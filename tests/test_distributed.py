@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -69,6 +70,19 @@ def test_dedup_frames_matches_greedy(spark):
     assert got == _greedy(frames, 2.0)
 
 
+def test_dedup_frames_of_one_cell_in_tiles(spark, monkeypatch):
+    """Signatures too alike for the grid to part them are compared in tiles; repeats of a dropped frame may be nearer to a later one."""
+    monkeypatch.setattr(pack, "TILE", 16)
+    rng = random.Random(4)
+    base = [[128 + rng.randrange(-6, 7) for _ in range(12)] for _ in range(60)]
+    frames = [(s, i, base[rng.randrange(60)]) for s in ("a", "b") for i in range(120)] + [("c", 0, None), ("c", 1, None), ("c", 2, [1, None]), ("c", 3, [1, None])]
+    df = spark.createDataFrame(frames, "section string, frame_id long, sig array<int>")
+    rows = {(r.section, r.frame_id): r.dup_of for r in pack.dedup_frames(df, 4.0).collect()}
+    assert rows == _greedy([f for f in frames if f[0] != "c"], 4.0) | {("c", i): None for i in range(4)}
+    left, right = (pd.DataFrame({name: range(3), "sig": [[0, 0], [1, 2], [9, 9]]}) for name in ("id", "early"))
+    assert pack._within(2.0)(left, right).values.tolist() == [[1, 0, 1.5]]
+
+
 def test_four_frames_keep_three(spark):
     a, b, c = [10] * 256, [90] * 256, [200] * 256
     df = spark.createDataFrame([("s", 0, a), ("s", 1, b), ("s", 2, a), ("s", 3, c)], "section string, frame_id long, sig array<int>")
