@@ -53,8 +53,14 @@ SIGNALS = ("总之", "因此", "结论", "综上", "本文", "研究", "发现",
            "we propose", "our findings", "this paper", "the result", "importantly")
 
 
+#: The characters of the class ``WS``.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+    """Without blanks at both ends; only the ends are looked at."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def squeeze(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from palimpsest.functions.patterns import D, WS
-from palimpsest.functions.scale import by_key, number_rows
+from palimpsest.functions.scale import by_key, number_rows, pinned
 from palimpsest.functions.splice import matches
 from palimpsest.functions.text import strip
 from palimpsest.operators.similarity import line_array
@@ -110,8 +110,9 @@ def parse_anchors(docs: DataFrame, *, key: str = "doc_id", text: str = "text", m
     w = W.partitionBy(key).orderBy("pos")
     t, ln = F.col(text), F.col("line")
     base = by_key(docs.select(key, text), key)
-    rows = base.select(key, F.when(t.rlike(ARROW_ANCHOR), "arrow").otherwise("ts").alias("mode"),
-                       F.posexplode(line_array(t)).alias("pos", "line"))
+    # ahead of the lines: beside them, the whole text would be searched again for each
+    base = base.select(key, text, pinned(F.when(t.rlike(ARROW_ANCHOR), "arrow").otherwise("ts")).alias("mode"))
+    rows = base.select(key, "mode", F.posexplode(line_array(t)).alias("pos", "line"))
     head = F.when(ln.rlike(MD_HEADING), strip(F.regexp_extract(ln, MD_HEADING, 2)))
     clean = F.when(strip(ln) != "", strip(ln))
     rows = rows.withColumns({

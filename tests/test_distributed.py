@@ -433,3 +433,23 @@ def test_streams_of_tables_that_are_folders(spark, tmp_path):
         got = streams.qa_memory(spark, str(tmp_path / name)).collect()
         assert sorted(got) == sorted(want)
         assert len(got) == (4 if name == "some" else 0)
+
+
+def test_anchor_mode_is_told_once_a_text(spark):
+    """The search for arrows in the whole text stands below the lines, not beside each."""
+    df = spark.createDataFrame([(1, "# a\n[01:02] said\n▶ **03:04** arrow\n \n\x1c body \x85")], "doc_id long, text string")
+    got = pack.parse_anchors(df)
+    assert [(r.line_no, r.mode, r.time_sec, r.heading, r.body) for r in got.collect()] == [(3, "arrow", 184, "a", "arrow")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    lines_at = next(i for i, x in enumerate(plan) if "Generate posexplode" in x)
+    searched = [i for i, x in enumerate(plan) if "THEN arrow" in x]
+    assert searched and all(i > lines_at for i in searched)
+
+
+def test_strip_takes_every_blank(spark):
+    from palimpsest.functions import text as T
+    from palimpsest.functions.patterns import WS
+
+    d = spark.createDataFrame([(chr(i) + "a" + chr(i) + "\n " + chr(i),) for i in range(0x3100)], "t string")
+    assert d.where(T.strip(F.col("t")) != F.regexp_replace("t", f"^[{WS}]+|[{WS}]+$", "")).count() == 0
+    assert "btrim" in str(T.strip(F.col("t")))
