@@ -82,18 +82,20 @@ def indexed(df: DataFrame, *, key: str = "doc_id", text: str = "text", exchange:
     """
     # any character that is not blank makes a sentence; this test reaches the scan
     base = df.select(key, F.col(text).alias("text")).where(F.col("text").rlike(f"[^{WS}]"))
+    # told ahead of the exchange, which the keywords and the sentences share
+    base = base.withColumn("lang", pinned(T.language(F.col("text"))))
     if exchange:
         base = by_key(base, key)
-    return base.withColumns({
-        "sents": pinned(T.located_sentences(F.col("text"))), "lang": pinned(T.language(F.col("text")))
-    })
+    return base.select(key, "text", pinned(T.located_sentences(F.col("text"))).alias("sents"), "lang")
 
 
 def keyword_rows(docs: DataFrame, k: int = 8, *, key: str = "doc_id") -> DataFrame:
     """Top-``k`` keywords per document: ``key, term, weight, rank``."""
-    facts = docs.withColumn("min_df", F.when(F.size("sents") >= 3, 2).otherwise(1))
     latin = _latin_terms(docs.where("lang = 'en'").select(key, "text"), [key]).withColumn("min_df", F.lit(1))
-    chinese = _chinese_terms(facts.where("lang = 'zh'").select(key, "min_df", "text"), [key, "min_df"])
+    # the sentences of Chinese documents only, so that the others' are not made a second time here
+    facts = docs.select(key, "text", "lang").where("lang = 'zh'").withColumn(
+        "min_df", F.when(F.size(pinned(T.located_sentences(F.col("text")))) >= 3, 2).otherwise(1))
+    chinese = _chinese_terms(facts.select(key, "min_df", "text"), [key, "min_df"])
     # numbers only, so that the aggregate hashes instead of sorting
     counted = latin.unionByName(chinese).groupBy(key, "cls", "term").agg(
         F.count(F.lit(1)).alias("tf"), F.sum("lead").alias("df"), F.min("pos").alias("pos"), F.max("min_df").alias("min_df")

@@ -453,3 +453,12 @@ def test_strip_takes_every_blank(spark):
     d = spark.createDataFrame([(chr(i) + "a" + chr(i) + "\n " + chr(i),) for i in range(0x3100)], "t string")
     assert d.where(T.strip(F.col("t")) != F.regexp_replace("t", f"^[{WS}]+|[{WS}]+$", "")).count() == 0
     assert "btrim" in str(T.strip(F.col("t")))
+
+
+def test_language_is_told_ahead_of_the_exchange(spark):
+    """Keywords and sentences share the exchange, so what stands below it is done once."""
+    df = spark.createDataFrame([(1, "One thing here! Another thing there."), (2, "今天天气很好。明天天气也好。后天天气不好。")], "doc_id long, text string")
+    got = summaries.scored_documents(df)
+    assert {r.doc_id: (r.lang, len(r.ranked)) for r in got.collect()} == {1: ("en", 2), 2: ("zh", 3)}
+    above, *below = got._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+    assert "THEN zh ELSE en" not in above and below and all(x.count("THEN zh ELSE en") == 1 for x in below)
