@@ -216,3 +216,12 @@ def test_many_chinese_runs(spark):
     assert summaries.keyword_rows(summaries.indexed(df)).where("rank = 1").count() == 2
     first = [r.term for r in summaries.group_keywords(df, "src", 2).orderBy("rank").collect()]
     assert first == ["甲乙", "丙丁"]  # alike in weight: the earlier document's comes first
+
+
+def test_hits_parted_by_one_character(spark):
+    """A character that ends one hit also lets the next begin, as in the reference's look-arounds."""
+    rows = [(1, "at 10.0.0.1 10.0.0.2 10.0.0.3."), (2, "call +49 151 2345678 +33 6 1234 5678 now"), (3, "110101199001011234 110101199001011235")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.value for r in detect.find_kind(df, "ip").orderBy("pos").collect()] == ["10.0.0.1", "10.0.0.2", "10.0.0.3"]
+    assert [r.value for r in detect.find_kind(df, "intl_phone").orderBy("pos").collect()] == ["+49 151 2345678", "+33 6 1234 5678"]
+    assert detect.precheck(df, ["idcard"]).count() == 2
