@@ -31,14 +31,17 @@ def shares_with(claims: DataFrame, *, thing: str = "capability", owner: str = "c
         claims.select(thing, owner).distinct().withColumn("_h", F.pmod(F.xxhash64(owner), F.lit(1024))),
         [thing], "_h", ["_h", owner], "_n", 64,
     )
-    tiled = numbered.withColumn("_tile", F.floor(F.col("_n") / width).cast("long")).drop("_h", "_n")
+    tiled = numbered.withColumn("_tile", F.floor(F.col("_n") / width).cast("long")).drop("_h")
     tiles = tiled.groupBy(thing).agg(F.max("_tile").alias("_last"))
-    left = tiled.drop("_tile").join(tiles, thing).select(
-        thing, F.col(owner).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_tile")
+    # each pair once, from its lower number, and in both directions only when it is counted
+    left = tiled.join(tiles, thing).select(
+        thing, F.col(owner).alias("a"), F.col("_n").alias("_na"), F.explode(F.sequence("_tile", "_last")).alias("_tile")
     )
-    right = tiled.select(thing, F.col(owner).alias("b"), "_tile")
-    both = left.join(right, [thing, "_tile"]).where(F.col("a") != F.col("b"))
-    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared"))
+    right = tiled.select(thing, F.col(owner).alias("b"), F.col("_n").alias("_nb"), "_tile")
+    both = left.join(right, [thing, "_tile"]).where((F.col("_na") < F.col("_nb")) & (F.col("a") != F.col("b")))
+    counted = both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n_shared"))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return counted.select(F.explode(ways).alias("p"), "n_shared").select("p.a", "p.b", "n_shared")
 
 
 def version_key(version: Column) -> Column:

@@ -462,3 +462,19 @@ def test_language_is_told_ahead_of_the_exchange(spark):
     assert {r.doc_id: (r.lang, len(r.ranked)) for r in got.collect()} == {1: ("en", 2), 2: ("zh", 3)}
     above, *below = got._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
     assert "THEN zh ELSE en" not in above and below and all(x.count("THEN zh ELSE en") == 1 for x in below)
+
+
+def test_sharing_pairs_meet_once(spark):
+    """Each pair is joined from its lower number only; both directions come of the count."""
+    rows = [(t, o) for t, n in (("x", 30), ("y", 11), ("z", 1)) for o in range(n)] + [("x", 3), ("w", None), ("w", 1), ("w", 2)]
+    claims = spark.createDataFrame(rows, "capability string, component long")
+    out = registry.shares_with(claims, width=4)
+    got = {(r.a, r.b): r.n_shared for r in out.collect()}
+    want = {}
+    owners = {t: {o for u, o in rows if u == t and o is not None} for t, _ in rows}
+    for held in owners.values():
+        for a in held:
+            for b in held - {a}:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert got == want
+    assert "(_na" in out._jdf.queryExecution().optimizedPlan().toString()
