@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from palimpsest.functions.patterns import D, WS
 from palimpsest.functions.scale import by_key, number_rows, pinned
-from palimpsest.functions.splice import matches
+from palimpsest.functions.splice import let, matches
 from palimpsest.functions.text import strip
 from palimpsest.operators.similarity import line_array
 from palimpsest.session import cut_lineage
@@ -482,21 +482,27 @@ def coverage_gaps(docs: DataFrame, *, key: str = "doc_id", text: str = "text", m
 
     Sections are those of level 3, or of level 2 in a document without deeper headings.
     """
-    w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    ln = F.col("line")
-    base = by_key(docs.select(key, text), key)
-    rows = base.select(key, F.posexplode(line_array(F.col(text))).alias("pos", "line"))
-    rows = rows.withColumn("level", F.when(ln.rlike(MD_HEADING), F.length(F.regexp_extract(ln, MD_HEADING, 1))))
-    rows = rows.withColumn("pick", F.when(F.max("level").over(W.partitionBy(key)) >= 3, 3).otherwise(2))
-    is_head = F.coalesce(F.col("level") == F.col("pick"), F.lit(False))
-    rows = rows.withColumns({"is_head": is_head, "block": F.count_if(is_head).over(w)})
-    body = F.regexp_replace(F.regexp_replace(ln, MD_IMAGE, ""), f"[{WS}]", "")
-    per = rows.where("block > 0").groupBy(key, "block").agg(
-        F.max(F.when(F.col("is_head"), strip(F.regexp_extract(ln, MD_HEADING, 2)))).alias("heading"),
-        F.sum(F.when(F.col("is_head"), 0).otherwise(F.length(body))).alias("n_chars"),
-        F.bool_or(~F.col("is_head") & ln.rlike(MD_IMAGE)).alias("has_image"),
-    )
-    return per.where((F.col("n_chars") >= min_chars) & ~F.col("has_image")).drop("has_image")
+    rows = docs.select(key, pinned(line_array(F.col(text))).alias("lines"))
+    levels = F.transform("lines", lambda ln: F.when(
+        ln.startswith("#") & F.rlike(ln, F.lit(MD_HEADING)), F.length(F.regexp_extract(ln, MD_HEADING, 1))))
+    rows = rows.withColumn("levels", pinned(levels))
+    pick = F.when(F.array_max("levels") >= 3, 3).otherwise(2)
+    places = F.filter(F.transform("levels", lambda level, i: F.when(level == F.col("pick"), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("pick", pick).withColumn("heads", pinned(places))
+
+    def n_chars(body: Column) -> Column:
+        plain = F.transform(body, lambda ln: F.when(ln.contains("!["), F.regexp_replace(ln, MD_IMAGE, "")).otherwise(ln))
+        return F.aggregate(plain, F.lit(0).cast("long"), lambda n, ln: n + F.length(ln) - F.regexp_count(ln, F.lit(f"[{WS}]")))
+
+    def section(at: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("heads", i + 1), F.size("lines"))
+        body = F.slice("lines", at + 2, end - at - 1)
+        return let(body, lambda b: F.struct(
+            (i + 1).cast("long").alias("block"), strip(F.regexp_extract(F.get("lines", at), MD_HEADING, 2)).alias("heading"),
+            n_chars(b).alias("n_chars"), F.exists(b, lambda ln: ln.contains("![") & F.rlike(ln, F.lit(MD_IMAGE))).alias("has_image")))
+
+    found = rows.select(key, F.explode(F.transform("heads", section)).alias("s")).select(key, "s.*")
+    return found.where((F.col("n_chars") >= min_chars) & ~F.col("has_image")).drop("has_image")
 
 
 def anchor_flow(transcripts: DataFrame, deliverables: DataFrame, *, key: str = "section", text: str = "text") -> DataFrame:

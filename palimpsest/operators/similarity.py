@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 from palimpsest.functions import text as T
 from palimpsest.functions.patterns import WS
 from palimpsest.functions.scale import attach, pinned, spread_topk, tiled_join
+from palimpsest.functions.splice import let
 from palimpsest.session import cut_lineage
 
 # --- fixed values: thresholds, citations and headings ------------------------
@@ -26,8 +27,8 @@ SUMMARY_HEADING = rf"^#+[{WS}]*(摘要|关键词)[{WS}]*$"
 
 def line_array(text: Column) -> Column:
     """Lines the way text tools split them (no empty tail after a final break)."""
-    return F.split(F.regexp_replace(text, r"(\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}])\z", ""),
-                   r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]", -1)
+    lines = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]", -1)
+    return let(lines, lambda ln: F.when((F.size(ln) > 1) & (F.element_at(ln, -1) == ""), F.slice(ln, 1, F.size(ln) - 1)).otherwise(ln))
 
 
 def clean_summary(text: Column) -> Column:
