@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions.patterns import WS
-from palimpsest.functions.scale import by_key, carry_last, number_rows, pinned, spread_topk
+from palimpsest.functions.scale import by_key, by_key_and_size, carry_last, number_rows, pinned, spread_topk
 from palimpsest.functions.splice import let, matches
 
 SENTENCE = "struct<idx:int,para:int,sent:int,text:string,score:double>"
@@ -57,8 +57,11 @@ def _chinese_terms(docs: DataFrame, keep: list) -> DataFrame:
 
 
 def ngram_counts(df: DataFrame, n: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Chinese n-gram frequency and the number of runs that hold it."""
-    runs = df.select(key, F.posexplode(matches(F.col(text), T.CJK_RUN)).alias("run_no", "run"))
+    """Chinese n-gram frequency and the number of runs that hold it.
+
+    Texts are exchanged, not their n-grams, to tasks of a bounded size; both counts reuse that partitioning.
+    """
+    runs = by_key_and_size(df.select(key, text), key, text).select(key, F.posexplode(matches(F.col(text), T.CJK_RUN)).alias("run_no", "run"))
     terms = runs.select(key, "run_no", F.explode(T.grams(F.col("run"), n)).alias("term"))
     return (
         terms.groupBy(key, "term", "run_no").agg(F.count(F.lit(1)).alias("k"))
