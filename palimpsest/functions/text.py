@@ -73,6 +73,11 @@ def sentence_array(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, SENTENCE_END), squeeze), lambda s: s != "")
 
 
+def sentence_count(text: Column) -> Column:
+    """How many sentences :func:`sentence_array` and :func:`located_sentences` give, without tidying them up."""
+    return F.size(F.filter(F.split(text, SENTENCE_END), lambda s: F.rlike(s, F.lit(f"[^{WS}]"))))
+
+
 def paragraph_array(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, PARAGRAPH_GAP), strip), lambda p: p != "")
 

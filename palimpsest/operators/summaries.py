@@ -13,11 +13,13 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from palimpsest.functions import text as T
 from palimpsest.functions.patterns import WS
-from palimpsest.functions.scale import by_key, by_key_and_size, carry_last, number_rows, pinned, spread_topk
+from palimpsest.functions.scale import BLOCK, by_key, by_key_and_size, carry_last, carry_offsets, pinned, spread_topk, with_block
 from palimpsest.functions.splice import let, matches
+from palimpsest.session import cut_lineage
 
 SENTENCE = "struct<idx:int,para:int,sent:int,text:string,score:double>"
 
@@ -381,18 +383,39 @@ def batch_index(df: DataFrame, *, length: int = 3, key: str = "doc_id", text: st
     return s.select(key, headline.alias("headline"), "summary", "keywords", "lang")
 
 
-#: Tasks that a group's sentences are dealt to when they meet its facts.
+#: Tasks that a group's documents are dealt to when they meet its facts.
 SALTS = 64
 
 
+def _group_facts(df: DataFrame, group: str, position: str, text: str) -> DataFrame:
+    """Per document: numbers of sentences, Latin words and Chinese runs, the first and the last word.  Written once, as several steps read it."""
+    words = df.select(group, position, F.col(text).alias("text"), pinned(matches(F.col(text), T.LATIN_WORD)).alias("_ws"))
+    return cut_lineage(words.select(
+        group, position, pinned(F.coalesce(T.sentence_count(F.col("text")), F.lit(0)).cast("long")).alias("n_sents"),
+        F.size("_ws").alias("latin"), F.regexp_count("text", F.lit(T.CJK_RUN)).alias("cjk"),
+        F.lower(F.get("_ws", F.lit(0))).alias("head"), F.lower(F.try_element_at("_ws", F.lit(-1))).alias("tail"),
+    ).where("n_sents > 0"))
+
+
 def group_sentences(df: DataFrame, group: str, *, position: str = "doc_id", text: str = "text",
                     width: float = 100_000) -> DataFrame:
     """All sentences of a group of documents with their index in the whole group."""
-    rows = df.select(group, position, F.posexplode(T.located_sentences(F.col(text))).alias("nth", "s")).select(
-        group, position, "nth", "s.para", "s.sent", F.col("s.text").alias("text")
-    )
-    numbered = number_rows(rows, [group], position, [position, "nth"], "gidx", width)
-    return numbered.withColumn("gidx", F.col("gidx") - 1)
+    return _exploded(_placed(df, _group_facts(df, group, position, text), group, position, text, width), group, position)
+
+
+def _placed(df: DataFrame, facts: DataFrame, group: str, position: str, text: str, width: float) -> DataFrame:
+    """Documents with their sentences and how many the group has before them; documents are put in order, not sentences."""
+    docs = df.select(group, position, pinned(T.located_sentences(F.col(text))).alias("sents"))
+    docs = with_block(docs.withColumn("_n", F.size("sents")).where("_n > 0"), position, width)
+    inside = W.partitionBy(group, BLOCK).orderBy(position).rowsBetween(W.unboundedPreceding, -1)
+    local = docs.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    per_block = with_block(facts, position, width).groupBy(group, BLOCK).agg(F.sum("n_sents").alias("_n"))
+    return carry_offsets(local, [group], per_block, "_before").drop("_n")
+
+
+def _exploded(docs: DataFrame, group: str, position: str, *more: str) -> DataFrame:
+    rows = docs.select(group, position, *more, "_before", F.posexplode("sents").alias("nth", "s"))
+    return rows.select(group, position, *more, "nth", "s.para", "s.sent", F.col("s.text").alias("text"), (F.col("_before") + F.col("nth")).alias("gidx"))
 
 
 def _packed(doc: Column, pos: Column) -> Column:
@@ -408,16 +431,14 @@ def group_keywords(df: DataFrame, group: str, k: int = 8, *, position: str = "do
     The documents count as one text, so the last word of one and the first word
     of the next form a pair as well.
     """
+    return _group_keywords(df, _group_facts(df, group, position, text), group, k, position, text, width)
+
+
+def _group_keywords(df: DataFrame, facts: DataFrame, group: str, k: int, position: str, text: str, width: float) -> DataFrame:
     docs = df.where(F.col(text).rlike(f"[^{WS}]"))
-    marks = docs.groupBy(group).agg(
-        F.sum(F.regexp_count(text, F.lit(T.CJK_RUN))).alias("cjk"),
-        F.sum(F.regexp_count(text, F.lit(T.LATIN_WORD))).alias("latin"),
-        F.sum(F.size(T.sentence_array(F.col(text)))).alias("n_sents"),
-    ).select(group, F.when(F.col("cjk") >= F.col("latin"), "zh").otherwise("en").alias("lang"), "n_sents")
-    words = T.latin_words(F.col(text))
-    ends = docs.select(
-        group, position, F.get(words, F.lit(0)).alias("head"), F.try_element_at(words, F.lit(-1)).alias("tail")
-    )
+    marks = facts.groupBy(group).agg(F.sum("cjk").alias("cjk"), F.sum("latin").alias("latin"), F.sum("n_sents").alias("n_sents")).select(
+        group, F.when(F.col("cjk") >= F.col("latin"), "zh").otherwise("en").alias("lang"), "n_sents")
+    ends = facts.select(group, position, "head", "tail")
     seams = carry_last(ends, [group], position, [position], F.col("tail"), "before", width, inclusive=False)
     good = [F.col("before").isNotNull(), F.col("head").isNotNull()]
     for c in ("before", "head"):
@@ -455,15 +476,16 @@ def summarize_group(df: DataFrame, group: str, *, length: int | None = None, key
     Keywords and scores see the whole group; only the chosen rows are ranked
     across it, pruned map-side.
     """
-    sents = group_sentences(df, group, position=position, text=text, width=width)
-    sizes = sents.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    facts = _group_facts(df, group, position, text)
+    sizes = facts.groupBy(group).agg(F.sum("n_sents").alias("n"))
     entries = F.array_sort(F.collect_list(F.struct("rank", "term", "weight")))
-    kws = group_keywords(df, group, keywords, position=position, text=text, width=width).groupBy(group).agg(
+    kws = _group_keywords(df, facts, group, keywords, position, text, width).groupBy(group).agg(
         F.first("lang").alias("lang"), entries.alias("kws")
     )
-    # a group's few facts go to SALTS places, so that a hot group's sentences spread over as many tasks
-    facts = sizes.join(kws, group).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    scored = sents.withColumn("_salt", F.pmod("gidx", F.lit(SALTS)).cast("int")).join(facts, [group, "_salt"]).withColumn(
+    # a group's few facts go to SALTS places, so that a hot group's documents spread over as many tasks
+    marks = cut_lineage(sizes.join(kws, group)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    docs = _placed(df, facts, group, position, text, width).withColumn("_salt", F.pmod(F.xxhash64(position), F.lit(SALTS)).cast("int"))
+    scored = _exploded(docs.join(marks, [group, "_salt"]), group, position, "n", "kws", "lang").withColumn(
         "score", pinned(sentence_score(F.col("text"), F.col("gidx"), F.col("n"), F.col("kws"), F.col("lang")))
     ).select(group, position, "para", "sent", "gidx", "text", "score", "lang", "n")
     limit = length if length is not None else 5
