@@ -10,6 +10,7 @@ from palimpsest.functions.scale import by_key_and_size
 from palimpsest.operators import pack, summaries
 from palimpsest.operators.similarity import line_array
 from palimpsest.plans import detection
+from palimpsest.sources import segments
 
 
 def _texts(seed: int, parts: list[str], n: int = 300) -> list[tuple[int, str]]:
@@ -58,3 +59,11 @@ def test_group_sentences_are_placed_by_document(spark):
     out = summaries.group_sentences(spark.createDataFrame(rows, "src string, doc_id long, text string"), "src", width=100)
     assert sorted((r.src or "", r.gidx, r.text) for r in out.collect()) == [
         ("", 0, "u!"), ("", 1, "v"), ("", 2, "w"), ("a", 0, "x. y!"), ("a", 1, "z"), ("a", 2, "p?"), ("a", 3, "q"), ("b", 0, "one")]
+
+
+def test_files_are_dealt_to_a_bounded_number_of_tasks(monkeypatch):
+    reader = segments._Reader({"path": "/none"})
+    monkeypatch.setattr(reader, "_parts", lambda: {s: {n: f"{s}/{n}" for n in range(50_000)} for s in ("a", "b")})
+    dealt = reader.partitions({"a": 9}, {"a": 49_999, "b": 49_999})
+    assert len(dealt) <= segments.TASKS
+    assert [f[:2] for p in dealt for f in p.files] == [("a", n) for n in range(10, 50_000)] + [("b", n) for n in range(50_000)]
