@@ -161,9 +161,40 @@ def consistency(pairs: DataFrame, *, key: str = "pair_id", original: str = "left
                 threshold: float = TRACEABLE_AT, bound: int = 4096) -> DataFrame:
     """Each summary sentence with its best source sentence and whether it is traceable.
 
-    Sentences that find a source at ``threshold`` need no more than the tokens
-    that it takes; only the others are compared with all that share a token.
+    A pair of up to ``bound`` sentences by sentences is compared in its row.
+    Larger pairs meet by tokens: sentences that find a source at ``threshold``
+    need no more than the tokens that it takes; only the others are compared
+    with all that share a token.
     """
+    compared = T.sentence_count(F.col(original)).cast("long") * T.sentence_count(F.col(summary))
+    large = F.coalesce(compared > bound, F.lit(False))
+    found = _best_in_row(pairs.where(~large), key, original, summary)
+    rest = cut_lineage(pairs.where(large).select(key, original, summary))
+    if not rest.isEmpty():
+        found = found.unionByName(_best_by_token(rest, key, original, summary, threshold, bound))
+    score = F.coalesce("best", F.lit(0.0))
+    return found.select(
+        key, F.col("i").alias("idx"), "text", F.coalesce("partner", F.lit(-1)).cast("int").alias("best_match_idx"),
+        F.bround(score, 3).alias("best_match_score"), (score >= threshold).alias("traceable"),
+    )
+
+
+def _best_in_row(pairs: DataFrame, key: str, original: str, summary: str) -> DataFrame:
+    """``key, i, text, best, partner`` for each summary sentence, with all source sentences of its pair beside it."""
+    sources = F.coalesce(F.transform(T.sentence_array(F.col(original)), T.similarity_tokens), F.array().cast("array<array<string>>"))
+    rows = pairs.select(key, pinned(sources).alias("_src"), F.posexplode(T.sentence_array(F.col(summary))).alias("i", "text"))
+    rows = rows.withColumn("_toks", pinned(T.similarity_tokens(F.col("text"))))
+
+    def alike(source: Column, j: Column) -> Column:
+        sizes = F.size("_toks") + F.size(source)
+        return F.struct(let(F.size(F.array_intersect("_toks", source)), lambda n: F.when(n > 0, n / (sizes - n))).alias("sim"), (-j).alias("neg"))
+
+    rows = rows.withColumn("_m", pinned(F.array_max(F.filter(F.transform("_src", alike), lambda m: m["sim"].isNotNull()))))
+    return rows.select(key, "i", "text", F.col("_m.sim").alias("best"), (-F.col("_m.neg")).alias("partner"))
+
+
+def _best_by_token(pairs: DataFrame, key: str, original: str, summary: str, threshold: float, bound: int) -> DataFrame:
+    """Like :func:`_best_in_row`, for pairs with any number of sentences."""
     out = _token_sets(_sentences(pairs, key, summary, "i"), key, "i")
     src = _token_sets(_sentences(pairs, key, original, "j"), key, "j")
     sets_out, sets_src = cut_lineage(_different(out, key, "i")), cut_lineage(_different(src, key, "j"))
@@ -171,11 +202,7 @@ def consistency(pairs: DataFrame, *, key: str = "pair_id", original: str = "left
     rest = cut_lineage(sets_out.join(near, [key, "_a", "_b"], "left_anti"))
     far = cut_lineage(_best(similar_sets(rest, sets_src, key, 0.0, bound), rest, sets_src, key, "l", "r"))
     best = near.unionByName(far)
-    score = F.coalesce("best", F.lit(0.0))
-    return attach(out.select(key, "i", "text", "_a", "_b"), best, [key, "_a", "_b"], "_rows").select(
-        key, F.col("i").alias("idx"), "text", F.coalesce("partner", F.lit(-1)).cast("int").alias("best_match_idx"),
-        F.bround(score, 3).alias("best_match_score"), (score >= threshold).alias("traceable"),
-    )
+    return attach(out.select(key, "i", "text", "_a", "_b"), best, [key, "_a", "_b"], "_rows").select(key, "i", "text", "best", "partner")
 
 
 def consistency_verdict(pairs: DataFrame, checked: DataFrame, *, key: str = "pair_id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions.scale import by_key_and_size
-from palimpsest.operators import pack, summaries
+from palimpsest.operators import pack, similarity, summaries
 from palimpsest.operators.similarity import line_array
 from palimpsest.plans import detection
 from palimpsest.sources import segments
@@ -67,3 +67,16 @@ def test_files_are_dealt_to_a_bounded_number_of_tasks(monkeypatch):
     dealt = reader.partitions({"a": 9}, {"a": 49_999, "b": 49_999})
     assert len(dealt) <= segments.TASKS
     assert [f[:2] for p in dealt for f in p.files] == [("a", n) for n in range(10, 50_000)] + [("b", n) for n in range(50_000)]
+
+
+def test_small_pairs_are_compared_in_their_row(spark):
+    """No exchange and no job ahead for them; the first of equally good sources counts, and large pairs give the same."""
+    rows = [("a", "x y z? p q? x y z?", "x y z! y q? nothing?"), ("b", None, "one?"), ("c", "one?", None), ("d", "", "u?"), ("e", "--?", "--? u?"), (None, "k l?", "l k?")]
+    df = spark.createDataFrame(rows, "pair_id string, left_text string, right_text string")
+    out = similarity.consistency(df)
+    got = {tuple(r) for r in out.select("pair_id", "idx", "best_match_idx", "best_match_score", "traceable").collect()}
+    assert got == {("a", 0, 0, 1.0, True), ("a", 1, 1, 0.333, True), ("a", 2, -1, 0.0, False), ("b", 0, -1, 0.0, False), ("d", 0, -1, 0.0, False),
+                   ("e", 0, -1, 0.0, False), ("e", 1, -1, 0.0, False), (None, 0, 0, 1.0, True)}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    large = {tuple(r) for r in similarity.consistency(df.where("pair_id = 'a'"), bound=3).select("pair_id", "idx", "best_match_idx", "best_match_score", "traceable").collect()}
+    assert large == {r for r in got if r[0] == "a"}
