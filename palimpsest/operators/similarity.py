@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -22,12 +24,16 @@ MODIFIED_AT, SAME_AT, TRACEABLE_AT = 0.3, 0.85, 0.12
 CITED_PENALTY = 0.15
 CITATION = r"（见原文第\p{Nd}+段·句\p{Nd}+）|（见第\p{Nd}+篇·第\p{Nd}+段·句\p{Nd}+）"
 KEYWORD_FOOTER = rf"^[{WS}]*关键词[：:].*$"
+#: Ends of lines besides the line feed.
+LINE_BREAKS = ("\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 SUMMARY_HEADING = rf"^#+[{WS}]*(摘要|关键词)[{WS}]*$"
 
 
 def line_array(text: Column) -> Column:
     """Lines the way text tools split them (no empty tail after a final break)."""
-    lines = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]", -1)
+    # Most texts only have line feeds, and those are split without a pattern.
+    others = reduce(or_, (F.contains(text, F.lit(c)) for c in LINE_BREAKS))
+    lines = F.when(others, F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]", -1)).otherwise(F.split(text, "\n", -1))
     return let(lines, lambda ln: F.when((F.size(ln) > 1) & (F.element_at(ln, -1) == ""), F.slice(ln, 1, F.size(ln) - 1)).otherwise(ln))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 from palimpsest.functions import text as T
 from palimpsest.functions.patterns import D, WS
 from palimpsest.functions.scale import by_key, pinned
+from palimpsest.functions.splice import let
 from palimpsest.operators.similarity import line_array
 from palimpsest.session import cut_lineage
 
@@ -145,14 +146,19 @@ def items_to_csv_rows(items: DataFrame, *, key: str = "doc_id") -> DataFrame:
 
 def _clean_node(raw: Column) -> Column:
     """Strip icon and break syntax, the node id and its outer brackets."""
-    s = T.strip(F.regexp_replace(raw, r"::icon\([^)]*\)", ""))
-    s = F.regexp_replace(s, rf"(?i)<br[{WS}]*/?>", " ")
-    s = F.regexp_replace(s, rf"^([A-Za-z0-9_\-]+)(?=[{WS}]*[\[({{])", "")
-    # one round per opening bracket strips (( )), [ ], { } and their combinations
-    layers = F.sequence(F.lit(1), F.regexp_count(s, F.lit(r"[\[({]")) + 1)
-    return F.aggregate(layers, s, lambda acc, _: F.when(
-        F.rlike(acc, F.lit(r"(?s)^(?:\(.*\)|\[.*\]|\{.*\})$")), T.strip(F.substr(acc, F.lit(2), F.length(acc) - 2))
-    ).otherwise(acc))
+    def plain(raw: Column) -> Column:
+        s = T.strip(F.when(F.contains(raw, F.lit("::icon(")), F.regexp_replace(raw, r"::icon\([^)]*\)", "")).otherwise(raw))
+        s = let(s, lambda x: F.when(F.contains(x, F.lit("<")), F.regexp_replace(x, rf"(?i)<br[{WS}]*/?>", " ")).otherwise(x))
+        return F.regexp_replace(s, rf"^([A-Za-z0-9_\-]+)(?=[{WS}]*[\[({{])", "")
+
+    def opened(s: Column) -> Column:
+        # one round per opening bracket strips (( )), [ ], { } and their combinations
+        layers = F.sequence(F.lit(1), F.regexp_count(s, F.lit(r"[\[({]")) + 1)
+        return F.aggregate(layers, s, lambda acc, _: F.when(
+            F.rlike(acc, F.lit(r"(?s)^(?:\(.*\)|\[.*\]|\{.*\})$")), T.strip(F.substr(acc, F.lit(2), F.length(acc) - 2))
+        ).otherwise(acc))
+
+    return let(let(raw, plain), opened)
 
 
 def outline(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,8 +184,7 @@ def outline(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     heads = F.when(_matches(ln, HEADING), F.length(F.regexp_extract(ln, HEADING, 1)))
     rows = rows.withColumn("head", heads).withColumn("last_head", F.last("head", ignorenulls=True).over(upto))
 
-    flat = F.rtrim(F.regexp_replace(ln, f"[{WS}]+$", ""))
-    map_indent = F.length(flat) - F.length(F.ltrim(flat))
+    map_indent = F.length(ln) - F.length(F.ltrim(ln))  # blank lines are no nodes
     map_depth = F.when(map_indent >= 2, F.floor(map_indent / 2)).when(map_indent > 0, 1).otherwise(0)
     under = F.coalesce("last_head", F.lit(0)) + 1
     bullet = _matches(ln, BULLET)
@@ -192,11 +197,10 @@ def outline(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     depth = F.when(F.col("head").isNotNull(), F.col("head")).otherwise(under + F.floor(indent / 2))
     is_map = F.col("block").isNotNull()
     use = F.when(is_map, in_block & F.col("started") & ~F.col("starts")).otherwise(F.lit(True))
-    node = F.when(is_map, _clean_node(T.strip(ln))).otherwise(label)
+    node = pinned(F.when(use, F.when(is_map, _clean_node(T.strip(ln))).otherwise(label)))
     return rows.select(
         key, "pos", F.when(is_map, map_depth).otherwise(depth).cast("int").alias("depth"), node.alias("text"),
-        use.alias("_use"),
-    ).where(F.col("_use") & (F.col("text") != "")).drop("_use")
+    ).where(F.col("text") != "")
 
 
 #: Nodes of a document that are put in order in one row.

@@ -499,7 +499,7 @@ def mindmap(spark, sf):
     lines = similarity.line_array(F.col("text"))
     body = F.transform(lines, lambda ln, i: F.concat(
         F.repeat(F.lit("  "), (i % 3).cast("int")), F.lit("id"), i.cast("string"), F.lit("((n"),
-        F.regexp_replace(ln, "[^A-Za-z]", ""), F.lit("))")))
+        F.regexp_replace(ln, "[^A-Za-z]+", ""), F.lit("))")))
     text = F.concat(F.lit("intro\n```mermaid\nmindmap\n"), F.array_join(body, "\n"), F.lit("\n```\noutro"))
     return structure.outline(docs(spark, sf).select("doc_id", text.alias("text")))
 

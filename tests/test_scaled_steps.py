@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions.scale import by_key_and_size
-from palimpsest.operators import pack, similarity, summaries
+from palimpsest.operators import pack, similarity, structure, summaries
 from palimpsest.operators.similarity import line_array
 from palimpsest.plans import detection
 from palimpsest.sources import segments
@@ -80,3 +80,12 @@ def test_small_pairs_are_compared_in_their_row(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     large = {tuple(r) for r in similarity.consistency(df.where("pair_id = 'a'"), bound=3).select("pair_id", "idx", "best_match_idx", "best_match_score", "traceable").collect()}
     assert large == {r for r in got if r[0] == "a"}
+
+
+def test_outline_cleans_a_node_once(spark):
+    """A node's text is not copied into the filter behind it."""
+    text = "```mermaid\nmindmap\n  a((Top))::icon(fa fa-x)\n\t b[One<BR/>two]\n   \t \n    ::icon(y)\n      {{[deep]}}  \n  c < d\n```\nafter"
+    nodes = structure.outline(spark.createDataFrame([(1, text), (2, "# H \r\n- x\x0b  plain\u2028"), (3, None)], "doc_id long, text string"))
+    assert nodes._jdf.queryExecution().executedPlan().toString().count("::icon\\([^)]*") == 1
+    assert sorted((r.doc_id, r.pos, r.depth, r.text) for r in nodes.collect()) == [
+        (1, 2, 1, "Top"), (1, 3, 0, "One two"), (1, 6, 3, "deep"), (1, 7, 1, "c < d"), (2, 0, 1, "H"), (2, 1, 2, "x"), (2, 2, 3, "plain")]
