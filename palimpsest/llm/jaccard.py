@@ -9,8 +9,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from palimpsest.llm.common import components, heavy, join_unique, materialize, registry, table
+from palimpsest.llm.common import HOT_SHARE, components, heavy, join_unique, materialize, registry, table
 from palimpsest.llm.words import mix, row_shingles, slices, word_hashes
 
 QUERIES, SQL, query = registry()
@@ -58,47 +59,54 @@ def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _survey(k: int):
-    """Rows ``(kind, a, n, b, c, s)``: each document (1) with its set's size, digest and sketch, and shingles that repeat (2) with a count."""
+    """Rows ``(kind, a, n, b, c, s)``: each document (1) with its set's size, digest and sketch, and shingles that repeat (2) with a count and a document that has them."""
     names = ["kind", "a", "n", "b", "c", "s"]
 
     def rows(kind, a, n, b, c, s=None):
         longs = [pa.array(x, pa.int64()) for x in (a, n, b, c)]
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), *longs, pa.array(s or [None] * len(n), pa.binary())], names=names)
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
+    def counted(held: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+        found, first, n = np.unique(np.concatenate(held), return_index=True, return_counts=True)
+        owner = np.array(owners, dtype=np.int64)[np.searchsorted(np.cumsum([len(s) for s in held]), first[n > 1], "right")]
         found, n = found[n > 1].view(np.int64), n[n > 1]
-        return rows(2, found, n, np.zeros(len(n), np.int64), np.zeros(len(n), np.int64))
+        return rows(2, found, n, owner, np.zeros(len(n), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        owners: list[int] = []
         total, seen = 0, set()
         for batch in batches:
             for part in slices(batch, 1):
                 size, digest, sketches = [], [], []
-                for s in _sets(part, 1, k):
+                for i, s in zip(part.column(0).to_pylist(), _sets(part, 1, k), strict=True):
                     size.append(len(s))
                     sketches.append(sketch(s))
                     digest.append(_digest(s))
-                    if digest[-1] not in seen:
+                    if i is not None and len(s) and digest[-1] not in seen:
                         seen.add(digest[-1])
                         held.append(s)
+                        owners.append(i)
                         total += len(s)
                 yield rows(1, part.column(0), size, [d[0] for d in digest], [d[1] for d in digest], sketches)
                 if total > COUNTED:
-                    yield counted(held)
-                    held, total = [], 0
+                    yield counted(held, owners)
+                    held, owners, total = [], [], 0
         if held:
-            yield counted(held)
+            yield counted(held, owners)
 
     return run
 
 
 def _prefixes(k: int, percent: int, frequent):
-    """Rows ``(token, id)``: the elements of each document's prefix.  Of equal sets that one task meets, one counts."""
+    """Rows ``(token, id, leader)``: the elements of each document's prefix.  Of equal sets that one task meets, one counts.
+
+    Elements of many documents have their leader from the survey; any set will
+    do.  Their lists need not meet, so their tokens are mixed with the document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = frequent.value
+        known, rank, hot, leaders = frequent.value
         seen: set = set()
         for batch in batches:
             for part in slices(batch, 1):
@@ -119,7 +127,13 @@ def _prefixes(k: int, percent: int, frequent):
                     tokens.append(s[:n])
                     owners.append(np.full(n, ids[i], dtype=np.int64))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))], names=["token", "id"])
+                    token, owner = np.concatenate(tokens), np.concatenate(owners)
+                    led, leader = np.zeros(len(token), dtype=bool), np.zeros(len(token), dtype=np.int64)
+                    if len(hot):
+                        at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+                        led, leader = hot[at] == token, leaders[at]
+                        token = np.where(led, mix(token ^ mix(owner.view(np.uint64))), token)
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(owner), pa.array(leader, mask=~led)], names=["token", "id", "leader"])
 
     return run
 
@@ -278,8 +292,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
 
     Exact for any data.  Equal sets are one.  Similar sets share an element of
     their prefixes in an order of all elements, so each prefix element has a
-    list of sets; each list's smallest set is its leader, and every other one
-    is compared with it, where sketches leave room for a link.  That joins
+    list of sets; each list's smallest set (a frequent element's: one that has
+    it) is its leader, and every other one is compared with it, where sketches leave room for a link.  That joins
     large groups in a number of comparisons that grows with their size, not
     its square.  Only sets of one leader that are still in different
     components are compared with each other: sketches leave out those that
@@ -292,26 +306,27 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     small = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     survey = materialize(small.mapInArrow(_survey(shingle), "kind int, a long, n long, b long, c long, s binary"), "jaccard-survey")
     rows = survey.where("kind = 1").select(F.col("a").alias("id"), "n", "b", "c")
-    often = survey.where("kind = 2").groupBy("a").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "a").limit(FREQUENT).toArrow()
+    prefixes = F.sum(F.when(F.col("n") > 0, F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1))
+    total, entered = rows.agg(F.count(F.lit(1)), F.coalesce(prefixes, F.lit(0))).first()
+    often = survey.where("kind = 2").groupBy("a").agg(F.sum("n").alias("n"), F.min("b").alias("b")).where("n > 2").orderBy(F.desc("n"), "a").limit(FREQUENT).toArrow()
     known, count = often["a"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy()
     by = np.argsort(known)
     rank = np.empty(len(known), dtype=np.int64)
     rank[np.lexsort((known, count))] = np.arange(len(known))
-    frequent = spark.sparkContext.broadcast((known[by], rank[by]))
+    hot = by[count[by] * HOT_SHARE > entered]
+    frequent = spark.sparkContext.broadcast((known[by], rank[by], known[hot], often["b"].to_numpy()[hot]))
 
     # Classes of equal sets.
-    total = rows.count()
     classes = rows.where("n > 0 and id is not null").groupBy("n", "b", "c").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_size"))
     classes = materialize(classes, "jaccard-classes")
     shared = classes.where("_size > 1")
     member = join_unique(rows, shared, ["n", "b", "c"], heavy(shared, "_size", total))
     member = materialize(member.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "jaccard-members")
 
-    # Each list's sets against its leader: sketches first, then the sets that may be similar.
-    entries = materialize(small.mapInArrow(_prefixes(shingle, percent, frequent), "token long, id long"), "jaccard-entries")
-    lists = entries.groupBy("token").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).where("leader < _last").drop("_last")
-    pairs = entries.join(lists, "token").where("id <> leader").select("leader", "id").distinct()
-    pairs = materialize(pairs, "jaccard-pairs")
+    # Each list's sets against its leader: sketches first, then the sets that may be similar.  Entries are exchanged once and not written.
+    entries = small.mapInArrow(_prefixes(shingle, percent, frequent), "token long, id long, leader long")
+    leader = F.coalesce("leader", F.min("id").over(W.partitionBy("token")))
+    pairs = materialize(entries.select("id", leader.alias("leader")).where("id <> leader").select("leader", "id").distinct(), "jaccard-pairs")
     needed = pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
     drawn = survey.where("kind = 1").select(F.col("a").alias("id"), "s").dropDuplicates(["id"]).join(needed, "id")
     drawn = materialize(drawn.join(member.dropDuplicates(["id"]), "id"), "jaccard-sketches")

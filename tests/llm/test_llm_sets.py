@@ -143,6 +143,19 @@ def test_jaccard_components(spark, seed, k, percent, monkeypatch):
     assert sorted([tuple(r) for r in got.collect()], key=repr) == jaccard_brute(rows, k, percent)
 
 
+@pytest.mark.parametrize("share", [0, 1 << 40])
+def test_jaccard_entries_are_exchanged_once(spark, share, monkeypatch):
+    """With no element hot, and with all that repeat; entries are not written."""
+    rnd, written = random.Random(share), []
+    monkeypatch.setattr(jaccard, "HOT_SHARE", share)
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: written.append(name) or common.materialize(df, name))
+    base = [[f"w{rnd.randrange(60)}" for _ in range(30)] for _ in range(12)]
+    rows = [(i, " ".join(w if rnd.random() > 0.02 else "x" for w in base[i % 12])) for i in range(120)] + [(None, " ".join(base[0])), (500, None), (501, "a b")]
+    got = jaccard.similar_groups(frame(spark, rows), shingle=3, percent=70)
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == jaccard_brute(rows, 3, 70)
+    assert "jaccard-pairs" in written and "jaccard-entries" not in written
+
+
 def test_jaccard_edges(spark):
     assert jaccard.similar_groups(frame(spark, [])).count() == 0
     rows = near_copies(4, 3, 5)
