@@ -296,3 +296,20 @@ def test_near_passages_are_found(spark):
         rows += [(2 * i, " ".join(p)), (2 * i + 1, " ".join(q))]
     got = {r.doc_id // 2 for r in passages.repeated_passages(frame(spark, rows)).collect()}
     assert len(got) >= 58
+
+
+def test_near_passages_in_crowded_files_are_found(spark):
+    """Twelve pairs of near passages that share a phrase of 44 words, more than there are rounds; a word of the phrase is changed in one of each pair."""
+    rng, vocab, rows = random.Random(33), vocabulary(5000, 33), []
+
+    def text(n):
+        return [rng.choice(vocab) for _ in range(n)]
+
+    phrase = text(44)
+    for i in range(12):
+        p = text(8) + phrase + text(8)
+        q = p[:30] + [f"changed{i}"] + p[31:]
+        rows += [(2 * i, " ".join(text(20) + p + text(20))), (2 * i + 1, " ".join(text(25) + q + text(15)))]
+    assert passages.least_run(5, 50, 80) == 21
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(2 * i + 1, 2 * i) for i in range(12)}
