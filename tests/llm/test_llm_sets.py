@@ -313,3 +313,34 @@ def test_near_passages_in_crowded_files_are_found(spark):
     assert passages.least_run(5, 50, 80) == 21
     got = passages.repeated_passages(frame(spark, rows)).collect()
     assert {(r.doc_id, r.other_id) for r in got} == {(2 * i + 1, 2 * i) for i in range(12)}
+
+
+def test_passages_of_connected_documents_are_found(spark):
+    """0 and 1 share a passage elsewhere, 2 one with 0 and 3 one with 1 over a phrase of all four; the passage of 2 and 3 over that phrase is another."""
+    def files(text):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(text)])], names=["id", "text"])
+        return {k for rows in passages._windows(5, 50, 80)(iter([batch])) for k, c in zip(*(rows.column(x).to_pylist() for x in ("key", "c"))) if c >= 0}
+
+    def documents(seed):
+        rng, vocab = random.Random(seed), vocabulary(5000, 33)
+        first, second, right, phrase, apart = ([rng.choice(vocab) for _ in range(n)] for n in (8, 8, 8, 44, 60))
+        fill = [[rng.choice(vocab) for _ in range(30)] for _ in range(6)]
+        return [apart + fill[0] + first + phrase + fill[1], fill[2] + apart + second + phrase + fill[3], first + phrase + right + fill[4], second + phrase + right + fill[5]]
+
+    def together(docs):
+        x, y, a, b = map(files, docs)
+        return a & b <= x & y
+
+    docs = next(d for d in map(documents, range(1000)) if together(d))
+    got = {(r.doc_id, r.other_id) for r in passages.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in enumerate(docs)])).collect()}
+    assert got == {(1, 0), (2, 0), (3, 1), (3, 2)}
+
+
+@pytest.mark.parametrize("longer", [0, 1])
+def test_a_passage_with_words_inserted_is_one(longer):
+    """Nine words between halves of 40: similarity 0.81, and neither half is a passage."""
+    rng, vocab = random.Random(41), vocabulary(5000, 41)
+    one, two, more = ([rng.choice(vocab) for _ in range(n)] for n in (40, 40, 9))
+    sides = [words.shingles(words.word_hashes(pa.array([" ".join(w)]))[0], 5) for w in (one + more + two, one + two)]
+    a, b = sides if longer == 0 else sides[::-1]
+    assert [f[:4] for f in passages.match(a, b, 0, 46, 80)] == [(0, len(a) - 1, 0, len(b) - 1)]
