@@ -2,6 +2,7 @@
 
 import json
 import random
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window as W
 from palimpsest.functions import scale
 from palimpsest.operators import deident, dialogue, pack, registry, similarity, structure, summaries, transcript
 from palimpsest.sources import corpus, segments
-from palimpsest.streaming import flows
+from palimpsest.streaming import flows, memory
 
 
 def _skewed(spark, n=400):
@@ -371,6 +372,87 @@ def test_memory_outlives_micro_batches(spark, tmp_path, monkeypatch):
         flows.start_qa(flows.stream_table(spark, str(tmp_path / "in"), df.schema), out, log, ttl_ms=1000)
 
 
+class _Store:
+    """A state variable in memory that counts calls and forgets as a real one does."""
+
+    def __init__(self, clock, ttl):
+        self.data, self.clock, self.ttl = {}, clock, ttl
+
+    def getValue(self, key):
+        self.clock["calls"] += 1
+        value, at = self.data.get(key, (None, 0))
+        return None if self.ttl and at + self.ttl <= self.clock["now"] else value
+
+    def updateValue(self, key, value):
+        self.clock["calls"] += 1
+        self.data[key] = (value, self.clock["now"])
+
+    def get(self):
+        return self.getValue(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.clock["now"]
+
+
+def _remembered(batches, ttl=None):
+    """Answers of one session to ``batches`` of ``turn, asks, words``, a second apart, and the calls to its state."""
+    clock = {"now": 0, "calls": 0}
+    new = lambda *a: _Store(clock, ttl)
+    memory_ = memory.SessionMemory(3, ttl)
+    memory_.init(SimpleNamespace(getValueState=new, getMapState=new))
+    out = []
+    for batch in batches:
+        clock["now"] += 1000
+        rows = []
+        for turn, asks, said in batch:
+            known = {"said": said, "core": said, "subject": said, "may": False, "blank": False} | {f"{c}_tokens": said.split() for c in ("said", "core", "subject")} if asks else {}
+            sentences = [] if asks else said.split(".")
+            rows.append({"turn": turn, "asks": asks, "sentences": sentences, "sentence_tokens": sentences} | known)
+        frame = pd.DataFrame({"packed": [json.dumps(r) for r in rows]})
+        for got in memory_.handleInputRows((7,), iter([frame[:2], frame[2:]]), _Store(clock, ttl)):
+            out += [(r["turn"], [(c["para"], c["text"]) for c in r["citations"]]) for r in map(json.loads, got["packed"])]
+    return out, clock["calls"]
+
+
+@pytest.mark.parametrize("ttl", [None, 3500])
+def test_memory_in_buckets_matches_a_scan(monkeypatch, ttl):
+    """Lists over several parts, buckets that are split, texts said twice, turns sent again, entries that end."""
+    monkeypatch.setattr(memory, "LIST_PART", 4)
+    monkeypatch.setattr(memory, "BUCKET", 8)
+    monkeypatch.setattr(memory, "TURNS", 3)
+    rng = random.Random(5)
+    word = lambda: f"w{min(rng.randrange(40), rng.randrange(40))}"
+    line = lambda: " ".join(dict.fromkeys(word() for _ in range(4)))
+    turns = [(t, t % 3 == 2, line() if t % 3 == 2 else ".".join(line() for _ in range(3))) for t in range(90)]
+    batches = [turns[i:i + 10] + (turns[i - 1:i] if i and not turns[i - 1][1] else []) for i in range(0, 90, 10)]
+    said, cited, want = {}, {}, []
+    for now, batch in enumerate(batches, 1):
+        live = lambda at: not ttl or at * 1000 + ttl > now * 1000
+        for t, asks, text in batch:
+            for nth, x in enumerate([] if asks else text.split(".")):
+                if (t, nth) not in said or not live(said[t, nth][1]):
+                    said[t, nth] = (x, now)
+        for t, asks, text in sorted(batch):
+            if asks:
+                asked = set(text.split())
+                found = [(-len(asked & set(x.split())) / len(asked) * (dialogue.CITED_PENALTY if x in cited and live(cited[x]) else 1), *at, x)
+                         for at, (x, when) in said.items() if at[0] < t and live(when) and asked & set(x.split())]
+                best = sorted(found)[:3]
+                cited |= {x: now for _, _, _, x in best}
+                want.append((t, [(para, x) for _, para, _, x in best]))
+    assert _remembered(batches, ttl)[0] == want
+
+
+def test_memory_asks_its_store_little():
+    """A short session's micro-batch takes a few calls, however many words it has: each costs about a fifth of a millisecond."""
+    turns = [(0, False, ".".join(f"a{i} b{i} c{i}" for i in range(50))), (1, True, "a3 b4 c5"), (2, False, "more"), (3, True, "b4 a9")]
+    got, calls = _remembered([turns])
+    assert [t for t, _ in got] == [1, 3] and calls <= 6
+
+
 # --- outlines, listings, one scan ----------------------------------------------------------
 @pytest.mark.parametrize("block", [1, 4, 512])
 def test_outline_tree_matches_stack(spark, block):
