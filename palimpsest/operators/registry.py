@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scale import number_rows
+from palimpsest.session import cut_lineage
 
 
 def overlaps(claims: DataFrame, *, thing: str = "capability", owner: str = "component") -> DataFrame:
@@ -19,27 +20,48 @@ def overlap_owners(claims: DataFrame, *, thing: str = "capability", owner: str =
     return claims.select(thing, owner).distinct().join(overlaps(claims, thing=thing, owner=owner), thing)
 
 
+#: Rows of a thing up to which its owners are one array.
+CLAIMS = 256
+#: Owners of more than one claim in this many, so fewer than that, have their rows dealt by the other owner too.
+OFTEN = 128
+
+
 def shares_with(claims: DataFrame, *, thing: str = "capability", owner: str = "component", width: int = 64) -> DataFrame:
     """Pairs of different owners that share a thing, with how many they share.
 
-    A thing claimed by very many owners would pair all of them inside one task.
-    Owners of a thing are numbered and cut into tiles of ``width``; each claim
-    meets the tiles of its thing, so the work on a hot thing is spread over its
-    tile pairs.
+    The owners of a thing are gathered once, and each goes on with all that
+    follow it as one row, not a row a pair.  A thing of more than
+    :data:`CLAIMS` claims would pair all its owners inside one task: its owners
+    are numbered and cut into tiles of ``width``, and each tile meets those
+    that follow, so the work on it is spread over its tile pairs.  Rows of an
+    owner of very many things are dealt by the other owner.
     """
-    numbered = number_rows(
-        claims.select(thing, owner).distinct().withColumn("_h", F.pmod(F.xxhash64(owner), F.lit(1024))),
-        [thing], "_h", ["_h", owner], "_n", 64,
-    )
-    tiled = numbered.withColumn("_tile", F.floor(F.col("_n") / width).cast("long")).drop("_h")
-    tiles = tiled.groupBy(thing).agg(F.max("_tile").alias("_last"))
-    # each pair once, from its lower number, and in both directions only when it is counted
-    left = tiled.join(tiles, thing).select(
-        thing, F.col(owner).alias("a"), F.col("_n").alias("_na"), F.explode(F.sequence("_tile", "_last")).alias("_tile")
-    )
-    right = tiled.select(thing, F.col(owner).alias("b"), F.col("_n").alias("_nb"), "_tile")
-    both = left.join(right, [thing, "_tile"]).where((F.col("_na") < F.col("_nb")) & (F.col("a") != F.col("b")))
-    counted = both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n_shared"))
+    rows = claims.select(F.col(thing).alias("_t"), F.col(owner).alias("a")).where("_t is not null and a is not null")
+    many = cut_lineage(rows.groupBy("_t").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CLAIMS).select("_t"))
+    few = rows.join(F.broadcast(many), "_t", "left_anti").groupBy("_t").agg(F.array_sort(F.collect_set("a")).alias("_o"))
+    numbered = few.select("_o", F.posexplode("_o").alias("_na", "a"))
+    lists = numbered.select("a", F.slice("_o", F.col("_na") + 2, F.size("_o")).alias("_b")).where(F.size("_b") > 0)
+    if not many.isEmpty():
+        numbered = number_rows(
+            rows.join(F.broadcast(many), "_t", "left_semi").distinct().withColumn("_h", F.pmod(F.xxhash64("a"), F.lit(1024))),
+            ["_t"], "_h", ["_h", "a"], "_n", 64,
+        )
+        tiles = numbered.groupBy("_t", F.floor(F.col("_n") / width).cast("long").alias("_tile")).agg(F.array_sort(F.collect_list("a")).alias("_o"))
+        last = tiles.groupBy("_t").agg(F.max("_tile").alias("_last"))
+        left = tiles.join(last, "_t").select("_t", F.col("_tile").alias("_from"), F.col("_o").alias("_a"), F.explode(F.sequence("_tile", "_last")).alias("_tile"))
+        met = left.join(tiles, ["_t", "_tile"])
+        # within a tile each pair once; between tiles the smaller owner first
+        above = F.transform("_a", lambda x: F.struct(x.alias("a"), F.filter("_o", lambda y: y > x).alias("_b")))
+        below = F.when(F.col("_from") < F.col("_tile"), F.transform("_o", lambda x: F.struct(x.alias("a"), F.filter("_a", lambda y: y > x).alias("_b"))))
+        wide = met.select(F.explode(F.concat(above, F.coalesce(below, F.slice(above, 1, 0)))).alias("_r")).select("_r.*").where(F.size("_b") > 0)
+        lists = lists.unionByName(wide)
+    total = rows.count()
+    often = cut_lineage(rows.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * OFTEN > total).select("a", F.lit(True).alias("_hot")))
+    dealt = lists.join(F.broadcast(often), "a", "left")
+    whole = dealt.where("_hot is null").select("a", F.lit(0).alias("_part"), "_b")
+    parts = dealt.where("_hot").select("a", F.explode("_b").alias("b")).select("a", F.pmod(F.xxhash64("b"), F.lit(1024)).cast("int").alias("_part"), F.array("b").alias("_b"))
+    spread = whole.unionByName(parts).repartition("a", "_part")
+    counted = spread.select("a", "_part", F.explode("_b").alias("b")).groupBy("a", "_part", "b").agg(F.count(F.lit(1)).alias("n_shared"))
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     return counted.select(F.explode(ways).alias("p"), "n_shared").select("p.a", "p.b", "n_shared")
 

@@ -560,3 +560,22 @@ def test_sharing_pairs_meet_once(spark):
                 want[a, b] = want.get((a, b), 0) + 1
     assert got == want
     assert "(_na" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [5, 256])
+def test_owners_are_gathered_once(spark, monkeypatch, most):
+    """Things of few claims need no join of owners; those of many, and owners of many things, are dealt out and count the same."""
+    monkeypatch.setattr(registry, "CLAIMS", most)
+    rng = random.Random(8)
+    rows = [(f"t{i}", rng.randrange(60)) for i in range(40) for _ in range(rng.choice([1, 3, 40]))] + [("t0", None), (None, 1), (None, 2)] + [(f"u{i}", o) for i in range(300) for o in (61, 60)]
+    out = registry.shares_with(spark.createDataFrame(rows, "capability string, component int"), width=4)
+    want, owners = {}, {}
+    for t, o in rows:
+        if t is not None and o is not None:
+            owners.setdefault(t, set()).add(o)
+    for held in owners.values():
+        for a in held:
+            for b in held - {a}:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert sorted(map(tuple, out.collect())) == sorted((a, b, n) for (a, b), n in want.items())
+    assert ("_tile" in out._jdf.queryExecution().optimizedPlan().toString()) == (most == 5)
