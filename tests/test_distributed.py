@@ -579,3 +579,21 @@ def test_owners_are_gathered_once(spark, monkeypatch, most):
                 want[a, b] = want.get((a, b), 0) + 1
     assert sorted(map(tuple, out.collect())) == sorted((a, b, n) for (a, b), n in want.items())
     assert ("_tile" in out._jdf.queryExecution().optimizedPlan().toString()) == (most == 5)
+
+
+def test_a_batch_of_segments_is_listed_once(tmp_path, monkeypatch):
+    """The files of a batch are those its last offset was told from; one told before a restart is listed again."""
+    for n in range(5):
+        (tmp_path / "rec").mkdir(exist_ok=True)
+        (tmp_path / "rec" / f"seg_{n}.json").write_text("{}")
+    listed, plain = [], segments._Reader._parts
+    monkeypatch.setattr(segments._Reader, "_parts", lambda self: listed.append(1) or plain(self))
+    reader = segments._Reader({"path": str(tmp_path)})
+    end = reader.latestOffset()
+    assert end == {"rec": 3} and [[n for _, n, _ in p.files] for p in reader.partitions({"rec": 0}, end)] == [[1, 2, 3]] and len(listed) == 1
+    (tmp_path / "rec" / segments.CLOSED).write_text("")
+    later = reader.latestOffset()
+    assert [[n for _, n, _ in p.files] for p in reader.partitions(end, later)] == [[4]] and len(listed) == 2
+    for other in (reader, segments._Reader({"path": str(tmp_path)})):
+        assert [[n for _, n, _ in p.files] for p in other.partitions({}, end)] == [[0, 1, 2, 3]]
+    assert len(listed) == 4
